@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import heavy, leaks, mixing, repetition, spans, split
+from quillspan.llm import docpairs, handwritten, heavy, leaks, mixing, repetition, spans, split
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,6 +26,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_shared_spans(spark, d).where("shared_chars > 0").select("source_table", "record_id")
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(_t(spark, d, "file_infos"), _t(spark, d, "paste_files"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_files(spark, d).where("not handwritten").select("file_id")
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_functions(_t(spark, d, "code_slices"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).select("slice_id")
+
+
 def p6_frequent(spark: SparkSession, d: str) -> DataFrame:
     return heavy.frequent_items(_t(spark, d, "import_edges"), ["specifier", "to_path"], k=1000)
 
