@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import docpairs, handwritten, heavy, leaks, mixing, repetition, spans, split
+from quillspan.llm import credentials, docpairs, handwritten, heavy, leaks, mixing, repetition, spans, split
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,6 +42,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).select("slice_id")
 
 
+def _code(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {t: (_t(spark, d, t), i, c) for t, i, c in RECORDS}
+
+
+def p5_credentials(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(_code(spark, d))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(_code(spark, d), with_text=True)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_credentials(spark, d).select("source_table", "record_id", "line_no").distinct()
+
+
 def p6_frequent(spark: SparkSession, d: str) -> DataFrame:
     return heavy.frequent_items(_t(spark, d, "import_edges"), ["specifier", "to_path"], k=1000)
 
