@@ -103,3 +103,28 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p6_found": """
+            WITH v AS (SELECT 'specifier' AS field, specifier AS item FROM import_edges UNION ALL SELECT 'to_path', to_path FROM import_edges)
+            SELECT field, item FROM v WHERE item IS NOT NULL GROUP BY field, item
+            HAVING count(*) >= 0.01 * (SELECT count(*) FROM import_edges)""",
+        "p6_frequent": """
+            WITH v AS (SELECT 'specifier' AS field, specifier AS item FROM import_edges UNION ALL SELECT 'to_path', to_path FROM import_edges),
+            c AS (SELECT field, item, count(*) AS n FROM v WHERE item IS NOT NULL GROUP BY field, item),
+            r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, item) AS k FROM c)
+            SELECT field, item, n, n / (SELECT count(*) FROM import_edges)::DOUBLE AS share FROM r WHERE k <= 1000""",
+        "p7_found": "SELECT paste_id FROM paste_files WHERE strlen(content) > 12000",
+        "p10_found": r"""
+            WITH w AS (
+                SELECT doc_id, regexp_extract_all(lower(text), '\pL+') AS ws FROM documents WHERE text IS NOT NULL),
+            g AS (
+                SELECT doc_id, i, array_to_string(ws[i:i + 5], ' ') AS gram
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 4)) AS i FROM w)),
+            again AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS r FROM g),
+            covered AS (SELECT DISTINCT doc_id, i + j AS p FROM again, (SELECT unnest(range(0, 6)) AS j) WHERE r),
+            s AS (SELECT doc_id, count(*) AS c FROM covered GROUP BY doc_id)
+            SELECT s.doc_id FROM s JOIN w USING (doc_id) WHERE c >= 0.3 * len(ws)""",
+    }
