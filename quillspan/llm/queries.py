@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import credentials, docpairs, handwritten, heavy, leaks, mixing, repetition, spans, split
+from quillspan.llm import credentials, docpairs, handwritten, heavy, leaks, mixing, repetition, spans, split, syntax
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,6 +42,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).select("slice_id")
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.unparsable(_t(spark, d, "paste_files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(p4_files(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_files(spark, d).where("not valid").select("paste_id")
+
+
 def _code(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str]]:
     return {t: (_t(spark, d, t), i, c) for t, i, c in RECORDS}
 
