@@ -45,7 +45,8 @@ def export_names(text: Column | str) -> Column:
 def exports(files: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """One row per exported name and kind: ``keys``, ``name``, ``kind`` (re-exports, with a source, are ``reexport``)."""
     t = F.col(text_col)
-    own = F.concat(*[F.transform(_all(t, p), lambda x, k=k: F.struct(x.alias("name"), F.lit(k).alias("kind"))) for k, p in EXPORT_PATTERNS])
+    as_kind = lambda k: lambda x: F.struct(x.alias("name"), F.lit(k).alias("kind"))
+    own = F.concat(*[F.transform(_all(t, p), as_kind(k)) for k, p in EXPORT_PATTERNS])
     lists = F.regexp_extract_all(t, F.lit(r"(export\s*(?:type\s*)?\{[^}]*\}(?:\s*from\b)?)"), F.lit(1))
 
     def entries(x: Column) -> Column:

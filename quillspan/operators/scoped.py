@@ -97,10 +97,10 @@ def find_declaration(files: DataFrame, id_col: str, text_col: str, name: Column
     """
     n = F.regexp_replace(F.col(name) if isinstance(name, str) else name, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     decl = F.concat(
-        F.lit(r"^(?:export\s+)?(?:(?:default|async|abstract|declare)\s+)*(?:function|class|interface|type|enum|const|let)\s+"), n, F.lit(r"(?![\w$])|^"), n, F.lit(r"\s*[:=]")
+        F.lit(r"^(?:export\s+)?(?:(?:default|async|abstract|declare)\s+)*(?:function|class|interface|type|enum|const|let)\s+"), n, F.lit(r"(?:[^\w$]|$)|^"), n, F.lit(r"\s*[:=]")
     )
     d = files.select(F.col(id_col).alias("id"), decl.alias("p"), F.posexplode(F.split(text_col, "\n")).alias("i", "l"))
-    hit = d.where(F.trim(F.regexp_replace("l", r"[\r\t]", " ")).rlike(F.col("p"))).groupBy("id").agg((F.min("i") + 1).cast("bigint").alias("line"))
+    hit = d.where(F.rlike(F.trim(F.regexp_replace("l", r"[\r\t]", " ")), F.col("p"))).groupBy("id").agg((F.min("i") + 1).cast("bigint").alias("line"))
     return files.select(F.col(id_col).alias("id")).join(hit, "id", "left")
 
 

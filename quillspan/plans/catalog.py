@@ -1,15 +1,691 @@
-"""Queries of the core operators over the test tables, with their SQL."""
+"""Queries of the core operators over whole test tables, with the SQL each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspan.functions import paths, symbols
+from quillspan.functions import text as tx
+from quillspan.operators import budget, emit, graph, manifest, paste, report, resolve, scoped, similarity, validate
+from quillspan.operators import catalog as cat
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "file_infos").select("repo", F.col("path").alias("node")).distinct()
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "import_edges").select("repo", F.col("from_path").alias("src"), F.col("to_path").alias("dst"), "kind", "specifier")
+
+
+def _internal(s: SparkSession, d: str) -> DataFrame:
+    return graph.internal_edges(_edges(s, d), _nodes(s, d))
+
+
+def _seeds(s: SparkSession, d: str) -> DataFrame:
+    return _internal(s, d).groupBy("repo").agg(F.min("src").alias("node"))
+
+
+# --- SQL shared by several queries ----------------------------------------------------------------------------------
+
+_EXT = "lower(split_part(path, '.', -1))"
+_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_KIND = f"""CASE WHEN lower(path) LIKE '%test%' OR lower(path) LIKE '%spec%' THEN 'test'
+    WHEN {_EXT} IN ({_LIST(paths.CONFIG_EXT)}) OR lower(path) LIKE '%config%' THEN 'config'
+    WHEN {_EXT} IN ({_LIST(paths.DOCS_EXT)}) OR lower(path) LIKE '%readme%' OR lower(path) LIKE '%doc%' THEN 'docs'
+    WHEN {_EXT} IN ({_LIST(paths.CODE_EXT)}) THEN 'code' ELSE 'asset' END"""
+_BUCKET = """CASE WHEN lower(path) LIKE '%internal%' OR lower(path) LIKE '%private%' THEN 'internal'
+    WHEN lower(path) LIKE '%public%' OR lower(path) LIKE '%api%' OR lower(path) LIKE '%contracts%' THEN 'public' ELSE 'unknown' END"""
+_MANIFEST = f"""m0 AS (SELECT file_id, repo, path, bytes, loc, {_KIND} AS kind, {_BUCKET} AS bucket FROM file_infos WHERE {_EXT} NOT IN ({_LIST(paths.BINARY_EXT)})),
+m AS (SELECT *, (1000 + CASE kind WHEN 'code' THEN 100 WHEN 'config' THEN 80 WHEN 'docs' THEN 60 WHEN 'test' THEN 40 ELSE 20 END
+    + CASE bucket WHEN 'public' THEN 50 WHEN 'internal' THEN 30 ELSE 0 END
+    + CASE WHEN contains(lower(path), 'index.') OR contains(lower(path), 'main.') THEN 100 ELSE 0 END
+    + CASE WHEN contains(lower(path), 'config') OR contains(lower(path), 'package.json') THEN 80 ELSE 0 END
+    - CASE WHEN bytes > 100000 THEN 200 ELSE 0 END)::BIGINT AS importance FROM m0)"""
+_GRAPH = """n AS (SELECT DISTINCT repo, path AS node FROM file_infos),
+a AS (SELECT repo, from_path AS src, to_path AS dst, kind, specifier FROM import_edges),
+e AS (SELECT DISTINCT repo, src, dst FROM a WHERE (repo, src) IN (SELECT repo, node FROM n) AND (repo, dst) IN (SELECT repo, node FROM n))"""
+_DEGREES = (
+    _GRAPH
+    + """,
+deg AS (SELECT n.repo, n.node, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree FROM n
+    LEFT JOIN (SELECT repo, dst, count(DISTINCT src) AS c FROM e GROUP BY ALL) i ON i.repo = n.repo AND i.dst = n.node
+    LEFT JOIN (SELECT repo, src, count(DISTINCT dst) AS c FROM e GROUP BY ALL) o ON o.repo = n.repo AND o.src = n.node)"""
+)
+_PACKAGE = "CASE WHEN regexp_matches(specifier, '^(\\./|\\.\\./|/)') THEN '' ELSE regexp_extract(specifier, '^(@[^/]+/[^/]+|[^/]+)', 1) END"
+_HUBS = """d AS (SELECT DISTINCT repo, src, dst, specifier, kind FROM a),
+hubs AS (SELECT repo, src AS node, count(*) FILTER (WHERE kind IN ('reexport', 'export')) AS reexports, count(*) AS edges_total FROM d GROUP BY ALL
+    HAVING count(*) FILTER (WHERE kind IN ('reexport', 'export')) >= 5)"""
+_FANS = """fi AS (SELECT repo, node, in_degree AS n, row_number() OVER (PARTITION BY repo ORDER BY in_degree DESC, node) AS rank FROM deg WHERE in_degree > 0 QUALIFY rank <= 10),
+fo AS (SELECT repo, node, out_degree AS n, row_number() OVER (PARTITION BY repo ORDER BY out_degree DESC, node) AS rank FROM deg WHERE out_degree > 0 QUALIFY rank <= 10)"""
+_SPOTS = """u AS (SELECT repo, node, CASE WHEN n >= 10 THEN n ELSE 0 END AS score, CASE WHEN n >= 10 THEN 'fan-in' END AS reason, rank AS pos FROM fi
+    UNION ALL SELECT repo, node, CASE WHEN n >= 10 THEN n ELSE 0 END, CASE WHEN n >= 10 THEN 'fan-out' END, 1000000 + rank FROM fo
+    UNION ALL SELECT repo, node, reexports, 're-exports', 2000000 + row_number() OVER (PARTITION BY repo ORDER BY reexports DESC, node) FROM hubs),
+spots AS (SELECT repo, node, sum(score)::BIGINT AS score, list_sort(list(reason) FILTER (WHERE reason IS NOT NULL)) AS reasons, min(pos) AS pos FROM u GROUP BY ALL),
+hot AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, pos) AS rank FROM spots QUALIFY rank <= 20)"""
+_SCC = """e0 AS (SELECT * FROM e WHERE src <> dst),
+r(repo, x, y) AS (SELECT repo, src, dst FROM e0 UNION SELECT r.repo, r.x, e0.dst FROM r JOIN e0 ON e0.repo = r.repo AND e0.src = r.y),
+scc AS (SELECT p.repo, p.x AS node, min(p.y) AS component FROM r p JOIN r q ON p.repo = q.repo AND p.x = q.y AND p.y = q.x GROUP BY ALL)"""
+_NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '/\*.*?\*/', '', 'gs'),
+    '//[^\r\n]*', '', 'g'), '#[^\r\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), '(?m)^import[ \t]+[^\r\n]*', '', 'g'), '(?m)^from[ \t]+[^\r\n]*import[ \t]+[^\r\n]*', '', 'g'), '(?m)^use[ \t]+[^\r\n]*', '', 'g'))"""
+_PRINTS = f"""d0 AS (SELECT doc_id AS id, length(text) AS size, {_NORMAL.format(t="text")} AS n FROM documents WHERE text IS NOT NULL),
+d1 AS (SELECT *, string_split(n, ' ') AS w FROM d0 WHERE length(n) >= 100),
+prints AS (SELECT *, min(id) OVER (PARTITION BY n) AS rep FROM d1 WHERE len(w) - 4 >= 10),
+sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM prints WHERE id = rep)),
+cnt AS (SELECT id, count(*) AS k FROM sh GROUP BY id),
+bth AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+pairs AS (SELECT a, b, c / (p.k + q.k - c) AS similarity FROM bth JOIN cnt p ON p.id = a JOIN cnt q ON q.id = b WHERE c / (p.k + q.k - c) >= 0.8)"""
+_CLUSTERS = """nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM (SELECT a AS id FROM pairs UNION SELECT b FROM pairs)),
+nb AS (SELECT b AS id, list(a) AS l FROM pairs GROUP BY b),
+walk(rn, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+    SELECT nodes.rn, CASE WHEN nb.l IS NULL OR NOT list_has_any(nb.l, leaders) THEN list_append(leaders, nodes.id) ELSE leaders END
+    FROM walk JOIN nodes ON nodes.rn = walk.rn + 1 LEFT JOIN nb ON nb.id = nodes.id),
+lead AS (SELECT unnest(leaders) AS id FROM (SELECT leaders FROM walk ORDER BY rn DESC LIMIT 1)),
+members AS (SELECT b AS id, min(a) AS leader FROM pairs WHERE a IN (SELECT id FROM lead) AND b NOT IN (SELECT id FROM lead) GROUP BY b),
+clusters AS (SELECT leader, count(*) AS k, sum(p.size) AS chars, avg(similarity) AS sim FROM members m JOIN prints p ON p.id = m.id JOIN pairs ON a = leader AND b = m.id GROUP BY leader)"""
+
+
+# --- Manifest -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_MANIFEST} SELECT * FROM m")
+def file_manifest(s: SparkSession, d: str) -> DataFrame:
+    return manifest.manifest(_t(s, d, "file_infos")).select("file_id", "repo", "path", "bytes", "loc", "kind", "bucket", "importance")
+
+
+@query(f"WITH {_MANIFEST} SELECT kind, bucket, count(*) AS n_files, sum(coalesce(bytes, 0))::BIGINT AS total_bytes, sum(coalesce(loc, 0))::BIGINT AS total_loc FROM m GROUP BY kind, bucket")
+def kind_bucket_counts(s: SparkSession, d: str) -> DataFrame:
+    return manifest.summary(manifest.manifest(_t(s, d, "file_infos")))
+
+
+@query("SELECT * FROM file_infos QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY loaded_at DESC NULLS LAST, file_id DESC) = 1")
+def file_latest(s: SparkSession, d: str) -> DataFrame:
+    return manifest.latest(_t(s, d, "file_infos"), ["repo", "path"], [F.desc_nulls_last("loaded_at"), F.desc("file_id")])
+
+
+@query(
+    f"""WITH RECURSIVE {_MANIFEST},
+    o AS (SELECT repo, file_id, coalesce(bytes, 0) AS b, row_number() OVER (PARTITION BY repo ORDER BY importance DESC, path, file_id) AS rn FROM m),
+    f(repo, rn, file_id, used, included) AS (SELECT repo, rn, file_id, CASE WHEN b <= 100000 THEN b ELSE 0 END, b <= 100000 FROM o WHERE rn = 1
+        UNION ALL SELECT o.repo, o.rn, o.file_id, CASE WHEN used + b <= 100000 THEN used + b ELSE used END, used + b <= 100000 FROM f JOIN o ON o.repo = f.repo AND o.rn = f.rn + 1)
+    SELECT file_id, included FROM f"""
+)
+def budget_first_fit(s: SparkSession, d: str) -> DataFrame:
+    m = manifest.manifest(_t(s, d, "file_infos")).select("file_id", "repo", "path", "bytes", "importance")
+    return manifest.first_fit(m, "repo", [F.desc("importance"), F.col("path"), F.col("file_id")], {"bytes": 100_000}).select("file_id", "included")
+
+
+@query(
+    """SELECT paste_id, sum(coalesce(size, 0)) OVER w <= 60000 AND row_number() OVER w <= 50 AS included FROM paste_files
+    WINDOW w AS (PARTITION BY repo ORDER BY path, paste_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def budget_stop(s: SparkSession, d: str) -> DataFrame:
+    return manifest.stop_at_overflow(_t(s, d, "paste_files"), "repo", [F.col("path"), F.col("paste_id")], "size", 60_000, 50).select("paste_id", "included")
+
+
+@query(
+    """SELECT repo, packages[1:greatest(1, floor(len(packages) * 24 / (len(packages) * 8))::INT)] AS packages FROM repos WHERE packages IS NOT NULL AND len(packages) * 8 > 24
+    UNION ALL SELECT repo, packages FROM repos WHERE packages IS NOT NULL AND len(packages) * 8 <= 24"""
+)
+def budget_slice(s: SparkSession, d: str) -> DataFrame:
+    r = _t(s, d, "repos").where("packages is not null")
+    return r.select("repo", tx.array_downsample("packages", F.size("packages") * 8, 24).alias("packages"))
+
+
+# --- Text -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT paste_id, (length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS utf16, strlen(content)::BIGINT AS n_bytes,
+    (CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END)::BIGINT AS n_lines,
+    CASE WHEN strlen(content) > 50000 THEN 'skipped-large-file' ELSE sha256(content) END AS sha256, md5(content)[1:8] AS md5 FROM paste_files"""
+)
+def content_stats(s: SparkSession, d: str) -> DataFrame:
+    c = F.col("content")
+    return _t(s, d, "paste_files").select(
+        "paste_id", tx.utf16_length(c).alias("utf16"), F.octet_length(c).cast("bigint").alias("n_bytes"), tx.line_count(c).alias("n_lines"), tx.content_hash(c, F.octet_length(c), 50_000).alias("sha256"), tx.short_md5(c).alias("md5")
+    )
+
+
+@query(
+    """SELECT repo, sum(n)::BIGINT AS chars, ceil(sum(n) / 3)::BIGINT AS conservative, ceil(sum(n) / 5)::BIGINT AS optimistic,
+    floor((ceil(sum(n) / 3) + ceil(sum(n) / 5)) / 2 + 0.5)::BIGINT AS average FROM (SELECT repo, coalesce(length(content), 0) AS n FROM paste_files) GROUP BY repo"""
+)
+def token_estimates(s: SparkSession, d: str) -> DataFrame:
+    g = _t(s, d, "paste_files").groupBy("repo").agg(F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("chars"))
+    return g.select("repo", "chars", tx.tokens_conservative("chars").alias("conservative"), tx.tokens_optimistic("chars").alias("optimistic"), tx.tokens_average("chars").alias("average"))
+
+
+@query(f"SELECT paste_id, md5({_NORMAL.format(t='content')}) AS md5 FROM paste_files WHERE content IS NOT NULL")
+def text_normalized(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "paste_files").where("content is not null").select("paste_id", F.md5(tx.normalized("content")).alias("md5"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, string_split({_NORMAL.format(t="text")}, ' ') AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, greatest(len(w) - 4, 0)::BIGINT AS n, CASE WHEN len(w) < 5 THEN NULL ELSE md5(array_to_string(w[1:5], ' '))[1:8] END AS first FROM a"""
+)
+def shingle_sets(s: SparkSession, d: str) -> DataFrame:
+    sh = _t(s, d, "documents").where("text is not null").select("doc_id", tx.shingles(tx.normalized("text")).alias("s"))
+    return sh.select("doc_id", F.size("s").cast("bigint").alias("n"), F.get("s", F.lit(0)).alias("first"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return similarity.exact_duplicates(_t(s, d, "documents"), "doc_id", "text")
+
+
+def _prints(s: SparkSession, d: str) -> DataFrame:
+    return similarity.fingerprints(_t(s, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_PRINTS} SELECT a, b, similarity FROM pairs")
+def similar_pairs(s: SparkSession, d: str) -> DataFrame:
+    return similarity.similar_pairs(_prints(s, d))
+
+
+@query(
+    f"""WITH {_PRINTS}, size AS (SELECT rep, count(*) AS k FROM prints GROUP BY rep),
+    ends AS (SELECT a AS rep, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs),
+    l AS (SELECT ends.rep, sum(k)::BIGINT AS n FROM ends JOIN size ON size.rep = other GROUP BY ends.rep)
+    SELECT p.id, p.rep AS class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM prints p LEFT JOIN l ON l.rep = p.rep"""
+)
+def similar_links(s: SparkSession, d: str) -> DataFrame:
+    p = _prints(s, d)
+    return similarity.links(p, similarity.similar_pairs(p))
+
+
+@query(f"WITH RECURSIVE {_PRINTS}, {_CLUSTERS} SELECT id, leader FROM members")
+def dup_clusters(s: SparkSession, d: str) -> DataFrame:
+    return similarity.greedy_clusters(similarity.similar_pairs(_prints(s, d))).select("id", "leader")
+
+
+@query(
+    f"""WITH RECURSIVE {_PRINTS}, {_CLUSTERS} SELECT count(*) AS n_clusters, coalesce(sum(k + 1), 0)::BIGINT AS in_clusters, coalesce(sum(chars + p.size), 0)::BIGINT AS cluster_chars,
+    coalesce(max(k + 1), 0)::BIGINT AS largest, (SELECT count(*) FROM documents) AS n_docs, coalesce(sum(k + 1), 0) / (SELECT count(*) FROM documents) AS ratio
+    FROM clusters JOIN prints p ON p.id = leader"""
+)
+def dup_summary(s: SparkSession, d: str) -> DataFrame:
+    p = _prints(s, d)
+    c = similarity.cluster_table(similarity.greedy_clusters(similarity.similar_pairs(p)), p)
+    return similarity.duplication_summary(_t(s, d, "documents"), c)
+
+
+def _redact_sql(column: str) -> str:
+    out = column
+    for name, p in tx.REDACTIONS:
+        keep = "\\1" if "((?:p" in p or p.startswith("(?i)(") else ""
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '{keep}[REDACTED_{name}]{'@' if p.endswith('@') else ''}', 'g')"
+    return out
+
+
+@query(f"SELECT paste_id, md5({_redact_sql('content')}) AS md5, content <> {_redact_sql('content')} AS changed FROM paste_files WHERE content IS NOT NULL")
+def redaction(s: SparkSession, d: str) -> DataFrame:
+    r = tx.redacted("content")
+    return _t(s, d, "paste_files").where("content is not null").select("paste_id", F.md5(r).alias("md5"), (F.col("content") != r).alias("changed"))
+
+
+@query()
+def redaction_counts(s: SparkSession, d: str) -> DataFrame:
+    p = _t(s, d, "paste_files").select(F.explode(tx.redaction_types("content")).alias("type"))
+    return p.groupBy("type").agg(F.count("*").alias("n"))
+
+
+# --- Graph ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_DEGREES} SELECT repo, node, in_degree, out_degree, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN in_degree = 0 THEN 'root'
+    WHEN out_degree = 0 THEN 'leaf' ELSE 'inner' END AS role FROM deg"""
+)
+def node_degrees(s: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_nodes(s, d), _internal(s, d))
+
+
+@query(f"WITH {_DEGREES}, {_FANS} SELECT 'in' AS side, * FROM fi UNION ALL SELECT 'out', * FROM fo")
+def fan_top10(s: SparkSession, d: str) -> DataFrame:
+    g = graph.degrees(_nodes(s, d), _internal(s, d))
+    return graph.top_fan(g, "in_degree").select(F.lit("in").alias("side"), "*").unionByName(graph.top_fan(g, "out_degree").select(F.lit("out").alias("side"), "*"))
+
+
+@query(f"WITH {_DEGREES}, {_FANS} SELECT 'orchestrator' AS role, repo, node, n FROM fo WHERE n >= 10 UNION ALL SELECT 'kernel', repo, node, n FROM fi WHERE n >= 10")
+def roles(s: SparkSession, d: str) -> DataFrame:
+    g = graph.degrees(_nodes(s, d), _internal(s, d))
+    pick = lambda by, name: graph.top_fan(g, by).where("n >= 10").select(F.lit(name).alias("role"), "repo", "node", "n")
+    return pick("out_degree", "orchestrator").unionByName(pick("in_degree", "kernel"))
+
+
+@query(
+    f"""WITH {_GRAPH}, x AS (SELECT * FROM a WHERE dst IS NULL OR (repo, dst) NOT IN (SELECT repo, node FROM n))
+    SELECT * FROM (SELECT {_PACKAGE} AS package, count(*) AS n FROM x GROUP BY 1) WHERE package <> '' ORDER BY n DESC, package LIMIT 20"""
+)
+def external_top20(s: SparkSession, d: str) -> DataFrame:
+    x = graph.external_edges(_edges(s, d), _nodes(s, d))
+    return graph.external_packages(x).orderBy(F.desc("n"), "package").limit(20)
+
+
+@query(
+    f"""WITH {_GRAPH}, x AS (SELECT DISTINCT repo, {_PACKAGE} AS package, specifier FROM a WHERE dst IS NULL OR (repo, dst) NOT IN (SELECT repo, node FROM n))
+    SELECT repo, package, array_to_string(list_sort(list(specifier)), ',') AS specifiers FROM x WHERE package <> '' GROUP BY ALL"""
+)
+def external_deps(s: SparkSession, d: str) -> DataFrame:
+    x = graph.package_specifiers(graph.external_edges(_edges(s, d), _nodes(s, d)))
+    return x.select("repo", "package", F.array_join("specifiers", ",").alias("specifiers"))
+
+
+@query(
+    f"""WITH {_GRAPH}, nn AS (SELECT repo, count(*) AS n_nodes FROM n GROUP BY repo), ee AS (SELECT repo, count(*) AS n_edges FROM (SELECT DISTINCT repo, src, dst FROM a WHERE dst IS NOT NULL) GROUP BY repo),
+    ii AS (SELECT repo, count(*) AS n_internal FROM e GROUP BY repo)
+    SELECT repo, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_internal, 0) AS n_internal, coalesce(n_edges, 0) - coalesce(n_internal, 0) AS n_external
+    FROM nn FULL JOIN ee USING (repo) LEFT JOIN ii USING (repo)"""
+)
+def graph_totals(s: SparkSession, d: str) -> DataFrame:
+    return graph.totals(_nodes(s, d), _edges(s, d), _internal(s, d))
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_SCC} SELECT repo, node, component FROM scc")
+def scc(s: SparkSession, d: str) -> DataFrame:
+    return graph.components(_internal(s, d))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, s AS (SELECT repo, min(src) AS node FROM e GROUP BY repo),
+    r(repo, node) AS (SELECT * FROM s UNION SELECT r.repo, e.dst FROM r JOIN e ON e.repo = r.repo AND e.src = r.node) SELECT repo, node FROM r"""
+)
+def reachable(s: SparkSession, d: str) -> DataFrame:
+    return graph.bfs(_internal(s, d), _seeds(s, d)).select("repo", "node")
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, s AS (SELECT repo, min(src) AS node FROM e GROUP BY repo),
+    r(repo, node, k) AS (SELECT repo, node, 0::BIGINT FROM s UNION SELECT r.repo, e.dst, k + 1 FROM r JOIN e ON e.repo = r.repo AND e.src = r.node WHERE k < 5)
+    SELECT repo, node, min(k) AS distance FROM r GROUP BY ALL"""
+)
+def bfs_depth(s: SparkSession, d: str) -> DataFrame:
+    return graph.bfs(_internal(s, d), _seeds(s, d), 5)
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, s AS (SELECT repo, min(src) AS node FROM e GROUP BY repo),
+    r(repo, node, k) AS (SELECT repo, node, 0::BIGINT FROM s UNION SELECT r.repo, e.dst, k + 1 FROM r JOIN e ON e.repo = r.repo AND e.src = r.node WHERE k < 3),
+    m AS (SELECT repo, node, min(k) AS k FROM r GROUP BY ALL) SELECT repo, max(k) AS eccentricity, count(*) AS n_nodes FROM m GROUP BY repo"""
+)
+def eccentricity(s: SparkSession, d: str) -> DataFrame:
+    return scoped.eccentricity(graph.bfs(_internal(s, d), _seeds(s, d), 3))
+
+
+@query(f"WITH {_GRAPH}, {_HUBS} SELECT repo, node, reexports, edges_total, reexports / edges_total AS ratio FROM hubs")
+def hubs(s: SparkSession, d: str) -> DataFrame:
+    return graph.reexport_hubs(_edges(s, d))
+
+
+@query(f"WITH {_DEGREES}, {_FANS}, {_HUBS}, {_SPOTS} SELECT repo, node, score, coalesce(array_to_string(reasons, ','), '') AS reasons, rank FROM hot")
+def hotspots(s: SparkSession, d: str) -> DataFrame:
+    h = graph.hotspots(graph.degrees(_nodes(s, d), _internal(s, d)), graph.reexport_hubs(_edges(s, d)))
+    return h.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    f"""WITH {_DEGREES}, {_HUBS} SELECT repo, node, 'split-imports' AS cut, 'high' AS impact FROM deg WHERE out_degree > 15
+    UNION ALL SELECT repo, node, 'reduce-reexports', 'medium' FROM hubs WHERE reexports / edges_total > 0.8 AND reexports > 10"""
+)
+def suggested_cuts(s: SparkSession, d: str) -> DataFrame:
+    return report.suggested_cuts(graph.degrees(_nodes(s, d), _internal(s, d)), graph.reexport_hubs(_edges(s, d)))
+
+
+@query(
+    f"""WITH RECURSIVE {_DEGREES}, {_FANS}, {_HUBS}, {_SPOTS}, {_SCC},
+    g AS (SELECT repo, max(in_degree) AS max_fan_in, max(out_degree) AS max_fan_out, count(*) AS n_nodes FROM deg GROUP BY repo),
+    j AS (SELECT g.*, coalesce((SELECT max(reexports) FROM hubs h WHERE h.repo = g.repo), 0) AS max_reexports, (SELECT count(*) FROM hubs h WHERE h.repo = g.repo) AS n_hubs,
+        coalesce((SELECT max(score) FROM hot WHERE hot.repo = g.repo), 0) AS max_hotspot, (SELECT count(DISTINCT component) FROM scc WHERE scc.repo = g.repo) AS n_components FROM g),
+    k AS (SELECT *, ((n_components > 0)::INT * 3 + (max_fan_out > 20)::INT * 2 + (max_reexports > 30)::INT * 2 + (max_hotspot > 50)::INT)::BIGINT AS risk_score FROM j)
+    SELECT *, CASE WHEN risk_score >= 5 THEN 'high' WHEN risk_score >= 3 THEN 'medium' ELSE 'low' END AS risk_level,
+    CASE WHEN n_components = 0 AND max_fan_out <= 15 AND n_hubs <= 20 THEN 'No major structural concerns' ELSE
+        concat_ws('; ', CASE WHEN n_components > 0 THEN 'Break import cycles' END, CASE WHEN max_fan_out > 15 THEN 'Split files with a high fan-out' END, CASE WHEN n_hubs > 20 THEN 'Consolidate re-export hubs' END) END AS actions FROM k"""
+)
+def refactor_report(s: SparkSession, d: str) -> DataFrame:
+    i, h = _internal(s, d), graph.reexport_hubs(_edges(s, d))
+    g = graph.degrees(_nodes(s, d), i)
+    return report.report(g, h, graph.hotspots(g, h), graph.components(i)).withColumn("actions", F.array_join("actions", "; "))
+
+
+@query("SELECT repo, from_path, to_path, kind, specifier FROM import_edges QUALIFY row_number() OVER (PARTITION BY repo, from_path, to_path, kind ORDER BY edge_id) = 1")
+def edge_dedupe(s: SparkSession, d: str) -> DataFrame:
+    e = manifest.latest(_t(s, d, "import_edges"), ["repo", "from_path", "to_path", "kind"], [F.col("edge_id")])
+    return e.select("repo", "from_path", "to_path", "kind", "specifier")
+
+
+@query(f"SELECT edge_id, {_PACKAGE} AS package, regexp_matches(specifier, '^(\\./|\\.\\./|/)') AS relative FROM import_edges")
+def package_of_specifier(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "import_edges").select("edge_id", paths.package_of("specifier").alias("package"), paths.is_relative("specifier").alias("relative"))
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT repo, regexp_replace(from_path, '/?[^/]*$', '') AS dir, specifier FROM import_edges WHERE regexp_matches(specifier, '^(\\./|\\.\\./)')),
+    u AS (SELECT *, len(regexp_extract_all(specifier, '\\.\\./')) AS ups, regexp_replace(specifier, '^(\\./|\\.\\./)+', '') AS rest, string_split(dir, '/') AS parts FROM q),
+    b AS (SELECT repo, dir, specifier, array_to_string(list_concat(parts[1:greatest(len(parts) - ups, 0)], [rest]), '/') AS base FROM u),
+    c AS (SELECT repo, dir, specifier, p, base || s AS path FROM b, (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(resolve.SUFFIXES))}) v(p, s)
+        UNION ALL SELECT repo, dir, specifier, 100 + p, regexp_replace(base, '\\.m?js$', '') || s FROM b, (VALUES (0, '.ts'), (1, '.tsx'), (2, '.mts')) v(p, s) WHERE regexp_matches(base, '\\.m?js$'))
+    SELECT c.repo, dir, specifier, arg_min(c.path, p) AS resolved FROM c JOIN (SELECT DISTINCT repo, path FROM file_infos) f ON f.repo = c.repo AND f.path = c.path GROUP BY ALL"""
+)
+def resolved_specifiers(s: SparkSession, d: str) -> DataFrame:
+    r = resolve.resolve(_edges(s, d), _t(s, d, "file_infos"))
+    return r.where("resolved is not null and not startswith(specifier, '/')").select("repo", paths.directory("src").alias("dir"), "specifier", "resolved").distinct()
+
+
+# --- Paste ----------------------------------------------------------------------------------------------------------
+
+_REASON = f"""CASE WHEN {_EXT} NOT IN ('ts', 'tsx', 'js', 'py', 'md') THEN 'extension' WHEN NOT regexp_matches(path, '/.*/') THEN 'not included'
+    WHEN contains(path, '.test.') OR regexp_matches(path, 'tools/.*probe') THEN 'excluded'
+    WHEN list_has_any(string_split(path, '/')[1:-2], ['node_modules', 'dist', 'build', 'coverage', '.git']) THEN 'directory' END"""
+
+
+def _reason():
+    return paste.exclude_reason("path", ["ts", "tsx", "js", "py", "md"], ["/*/"], [".test.", "tools/*probe"])
+
+
+@query(f"SELECT paste_id, {_REASON} AS exclude_reason FROM paste_files")
+def paste_filter(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "paste_files").select("paste_id", _reason().alias("exclude_reason"))
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT paste_id, repo, path, coalesce(size, 0) AS size, coalesce(loc, 0) AS loc, {_REASON} AS reason FROM paste_files),
+    o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, paste_id) AS rn FROM p WHERE reason IS NULL AND size <= 40000 AND loc <= 900),
+    f(repo, rn, paste_id, k, l, b, ok) AS (SELECT repo, rn, paste_id, 1, loc, size, true FROM o WHERE rn = 1 UNION ALL
+        SELECT o.repo, o.rn, o.paste_id, k + t::INT, l + t::INT * o.loc, b + t::INT * o.size, t FROM (SELECT f.*, o.*, f.k + 1 <= 20 AND f.l + o.loc <= 900 AND f.b + o.size <= 40000 AS t FROM f JOIN o ON o.repo = f.repo AND o.rn = f.rn + 1) AS x(repo_f, rn_f, pf, k, l, b, okf, paste_id, repo, path, size, loc, reason, rn, t)
+        JOIN o ON o.paste_id = x.paste_id)
+    SELECT p.paste_id, coalesce(f.ok, false) AS included, CASE WHEN reason IS NOT NULL THEN reason WHEN NOT coalesce(f.ok, false) THEN 'budget exceeded' END AS exclude_reason
+    FROM p LEFT JOIN f USING (paste_id)"""
+)
+def paste_budget(s: SparkSession, d: str) -> DataFrame:
+    c = paste.choose(_t(s, d, "paste_files").drop("included", "exclude_reason"), "repo", _reason(), 20, 900, 40_000, ["path", "paste_id"])
+    return c.select("paste_id", "included", "exclude_reason")
+
+
+@query()
+def paste_totals(s: SparkSession, d: str) -> DataFrame:
+    c = paste.choose(_t(s, d, "paste_files").drop("included", "exclude_reason"), "repo", _reason(), order=["path", "paste_id"])
+    return paste.totals(c, "repo")
+
+
+@query()
+def paste_render(s: SparkSession, d: str) -> DataFrame:
+    c = paste.choose(_t(s, d, "paste_files").drop("included", "exclude_reason"), "repo", _reason(), order=["path", "paste_id"])
+    return paste.render(c, "repo").select("repo", F.md5("text").alias("md5"), F.length("text").alias("n_chars"))
+
+
+@query(
+    """SELECT paste_id, md5(CASE WHEN len(l) <= 50 THEN content ELSE array_to_string(l[1:30], chr(10)) || chr(10) || '... (' || (len(l) - 30) || ' more lines)' END) AS md5
+    FROM (SELECT paste_id, path, content, string_split(content, chr(10)) AS l FROM paste_files) WHERE content IS NOT NULL AND regexp_matches(path, '\\.(md|yml|yaml|json|env|py)$')"""
+)
+def signatures_nonsource(s: SparkSession, d: str) -> DataFrame:
+    p = _t(s, d, "paste_files").where(F.col("path").rlike(r"\.(md|yml|yaml|json|env|py)$") & F.col("content").isNotNull())
+    return paste.signatures(p, "paste_id", "path", "content").select(F.col("id").alias("paste_id"), F.md5("signatures").alias("md5"))
+
+
+@query()
+def signatures(s: SparkSession, d: str) -> DataFrame:
+    return paste.signatures(_t(s, d, "paste_files"), "paste_id", "path", "content").select(F.col("id").alias("paste_id"), F.length("signatures").alias("n_chars"))
+
+
+# --- Catalogues -----------------------------------------------------------------------------------------------------
+
+_TS = "content IS NOT NULL AND regexp_matches(path, '\\.(ts|tsx)$')"
+
+
+def _ts(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "paste_files").where(F.col("content").isNotNull() & F.col("path").rlike(r"\.(ts|tsx)$"))
+
+
+_NAMES = f"""list_concat({', '.join(f"regexp_extract_all(content, '{p}', 1)" for _, p in cat.EXPORT_PATTERNS[:1])}, list_concat({f"regexp_extract_all(content, '{cat.EXPORT_PATTERNS[1][1]}', 1)"}, list_concat(
+    {f"regexp_extract_all(content, '{cat.EXPORT_PATTERNS[2][1]}', 1)"}, list_concat({f"regexp_extract_all(content, '{cat.EXPORT_PATTERNS[3][1]}', 1)"}, list_concat({f"regexp_extract_all(content, '{cat.EXPORT_PATTERNS[4][1]}', 1)"}, list_concat(
+    {f"regexp_extract_all(content, '{cat.EXPORT_PATTERNS[5][1]}', 1)"},
+    list_filter(flatten(list_transform(regexp_extract_all(content, '{cat.EXPORT_LIST}', 1), lambda b: list_transform(string_split(b, ','), lambda x: regexp_replace(trim(regexp_replace(x, '[\\s]+', ' ', 'g')), '^type | as .*$', '', 'g')))), lambda x: regexp_matches(x, '{cat.IDENTIFIER}'))))))))"""
+
+
+@query(
+    f"""SELECT paste_id, array_to_string(list_sort(list_distinct(CASE WHEN regexp_matches(content, 'export\\s+default\\b') THEN list_append({_NAMES}, 'default') ELSE {_NAMES} END)), ',') AS names
+    FROM paste_files WHERE {_TS}"""
+)
+def exports_regex(s: SparkSession, d: str) -> DataFrame:
+    return _ts(s, d).select("paste_id", F.array_join(cat.export_names("content"), ",").alias("names"))
+
+
+_EXPORTED = (
+    "x AS ("
+    + " UNION ALL ".join(f"SELECT repo, path, paste_id, unnest(regexp_extract_all(content, '{p}', 1)) AS name, '{k}' AS kind FROM t" for k, p in cat.EXPORT_PATTERNS)
+    + r""" UNION ALL SELECT repo, path, paste_id, regexp_replace(trim(regexp_replace(unnest(string_split(regexp_extract(l, '\{([^}]*)\}', 1), ',')), '\s+', ' ', 'g')), '^type |^.* as ', '', 'g'),
+    CASE WHEN regexp_matches(l, '\}\s*from$') THEN 'reexport' ELSE 'var' END FROM (SELECT repo, path, paste_id, unnest(regexp_extract_all(content, 'export\s*(?:type\s*)?\{[^}]*\}(?:\s*from\b)?')) AS l FROM t)
+    UNION ALL SELECT repo, path, paste_id, unnest(regexp_extract_all(content, 'export\s*\*\s*as\s+([A-Za-z_$][\w$]*)', 1)), 'reexport' FROM t
+    UNION ALL SELECT repo, path, paste_id, 'default', 'default' FROM t WHERE regexp_matches(content, 'export\s+default\b'))""".replace("\\", "\")
+)
+
+
+@query(f"WITH t AS (SELECT * FROM paste_files WHERE {_TS}), {_EXPORTED} SELECT DISTINCT repo, path, paste_id, name, kind FROM x WHERE regexp_matches(name, '{cat.IDENTIFIER}')")
+def exports_catalogue(s: SparkSession, d: str) -> DataFrame:
+    return cat.exports(_ts(s, d), ["repo", "path", "paste_id"], "content")
+
+
+@query(
+    f"""WITH t AS (SELECT * FROM paste_files WHERE {_TS}), {_EXPORTED}, y AS (SELECT DISTINCT repo, path, paste_id, name, kind FROM x WHERE regexp_matches(name, '{cat.IDENTIFIER}')),
+    k AS (SELECT repo, kind, count(*) AS n FROM y GROUP BY ALL)
+    SELECT repo, sum(n)::BIGINT AS n_exports, coalesce(sum(n) FILTER (WHERE kind = 'reexport'), 0)::BIGINT AS n_reexports, coalesce(sum(n) FILTER (WHERE kind = 'default'), 0)::BIGINT AS n_defaults,
+    array_to_string(list_sort(list(kind || '=' || n)), ',') AS by_kind FROM k GROUP BY repo"""
+)
+def exports_summary(s: SparkSession, d: str) -> DataFrame:
+    return cat.exports_summary(cat.exports(_ts(s, d), ["repo", "path", "paste_id"], "content"), "repo")
+
+
+_CODE = r"regexp_replace(regexp_replace(regexp_replace(content, '/\*.*?\*/', ' ', 'gs'), '''[^''\n]*''|\"[^\"\n]*\"', '''''', 'g'), '//[^\n]*', '', 'g')"
+
+
+@query(f"SELECT paste_id, {', '.join(f'len(regexp_extract_all({_CODE}, {chr(39)}{p}{chr(39)}))::BIGINT AS {k}' for k, p in cat.KEYWORDS.items())} FROM paste_files WHERE {_TS}")
+def type_metrics(s: SparkSession, d: str) -> DataFrame:
+    return cat.type_metrics(_ts(s, d), ["paste_id"], "content").select("paste_id", *cat.KEYWORDS)
+
+
+@query("SELECT kind, bucket, count(*) AS n_files, sum(bytes)::BIGINT AS bytes, sum(loc)::BIGINT AS loc FROM (SELECT coalesce(kind, '(none)') AS kind, coalesce(bucket, '(none)') AS bucket, bytes, loc FROM file_infos) GROUP BY ROLLUP (kind, bucket)")
+def rollup_metrics(s: SparkSession, d: str) -> DataFrame:
+    f = _t(s, d, "file_infos").select(F.coalesce("kind", F.lit("(none)")).alias("kind"), F.coalesce("bucket", F.lit("(none)")).alias("bucket"), "bytes", "loc")
+    return cat.rollup_metrics(f, ["kind", "bucket"], ["bytes", "loc"])
+
+
+@query("SELECT coalesce(lockfile, '(none)') AS value, count(*) AS n FROM repos GROUP BY 1")
+def config_distribution(s: SparkSession, d: str) -> DataFrame:
+    return cat.distribution(_t(s, d, "repos"), "lockfile")
+
+
+@query(
+    """WITH f AS (SELECT file_id, path, lower(regexp_extract(path, '([^/]*)$', 1)) AS n FROM file_infos
+        WHERE regexp_matches(path, '(?i)((schema|zod|yup|contract|validator|validation)[^/]*|types?)\\.ts$')),
+    c AS (SELECT file_id, CASE WHEN contains(n, 'zod') THEN 'zod' WHEN contains(n, 'yup') THEN 'yup' WHEN contains(n, 'contract') THEN 'contract' WHEN contains(n, 'validat') THEN 'validator' WHEN contains(n, 'schema') THEN 'schema' ELSE 'other' END AS class FROM f)
+    SELECT file_id, class, CASE WHEN class IN ('zod', 'yup') THEN class ELSE 'custom' END AS framework FROM c"""
+)
+def schema_index(s: SparkSession, d: str) -> DataFrame:
+    f = cat.schema_files(_t(s, d, "file_infos")).select("file_id", cat.schema_class("path").alias("class"))
+    return f.withColumn("framework", cat.schema_framework(F.col("class")))
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT repo, from_path AS package, {_PACKAGE} AS dependency FROM import_edges), w AS (SELECT DISTINCT repo, split_part(unnest(packages), '/', -1) AS name FROM repos WHERE packages IS NOT NULL)
+    SELECT d.repo, package, coalesce(array_to_string(list_sort(list(dependency) FILTER (WHERE name IS NOT NULL)), ','), '') AS internal,
+    coalesce(array_to_string(list_sort(list(dependency) FILTER (WHERE name IS NULL)), ','), '') AS external FROM d LEFT JOIN w ON w.repo = d.repo AND w.name = dependency WHERE dependency <> '' GROUP BY ALL"""
+)
+def topology(s: SparkSession, d: str) -> DataFrame:
+    deps = _t(s, d, "import_edges").select("repo", F.col("from_path").alias("package"), paths.package_of("specifier").alias("dependency")).where("dependency <> ''")
+    packages = _t(s, d, "repos").select("repo", F.explode("packages").alias("p")).select("repo", paths.file_name("p").alias("name"))
+    w = resolve.workspace_dependencies(deps, packages)
+    return w.select("repo", "package", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
+
+
+# --- Scoped ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT repo, path, start_line AS s, greatest(start_line, end_line) AS e,
+        max(greatest(start_line, end_line)) OVER (PARTITION BY repo, path ORDER BY start_line, greatest(start_line, end_line) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM code_slices WHERE start_line IS NOT NULL AND end_line IS NOT NULL),
+    g AS (SELECT *, sum(CASE WHEN r IS NULL OR s - r > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM w)
+    SELECT repo, path, min(s) AS start_line, max(e) AS end_line, count(*) AS n FROM g GROUP BY repo, path, g"""
+)
+def slice_merge(s: SparkSession, d: str) -> DataFrame:
+    return scoped.merge_ranges(_t(s, d, "code_slices"), ["repo", "path"], "start_line", "end_line")
+
+
+@query(
+    """WITH l AS (SELECT slice_id, regexp_escape(symbol_name) AS n, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM code_slices)
+    SELECT c.slice_id, min(l.i)::BIGINT AS line FROM code_slices c LEFT JOIN l ON l.slice_id = c.slice_id AND regexp_matches(trim(regexp_replace(l.l, '[\\r\\t]', ' ', 'g')),
+    '^(?:export\\s+)?(?:(?:default|async|abstract|declare)\\s+)*(?:function|class|interface|type|enum|const|let)\\s+' || n || '(?:[^\\w$]|$)|^' || n || '\\s*[:=]') GROUP BY c.slice_id"""
+)
+def line_search(s: SparkSession, d: str) -> DataFrame:
+    return scoped.find_declaration(_t(s, d, "code_slices"), "slice_id", "body", "symbol_name").select(F.col("id").alias("slice_id"), "line")
+
+
+@query(
+    """SELECT slice_id, floor(b * CASE WHEN k = 0 THEN 1.5 ELSE greatest(0.5, 1 - 0.1 * k) END + 0.5)::BIGINT AS tokens, round(2.5 * pow(0.8, k), 6) AS score,
+    CASE WHEN regexp_matches(n, '^I[A-Z]') THEN 'interface' WHEN regexp_matches(n, '^[A-Z][A-Z0-9_]+$') THEN 'const' WHEN regexp_matches(n, '^[A-Z]') THEN 'class' ELSE 'function' END AS kind
+    FROM (SELECT slice_id, symbol_name AS n, slice_id % 4 AS k, CASE WHEN regexp_matches(symbol_name, '^I[A-Z0-9_]') THEN 50 WHEN regexp_matches(symbol_name, '^[A-Z0-9_]') THEN 200
+        WHEN regexp_matches(symbol_name, 'create|build|generate') THEN 150 ELSE 100 END AS b FROM code_slices WHERE symbol_name IS NOT NULL)"""
+)
+def symbol_estimates(s: SparkSession, d: str) -> DataFrame:
+    c = _t(s, d, "code_slices").where("symbol_name is not null")
+    k = F.col("slice_id") % 4
+    return c.select("slice_id", symbols.token_estimate("symbol_name", k).alias("tokens"), F.round(symbols.edge_score(symbols.edge_weight(F.lit("typeRef")), k), 6).alias("score"), symbols.guessed_kind("symbol_name").alias("kind"))
+
+
+@query(
+    """SELECT slice_id, regexp_extract(symbol_id, '^([^#:]+)#([A-Za-z_$][\\w$]*)(?:\\.([A-Za-z_$][\\w$]*))?$', 1) AS path, regexp_extract(symbol_id, '^([^#:]+)#([A-Za-z_$][\\w$]*)(?:\\.([A-Za-z_$][\\w$]*))?$', 2) AS symbol,
+    coalesce(regexp_matches(symbol_id, '^([^#:]+)#([A-Za-z_$][\\w$]*)(?:\\.([A-Za-z_$][\\w$]*))?$'), false) AS valid FROM code_slices WHERE symbol_id IS NOT NULL AND NOT contains(symbol_id, ':')"""
+)
+def seed_parse(s: SparkSession, d: str) -> DataFrame:
+    p = _t(s, d, "code_slices").where("symbol_id is not null and not contains(symbol_id, ':')").select("slice_id", symbols.parse_seed("symbol_id").alias("s"))
+    return p.select("slice_id", F.coalesce("s.path", F.lit("")).alias("path"), F.coalesce("s.symbol", F.lit("")).alias("symbol"), "s.valid")
+
+
+@query("SELECT symbol_id, count(*) AS n_slices, sum(tokens.average)::BIGINT AS tokens FROM code_slices WHERE symbol_id IS NOT NULL GROUP BY symbol_id")
+def token_by_symbol(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "code_slices").where("symbol_id is not null").groupBy("symbol_id").agg(F.count("*").alias("n_slices"), F.sum("tokens.average").cast("bigint").alias("tokens"))
+
+
+@query(
+    """SELECT slice_id, greatest(1, start_line - 3) AS from_line, least(1000, end_line + 3) AS to_line,
+    (SELECT coalesce(sum(length(x) + 1), 0) FROM (SELECT unnest(string_split(body, chr(10))[1:2]) AS x))::BIGINT AS third_line_at FROM code_slices WHERE body IS NOT NULL AND len(string_split(body, chr(10))) >= 3"""
+)
+def context_lines(s: SparkSession, d: str) -> DataFrame:
+    c = _t(s, d, "code_slices").where("body is not null").where(F.size(F.split("body", "\n")) >= 3)
+    return c.select("slice_id", symbols.context_range("start_line", "end_line", F.lit(1000).cast("bigint")).alias("r"), symbols.char_offset("body", F.lit(3)).alias("third_line_at")).select("slice_id", "r.from_line", "r.to_line", "third_line_at")
+
+
+@query()
+def symbol_graph(s: SparkSession, d: str) -> DataFrame:
+    e = _edges(s, d).join(_internal(s, d), ["repo", "src", "dst"], "left_semi")
+    return scoped.symbol_graph(e, _seeds(s, d), 2, paths.test_path("src") | paths.test_path("dst"))
+
+
+@query()
+def rank_order(s: SparkSession, d: str) -> DataFrame:
+    i = _internal(s, d)
+    near = graph.bfs(i, _seeds(s, d), 2).withColumn("name", F.regexp_replace(paths.file_name("node"), r"\..*$", ""))
+    e = _edges(s, d).join(i, ["repo", "src", "dst"], "left_semi")
+    return scoped.rank(near, e, 3000)
+
+
+@query()
+def scoped_slices(s: SparkSession, d: str) -> DataFrame:
+    c = _t(s, d, "code_slices").select("repo", "path", F.col("symbol_name").alias("symbol"), F.col("start_line").alias("line")).distinct()
+    p = manifest.latest(_t(s, d, "paste_files").where("content is not null and content <> ''"), ["repo", "path"], [F.desc("paste_id")])
+    return scoped.slices(p, c).select("repo", "path", "symbol", "start_line", "end_line", F.md5("body").alias("md5"))
+
+
+@query()
+def symbol_stubs(s: SparkSession, d: str) -> DataFrame:
+    c = _t(s, d, "code_slices").select(F.col("path").alias("owner"), F.col("symbol_name").alias("name"), F.lower("symbol_kind").alias("kind"))
+    t = scoped.stubs(c)
+    return t.select("owner", "n", F.md5("text").alias("md5"), validate.stub_ok("text").alias("ok"))
+
+
+# --- Budgets, validation, output ------------------------------------------------------------------------------------
+
+
+def _artifacts(s: SparkSession, d: str) -> DataFrame:
+    f = _t(s, d, "file_infos").groupBy("repo").agg(F.lit("files-manifest").alias("id"), F.sum("bytes").alias("size"))
+    g = _t(s, d, "import_edges").groupBy("repo").agg(F.lit("import-graph").alias("id"), (F.count("*") * 100).alias("size"))
+    r = _t(s, d, "repos").select("repo", F.lit("topology").alias("id"), (F.coalesce(F.size("packages"), F.lit(0)) * 300).cast("bigint").alias("size"))
+    return f.unionByName(g).unionByName(r).select("repo", "id", "size", F.concat(F.lit("ts/"), "id", F.lit(".json")).alias("filename"))
+
+
+_ARTIFACTS = """t AS (SELECT repo, 'files-manifest' AS id, sum(bytes)::BIGINT AS size FROM file_infos GROUP BY repo UNION ALL SELECT repo, 'import-graph', count(*) * 100 FROM import_edges GROUP BY repo
+    UNION ALL SELECT repo, 'topology', coalesce(len(packages), 0) * 300 FROM repos)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ARTIFACTS}, v AS (SELECT *, 1000.0::DOUBLE / greatest(size, 1) * CASE WHEN id IN ('topology', 'import-graph') THEN 2.0 ELSE 1.0 END AS value FROM t WHERE size <= 60000),
+    o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY value DESC, id) AS rn FROM v),
+    f(repo, rn, id, used, ok) AS (SELECT repo, rn, id, size, true FROM o WHERE rn = 1 UNION ALL SELECT o.repo, o.rn, o.id, used + CASE WHEN used + size <= 80000 THEN size ELSE 0 END, used + size <= 80000 FROM f JOIN o ON o.repo = f.repo AND o.rn = f.rn + 1)
+    SELECT t.repo, t.id, coalesce(ok, false) AS included, CASE WHEN ok IS NULL THEN 'over artifact budget' WHEN ok THEN 'kept' ELSE 'over total budget' END AS decision FROM t LEFT JOIN f ON f.repo = t.repo AND f.id = t.id"""
+)
+def artifact_budget(s: SparkSession, d: str) -> DataFrame:
+    return budget.choose_artifacts(_artifacts(s, d), "repo", 80_000, 60_000).select("repo", "id", "included", "decision")
+
+
+@query(
+    f"""WITH {_ARTIFACTS} SELECT repo, id, id || '.json' AS filename, variant FROM t, (VALUES ('full', 1), ('short', 2), ('minimal', 3)) x(variant, k)
+    WHERE k = 1 OR (k = 2 AND id IN ('topology', 'files-manifest', 'import-graph')) OR (k = 3 AND id = 'import-graph')"""
+)
+def variants(s: SparkSession, d: str) -> DataFrame:
+    return budget.variants(_artifacts(s, d)).select("repo", "id", "filename", "variant")
+
+
+@query(
+    f"""SELECT rule, count(*) FILTER (WHERE broken) AS n FROM (
+    SELECT unnest(['path.required', 'bytes.range', 'loc.range', 'kind.enum', 'bucket.enum', 'sha256.pattern', 'large-file', 'empty-code']) AS rule,
+    unnest([path IS NULL OR path = '', bytes IS NULL OR bytes < 0, loc IS NULL OR loc < 0, kind IS NULL OR kind NOT IN ({_LIST(validate.KINDS)}), bucket IS NULL OR bucket NOT IN ({_LIST(validate.BUCKETS)}),
+        coalesce(NOT regexp_matches(sha256, '{validate.SHA}'), false), coalesce(bytes > 1000000, false), coalesce(kind = 'code' AND loc = 0, false)]) AS broken FROM file_infos) GROUP BY rule"""
+)
+def validation_counts(s: SparkSession, d: str) -> DataFrame:
+    return validate.counts(_t(s, d, "file_infos"), validate.file_rules() | validate.file_warnings())
+
+
+@query("SELECT json_object('event_id', event_id, 'event_type', event_type, 'user_id', user_id)::VARCHAR AS json FROM events")
+def canonical_json(s: SparkSession, d: str) -> DataFrame:
+    return emit.canonical_json(_t(s, d, "events").select("user_id", "event_type", "event_id"))
+
+
+@query()
+def ndjson_round_trip(s: SparkSession, d: str) -> DataFrame:
+    f = _t(s, d, "file_infos").select("path", "bytes", "sha256", "loc", "kind", "bucket", F.col("ignore_reason").alias("ignoreReason"))
+    return validate.ndjson(emit.canonical_json(f, "value")).groupBy("valid").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT repo, strftime(date_trunc('day', created_at AT TIME ZONE 'UTC'), '%Y-%m-%dT%H:%M:%S.000Z') AS day FROM repos")
+def utc_days(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "repos").select("repo", tx.utc_day("created_at").alias("day"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
