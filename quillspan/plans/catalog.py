@@ -479,7 +479,7 @@ _EXPORTED = (
     + r""" UNION ALL SELECT repo, path, paste_id, regexp_replace(trim(regexp_replace(unnest(string_split(regexp_extract(l, '\{([^}]*)\}', 1), ',')), '\s+', ' ', 'g')), '^type |^.* as ', '', 'g'),
     CASE WHEN regexp_matches(l, '\}\s*from$') THEN 'reexport' ELSE 'var' END FROM (SELECT repo, path, paste_id, unnest(regexp_extract_all(content, 'export\s*(?:type\s*)?\{[^}]*\}(?:\s*from\b)?')) AS l FROM t)
     UNION ALL SELECT repo, path, paste_id, unnest(regexp_extract_all(content, 'export\s*\*\s*as\s+([A-Za-z_$][\w$]*)', 1)), 'reexport' FROM t
-    UNION ALL SELECT repo, path, paste_id, 'default', 'default' FROM t WHERE regexp_matches(content, 'export\s+default\b'))""".replace("\\", "\")
+    UNION ALL SELECT repo, path, paste_id, 'default', 'default' FROM t WHERE regexp_matches(content, 'export\s+default\b'))"""
 )
 
 
