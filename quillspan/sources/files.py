@@ -48,6 +48,9 @@ def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignore_l
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + _quote(base) + "/", "")
     f = raw.select(rel.alias("path"), F.col("length").alias("bytes"), "content")
+    empty = _empty_files(base)
+    if empty:
+        f = f.unionByName(spark.createDataFrame([(p, 0, bytearray()) for p in empty], "path string, bytes bigint, content binary"))
     f = f.where(~ignored("path", ignore_rules(list(ignore_lines)))).where(~paths.is_binary_name("path"))
     for g in excludes:
         f = f.where(~F.col("path").rlike("(?i)" + paths.glob_to_regex(g)))
@@ -57,6 +60,14 @@ def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignore_l
     return f.select("path", "bytes", tx.content_hash("content", "bytes", max_hash_mb * 1024 * 1024, hash_files).alias("sha256"), tx.line_count("text").alias("loc"), paths.file_kind("path").alias("kind"), paths.visibility("path").alias("bucket"), "text")
 
 
+def _empty_files(root: str) -> list[str]:
+    """Empty files below a local directory: the scan itself never delivers files without bytes."""
+    found = []
+    for folder, _, names in os.walk(root):
+        found += [os.path.relpath(p, root) for p in (os.path.join(folder, n) for n in names) if os.path.isfile(p) and not os.path.getsize(p)]
+    return sorted(found)
+
+
 def _quote(s: str) -> str:
     import re
 
