@@ -103,12 +103,12 @@ def pick_phrases(text: str, min_chars: int, phrase_chars: int) -> tuple[np.ndarr
 
 
 def _starts(text: str, automaton, min_chars: int, phrase_chars: int, step: int) -> list[int]:
-    """Grid starts of the windows around every phrase occurrence."""
+    """Grid starts of the windows around every phrase occurrence, as far as a core still fits."""
     n, reach, out = len(text), min_chars - phrase_chars, set()
     for end, _ in automaton.iter(text):
         p = end - phrase_chars + 1
         out.update(range(max(p - reach // step * step, p % step), p + 1, step))
-    return sorted(q for q in out if q <= n - min_chars)
+    return sorted(q for q in out if q <= n - (min_chars - step + 1))
 
 
 def _window(text: str, at: int, n: int) -> bytes:
@@ -166,38 +166,50 @@ def shared_spans(
     met = long.join(confirmed, "rid")
     met = cut(met) if checkpoint else met
 
+    core = min_chars - step + 1  # what all windows that start up to a step before a grid start have in common
+
     def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        core = min_chars - step + 1  # what all windows between two grid starts have in common
         for b in batches:
             a = _automaton(b.text, b.pos, phrase_chars)
             rows = []
             for r, t in zip(b.rid, b.text, strict=True):
                 starts = _starts(t, a, min_chars, phrase_chars, step)
-                rows += [(r, x) for x in {_window(t, q, min_chars) for q in starts}]
+                rows += [(r, x) for x in {_window(t, q, min_chars) for q in starts if q + min_chars <= len(t)}]
                 rows += [(r, x) for x in {_window(t, q, core) for q in starts}]
             yield pd.DataFrame(rows, columns=["rid", "w"])
 
+    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            a = _automaton(b.text, b.pos, phrase_chars)
+            rows: set[bytes] = set()
+            for t, hit in zip(b.text, b.hit, strict=True):
+                hit = set(map(bytes, hit))
+                starts = _starts(t, a, min_chars, phrase_chars, step)
+                on = {q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit}
+                # Grid windows that recur on both sides cover all windows between them already.
+                rows |= {w for q in starts if not (q in on and q - step in on) for w in [_window(t, q, core)] if w in hit}
+            yield pd.DataFrame({"w": sorted(rows)})
+
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        core = min_chars - step + 1
         for b in batches:
             a = _automaton(b.text, b.pos, phrase_chars)
             rows = []
-            for r, t, hit in zip(b.rid, b.text, b.hit, strict=True):
-                rows += [(r, x) for x in {_window(t, q, min_chars) for q in _fine(t, _starts(t, a, min_chars, phrase_chars, step), set(map(bytes, hit)), min_chars, core, step)}]
+            for r, t, want in zip(b.rid, b.text, b.want, strict=True):
+                fine = _fine(t, _starts(t, a, min_chars, phrase_chars, step), set(map(bytes, want)), min_chars, core, step)
+                rows += [(r, x) for x in {_window(t, q, min_chars) for q in fine}]
             yield pd.DataFrame(rows, columns=["rid", "w"])
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        core = min_chars - step + 1
         for b in batches:
             a = _automaton(b.text, b.pos, phrase_chars)
             rows = []
-            for r, t, hit, more in zip(b.rid, b.text, b.hit, b.more, strict=True):
+            for r, t, hit, want, more in zip(b.rid, b.text, b.hit, b.want, b.more, strict=True):
                 hit = set(map(bytes, hit))
                 starts = _starts(t, a, min_chars, phrase_chars, step)
-                keep = [q for q in starts if _window(t, q, min_chars) in hit]
+                keep = [q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit]
                 if more is not None and len(more):
                     fine = set(map(bytes, more))
-                    keep += [q for q in _fine(t, starts, hit, min_chars, core, step) if _window(t, q, min_chars) in fine]
+                    keep += [q for q in _fine(t, starts, set(map(bytes, want)), min_chars, core, step) if _window(t, q, min_chars) in fine]
                 spans: list[list[int]] = []
                 for q in sorted(keep):
                     if spans and q <= spans[-1][1]:
@@ -211,9 +223,13 @@ def shared_spans(
     hits = gridded.join(_recurring(gridded, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("hit"))
     hit = met.join(hits, "rid")
     hit = cut(hit) if checkpoint else hit
-    fine = hit.mapInPandas(between, "rid bigint, w binary")
+    # Cores for which some record must look closer; every record that holds one then looks.
+    close = hit.mapInPandas(needs, "w binary").distinct()
+    want = hit.select("rid", F.explode("hit").alias("w")).join(close, "w").groupBy("rid").agg(F.collect_set("w").alias("want"))
+    want = cut(want) if checkpoint else want
+    fine = hit.select("rid", "text", "pos").join(want, "rid").mapInPandas(between, "rid bigint, w binary")
     more = fine.join(_recurring(fine, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("more"))
-    covered = hit.join(more, "rid", "left").mapInPandas(cover, "rid bigint, n_chars bigint, shared_chars bigint, spans array<array<bigint>>")
+    covered = hit.join(want, "rid", "left").join(more, "rid", "left").mapInPandas(cover, "rid bigint, n_chars bigint, shared_chars bigint, spans array<array<bigint>>")
     # A record of several rows with one id keeps the row that is shared most, as one row per id and length.
     best = covered.groupBy("rid", "n_chars").agg(F.max_by(F.struct("shared_chars", "spans"), "shared_chars").alias("s"))
     empty = F.array().cast("array<array<bigint>>")
@@ -230,20 +246,11 @@ def shared_spans(
     )
 
 
-def _fine(text: str, starts: list[int], hit: set[bytes], min_chars: int, core: int, step: int) -> list[int]:
-    """Starts between grid starts that may still begin a recurring window.
-
-    A window that starts up to ``step - 1`` before grid start q holds the core that
-    begins at q. If the grid windows on both sides recur they cover it already.
-    """
-    on = {q: _window(text, q, min_chars) in hit for q in starts}
+def _fine(text: str, starts: list[int], want: set[bytes], min_chars: int, core: int, step: int) -> list[int]:
+    """Starts between grid starts whose windows hold a wanted core: those up to ``step - 1`` before it."""
     out: set[int] = set()
+    last = len(text) - min_chars
     for q in starts:
-        if _window(text, q, core) in hit and not (on[q] and on.get(q - step, False)):
-            out.update(range(max(0, q - step + 1), q))
-    # The last windows of a text may start after the last grid start.
-    n = len(text)
-    for q in starts:
-        if on[q] and not on.get(q + step, False):
-            out.update(range(q + 1, min(q + step, n - min_chars + 1)))
-    return sorted(out - set(starts))
+        if _window(text, q, core) in want:
+            out.update(range(max(0, q - step + 1), min(q, last + 1)))
+    return sorted(out)
