@@ -22,12 +22,16 @@ from quillspan.llm.spans import sliding_min
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&[a-z]{2,8};")
 _LEAD = re.compile(r"(?m)^[ \t]*(?:(?:[>|*+#-]+|\d{1,3}[.)])[ \t]+)+")
-_WORD = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"[^\w\s]+|_+")
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words without markup: tags, entities, list and quote marks, and punctuation are dropped."""
-    return _WORD.findall(_LEAD.sub(" ", _TAG.sub(" ", text)).lower())
+    """Lower-case words without markup: tags, entities, list and quote marks are dropped, and punctuation inside words too.
+
+    A word is what stands between blanks, so a path or a dotted name is one word, and so
+    is whatever it was replaced by.
+    """
+    return _MARK.sub("", _LEAD.sub(" ", _TAG.sub(" ", text)).lower()).split()
 
 
 def fingerprints(ws: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
