@@ -130,7 +130,7 @@ def _recurring(rows: DataFrame, key: str) -> DataFrame:
 
 
 def shared_spans(
-    df: DataFrame, id_col: str, text_col: str, min_chars: int = 240, phrase_chars: int = 32, step: int = 16, checkpoint: bool = True
+    df: DataFrame, id_col: str, text_col: str, min_chars: int = 240, phrase_chars: int = 64, step: int = 16, checkpoint: bool = True
 ) -> DataFrame:
     """How much of each record stands verbatim in another one.
 
