@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import symbols as sy
 from quillspan.operators.graph import bfs
+from quillspan.operators.manifest import first_fit, stop_at_overflow
 
 
 def symbol_graph(edges: DataFrame, seeds: DataFrame, depth: int = 2, skip: Column | None = None) -> DataFrame:
@@ -177,3 +178,40 @@ def seed_problem(seed: Column, path_known: Column, path: Column, exported: Colum
         .when(~F.coalesce(path_known, F.lit(False)), "SEED_NOT_FOUND")
         .when(F.lit(not allow_private) & ~F.coalesce(exported, F.lit(True)), "NOT_EXPORTED")
     )
+
+
+def budgeted_graph(reached: DataFrame, sizes: DataFrame, most_files: int = 50, most_bytes: int = 500_000) -> DataFrame:
+    """Nodes of a search that fit the budgets, nearest first; one that does not fit is skipped and the next is tried.
+
+    ``reached``: repo, node, distance; ``sizes``: repo, node, bytes. Rows: repo, node, distance, included.
+    """
+    d = reached.join(sizes.select("repo", "node", "bytes"), ["repo", "node"], "left").withColumn("one", F.lit(1).cast("bigint"))
+    return first_fit(d, "repo", [F.col("distance"), F.col("node")], {"one": most_files, "bytes": most_bytes}).select("repo", "node", "distance", "included")
+
+
+def incoming(edges: DataFrame, targets: DataFrame, weight: float = 2.0) -> DataFrame:
+    """Edges that point at the targets, turned around: who refers to them, with a fixed weight."""
+    t = targets.select("repo", F.col("node").alias("dst")).distinct()
+    return edges.join(t, ["repo", "dst"], "left_semi").select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("referencedBy").alias("kind"), F.lit(weight).alias("weight")).distinct()
+
+
+def sibling_edges(symbols: DataFrame) -> DataFrame:
+    """Symbols of one file as neighbours in a chain by line, so that n symbols give n - 1 edges: repo, src, dst, kind."""
+    w = Window.partitionBy("repo", "path").orderBy("line", "symbol")
+    d = symbols.withColumn("after", F.lead("symbol").over(w)).where("after is not null")
+    return d.select("repo", F.concat_ws("#", "path", "symbol").alias("src"), F.concat_ws("#", "path", "after").alias("dst"), F.lit("sameFileSibling").alias("kind"))
+
+
+def scoped_sections(parts: DataFrame, budget_tokens: int = 20_000) -> DataFrame:
+    """Rendered excerpts per repository, seed file first, then by path and line, up to the first that overflows.
+
+    ``parts``: repo, path, start_line, end_line, body, is_seed. What is left out is counted at the end.
+    """
+    tokens = F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("bigint")
+    p = stop_at_overflow(parts.withColumn("t", tokens), "repo", [F.desc("is_seed"), F.col("path"), F.col("start_line")], "t", budget_tokens)
+    head = F.concat(F.lit("==== EXCERPT: "), "path", F.lit(" L"), F.col("start_line").cast("string"), F.lit("–L"), F.col("end_line").cast("string"), F.lit(" ====\n"), F.coalesce("body", F.lit("")))
+    x = p.groupBy("repo").agg(
+        F.array_sort(F.collect_list(F.when(F.col("included"), F.struct((~F.col("is_seed")).alias("k"), "path", "start_line", head.alias("s"))))).alias("ss"), F.count_if(~F.col("included")).alias("omitted")
+    )
+    tail = F.when(F.col("omitted") > 0, F.concat(F.lit("... "), F.col("omitted").cast("string"), F.lit(" excerpts omitted")))
+    return x.select("repo", F.concat_ws("\n", F.array_join(F.transform("ss", lambda y: y["s"]), "\n"), tail).alias("text"), "omitted")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import paths, symbols
 from quillspan.functions import text as tx
-from quillspan.operators import budget, emit, graph, manifest, paste, report, resolve, scoped, similarity, validate
+from quillspan.operators import budget, emit, frontend, graph, manifest, paste, report, resolve, scoped, similarity, validate
 from quillspan.operators import catalog as cat
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,6 +540,39 @@ def topology(s: SparkSession, d: str) -> DataFrame:
     return w.select("repo", "package", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
 
 
+_NOCOM = r"regexp_replace(regexp_replace(content, '/\*.*?\*/', ' ', 'gs'), '(?m)(^|[^:''\"`\w])//[^\r\n]*', '\1', 'g')"
+
+
+@query(
+    f"""WITH t AS (SELECT paste_id, {_NOCOM} AS c FROM paste_files WHERE {_TS}),
+    x AS (SELECT paste_id, 'import' AS kind, unnest(regexp_extract_all(c, '{frontend.IMPORT.replace(chr(39), chr(39) * 2)}', 1)) AS s FROM t
+        UNION ALL SELECT paste_id, 'reexport', unnest(regexp_extract_all(c, '{frontend.REEXPORT.replace(chr(39), chr(39) * 2)}', 1)) FROM t
+        UNION ALL SELECT paste_id, 'export', unnest(regexp_extract_all(c, '{frontend.STAR.replace(chr(39), chr(39) * 2)}', 1)) FROM t)
+    SELECT paste_id, kind, regexp_extract(s, '[''\"]([^''\"]+)[''\"]$', 1) AS specifier FROM x"""
+)
+def imports_extracted(s: SparkSession, d: str) -> DataFrame:
+    return frontend.imports(_ts(s, d), ["paste_id"]).select("paste_id", "kind", "specifier")
+
+
+@query(
+    f"""WITH l AS (SELECT paste_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM paste_files WHERE {_TS})
+    SELECT paste_id, regexp_extract(l, '{frontend.DECLARATION.replace("(?m)^[ \\t]*", "^")}', 2) AS symbol, regexp_extract(l, '{frontend.DECLARATION.replace("(?m)^[ \\t]*", "^")}', 1) AS kind, i::BIGINT AS line, regexp_matches(l, '^export\\b') AS exported
+    FROM l WHERE regexp_matches(l, '{frontend.DECLARATION.replace("(?m)^[ \\t]*", "^")}')"""
+)
+def declarations(s: SparkSession, d: str) -> DataFrame:
+    return frontend.declarations(_ts(s, d), ["paste_id"])
+
+
+@query()
+def typed_edges(s: SparkSession, d: str) -> DataFrame:
+    return frontend.typed_edges(_ts(s, d), ["paste_id"])
+
+
+@query()
+def doc_tags(s: SparkSession, d: str) -> DataFrame:
+    return frontend.doc_tags(_t(s, d, "code_slices"), ["slice_id"])
+
+
 # --- Scoped ---------------------------------------------------------------------------------------------------------
 
 
@@ -611,6 +644,19 @@ def rank_order(s: SparkSession, d: str) -> DataFrame:
     return scoped.rank(near, e, 3000)
 
 
+@query()
+def scoped_budget(s: SparkSession, d: str) -> DataFrame:
+    i = _internal(s, d)
+    size = _t(s, d, "file_infos").groupBy("repo", F.col("path").alias("node")).agg(F.max("bytes").alias("bytes"))
+    return scoped.budgeted_graph(graph.bfs(i, _seeds(s, d), 3), size, 20, 60_000)
+
+
+@query()
+def scoped_sections(s: SparkSession, d: str) -> DataFrame:
+    c = _t(s, d, "code_slices").withColumn("is_seed", F.col("path").contains("/api/")).where("start_line is not null")
+    return scoped.scoped_sections(c, 5000).select("repo", "omitted", F.md5("text").alias("md5"))
+
+
 @query()
 def scoped_slices(s: SparkSession, d: str) -> DataFrame:
     c = _t(s, d, "code_slices").select("repo", "path", F.col("symbol_name").alias("symbol"), F.col("start_line").alias("line")).distinct()
