@@ -89,10 +89,19 @@ def normalized(text: Column | str, intended_order: bool = False) -> Column:
 
 def shingles(normal: Column | str, words: int = 5) -> Column:
     """Hashes (8 hex digits of md5) of every run of ``words`` words; empty for shorter texts."""
-    w = F.split(F.trim(_c(normal)), " ")
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, words), " ")), 1, 8))
-    return F.when(n >= words, runs).otherwise(F.array().cast("array<string>"))
+    short = lambda w, i: F.substring(F.md5(F.array_join(F.slice(w, i, words), " ")), 1, 8)
+    return over_words(F.split(F.trim(_c(normal)), " "), words, short)
+
+
+def over_words(w: Column, words: int, f) -> Column:
+    """``f(w, i)`` for the start i of every run of ``words`` elements of ``w``; empty where there is none.
+
+    ``w`` is bound once: a plain expression inside the inner function would be evaluated
+    again for every run.
+    """
+    runs = lambda ws: F.when(F.size(ws) >= words, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (words - 1), F.lit(1))), lambda i: f(ws, i)))
+    got = F.get(F.transform(F.array(w), runs), F.lit(0))
+    return F.when(w.isNotNull(), F.coalesce(got, F.filter(F.transform(F.array(F.lit(1)), lambda i: f(w, i)), lambda _: F.lit(False))))
 
 
 # What is redacted, in order. Group 1, where there is one, is kept.

@@ -87,7 +87,8 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, gap: int
     w = Window.partitionBy(*keys).orderBy("_s", "_e")
     reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_new", F.when(F.col("_s") - reach > gap, 1).when(reach.isNull(), 1).otherwise(0))
-    d = d.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ties = Window.partitionBy(*keys).orderBy("_s", "_e", F.desc("_new"))  # of equal ranges the one that opens the group comes first
+    d = d.withColumn("_g", F.sum("_new").over(ties.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(*keys, "_g").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("n")).drop("_g")
 
 

@@ -19,12 +19,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, le
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     d = d.withColumn("n", tx.normalized("t")).where(F.length("n") >= least_chars)
-    w = F.split("n", " ")
-    count = F.size(w) - (words - 1)
-    sh = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    return d.where(count >= least_shingles).select(
-        "id", F.length("t").cast("bigint").alias("size"), tx.short_sha("n").alias("hash"), F.sha2("n", 256).alias("text_class"), F.array_sort(F.array_distinct(sh)).alias("shingles")
-    )
+    d = d.withColumn("w", F.split("n", " ")).where(F.size("w") - (words - 1) >= least_shingles)
+    sh = tx.over_words(F.col("w"), words, lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+    return d.select("id", F.length("t").cast("bigint").alias("size"), tx.short_sha("n").alias("hash"), F.sha2("n", 256).alias("text_class"), F.array_sort(F.array_distinct(sh)).alias("shingles"))
 
 
 def classes(prints: DataFrame) -> DataFrame:

@@ -579,7 +579,8 @@ def doc_tags(s: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH w AS (SELECT repo, path, start_line AS s, greatest(start_line, end_line) AS e,
         max(greatest(start_line, end_line)) OVER (PARTITION BY repo, path ORDER BY start_line, greatest(start_line, end_line) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM code_slices WHERE start_line IS NOT NULL AND end_line IS NOT NULL),
-    g AS (SELECT *, sum(CASE WHEN r IS NULL OR s - r > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM w)
+    v AS (SELECT *, CASE WHEN r IS NULL OR s - r > 2 THEN 1 ELSE 0 END AS new FROM w),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY repo, path ORDER BY s, e, new DESC ROWS UNBOUNDED PRECEDING) AS g FROM v)
     SELECT repo, path, min(s) AS start_line, max(e) AS end_line, count(*) AS n FROM g GROUP BY repo, path, g"""
 )
 def slice_merge(s: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,10 @@ On a cluster the caller owns the session; nothing here overrides its settings.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,31 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table to the shared checkpoint folder and read back.
+
+    For wide rows: unlike ``cut`` it is compressed, and later reads take only the columns
+    they need. The table is deleted when the session's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _STORED:
+        atexit.register(_drop_stored)
+    _STORED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def _drop_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:
+            break  # the session has ended; its folder goes with it
+    _STORED.clear()
