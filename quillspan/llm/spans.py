@@ -115,14 +115,21 @@ def _window(text: str, at: int, n: int) -> bytes:
     return xxhash.xxh3_128_digest(text[at : at + n].encode("utf-8", "surrogatepass"))
 
 
-def _automaton(texts, positions, k: int):
-    a = ahocorasick.Automaton()
-    for t, ps in zip(texts, positions, strict=True):
-        for p in ps:
-            a.add_word(t[p : p + k], 1)
-    if len(a):
-        a.make_automaton()
-    return a
+def _shards(b: pd.DataFrame, k: int, most: int = 10_000) -> Iterator[tuple[pd.DataFrame, ahocorasick.Automaton]]:
+    """Runs of records with at most ``most`` phrases (or one record), each with the automaton of its phrases."""
+    start = held = 0
+    sizes = [len(p) for p in b.pos]
+    for i, n in enumerate([*sizes, most + 1]):
+        if i > start and held + n > most:
+            part = b.iloc[start:i]
+            a = ahocorasick.Automaton()
+            for t, ps in zip(part.text, part.pos, strict=True):
+                for p in ps:
+                    a.add_word(t[p : p + k], 1)
+            a.make_automaton()
+            yield part, a
+            start, held = i, 0
+        held += n
 
 
 def _recurring(rows: DataFrame, key: str) -> DataFrame:
@@ -170,54 +177,54 @@ def shared_spans(
 
     def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a = _automaton(b.text, b.pos, phrase_chars)
-            rows = []
-            for r, t in zip(b.rid, b.text, strict=True):
-                starts = _starts(t, a, min_chars, phrase_chars, step)
-                rows += [(r, x) for x in {_window(t, q, min_chars) for q in starts if q + min_chars <= len(t)}]
-                rows += [(r, x) for x in {_window(t, q, core) for q in starts}]
-            yield pd.DataFrame(rows, columns=["rid", "w"])
+            for part, a in _shards(b, phrase_chars):
+                rows = []
+                for r, t in zip(part.rid, part.text, strict=True):
+                    starts = _starts(t, a, min_chars, phrase_chars, step)
+                    rows += [(r, x) for x in {_window(t, q, min_chars) for q in starts if q + min_chars <= len(t)}]
+                    rows += [(r, x) for x in {_window(t, q, core) for q in starts}]
+                yield pd.DataFrame(rows, columns=["rid", "w"])
 
     def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a = _automaton(b.text, b.pos, phrase_chars)
-            rows: set[bytes] = set()
-            for t, hit in zip(b.text, b.hit, strict=True):
-                hit = set(map(bytes, hit))
-                starts = _starts(t, a, min_chars, phrase_chars, step)
-                on = {q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit}
-                # Grid windows that recur on both sides cover all windows between them already.
-                rows |= {w for q in starts if not (q in on and q - step in on) for w in [_window(t, q, core)] if w in hit}
-            yield pd.DataFrame({"w": sorted(rows)})
+            for part, a in _shards(b, phrase_chars):
+                rows: set[bytes] = set()
+                for t, hit in zip(part.text, part.hit, strict=True):
+                    hit = set(map(bytes, hit))
+                    starts = _starts(t, a, min_chars, phrase_chars, step)
+                    on = {q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit}
+                    # Grid windows that recur on both sides cover all windows between them already.
+                    rows |= {w for q in starts if not (q in on and q - step in on) for w in [_window(t, q, core)] if w in hit}
+                yield pd.DataFrame({"w": sorted(rows)})
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a = _automaton(b.text, b.pos, phrase_chars)
-            rows = []
-            for r, t, want in zip(b.rid, b.text, b.want, strict=True):
-                fine = _fine(t, _starts(t, a, min_chars, phrase_chars, step), set(map(bytes, want)), min_chars, core, step)
-                rows += [(r, x) for x in {_window(t, q, min_chars) for q in fine}]
-            yield pd.DataFrame(rows, columns=["rid", "w"])
+            for part, a in _shards(b, phrase_chars):
+                rows = []
+                for r, t, want in zip(part.rid, part.text, part.want, strict=True):
+                    fine = _fine(t, _starts(t, a, min_chars, phrase_chars, step), set(map(bytes, want)), min_chars, core, step)
+                    rows += [(r, x) for x in {_window(t, q, min_chars) for q in fine}]
+                yield pd.DataFrame(rows, columns=["rid", "w"])
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a = _automaton(b.text, b.pos, phrase_chars)
-            rows = []
-            for r, t, hit, want, more in zip(b.rid, b.text, b.hit, b.want, b.more, strict=True):
-                hit = set(map(bytes, hit))
-                starts = _starts(t, a, min_chars, phrase_chars, step)
-                keep = [q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit]
-                if more is not None and len(more):
-                    fine = set(map(bytes, more))
-                    keep += [q for q in _fine(t, starts, set(map(bytes, want)), min_chars, core, step) if _window(t, q, min_chars) in fine]
-                spans: list[list[int]] = []
-                for q in sorted(keep):
-                    if spans and q <= spans[-1][1]:
-                        spans[-1][1] = q + min_chars
-                    else:
-                        spans.append([q, q + min_chars])
-                rows.append((r, len(t), sum(e - s for s, e in spans), spans))
-            yield pd.DataFrame(rows, columns=["rid", "n_chars", "shared_chars", "spans"])
+            for part, a in _shards(b, phrase_chars):
+                rows = []
+                for r, t, hit, want, more in zip(part.rid, part.text, part.hit, part.want, part.more, strict=True):
+                    hit = set(map(bytes, hit))
+                    starts = _starts(t, a, min_chars, phrase_chars, step)
+                    keep = [q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit]
+                    if more is not None and len(more):
+                        fine = set(map(bytes, more))
+                        keep += [q for q in _fine(t, starts, set(map(bytes, want)), min_chars, core, step) if _window(t, q, min_chars) in fine]
+                    spans: list[list[int]] = []
+                    for q in sorted(keep):
+                        if spans and q <= spans[-1][1]:
+                            spans[-1][1] = q + min_chars
+                        else:
+                            spans.append([q, q + min_chars])
+                    rows.append((r, len(t), sum(e - s for s, e in spans), spans))
+                yield pd.DataFrame(rows, columns=["rid", "n_chars", "shared_chars", "spans"])
 
     gridded = met.mapInPandas(grid, "rid bigint, w binary")
     hits = gridded.join(_recurring(gridded, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("hit"))
