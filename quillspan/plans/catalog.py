@@ -246,7 +246,17 @@ def redaction(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "paste_files").where("content is not null").select("paste_id", F.md5(r).alias("md5"), (F.col("content") != r).alias("changed"))
 
 
-@query()
+def _redaction_counts_sql() -> str:
+    out, left = [], "content"
+    for name, p in tx.REDACTIONS:
+        quoted = p.replace(chr(39), chr(39) * 2)
+        out.append(f"SELECT '{name}' AS type, count(*) AS n FROM paste_files WHERE regexp_matches({left}, '{quoted}')")
+        keep = "\\1" if "((?:p" in p or p.startswith("(?i)(") else ""
+        left = f"regexp_replace({left}, '{quoted}', '{keep}[REDACTED_{name}]{'@' if p.endswith('@') else ''}', 'g')"
+    return "SELECT * FROM (" + " UNION ALL ".join(out) + ") WHERE n > 0"
+
+
+@query(_redaction_counts_sql())
 def redaction_counts(s: SparkSession, d: str) -> DataFrame:
     p = _t(s, d, "paste_files").select(F.explode(tx.redaction_types("content")).alias("type"))
     return p.groupBy("type").agg(F.count("*").alias("n"))
@@ -410,21 +420,28 @@ def paste_filter(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "paste_files").select("paste_id", _reason().alias("exclude_reason"))
 
 
-@query(
-    f"""WITH RECURSIVE p AS (SELECT paste_id, repo, path, coalesce(size, 0) AS size, coalesce(loc, 0) AS loc, {_REASON} AS reason FROM paste_files),
-    o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, paste_id) AS rn FROM p WHERE reason IS NULL AND size <= 40000 AND loc <= 900),
-    f(repo, rn, paste_id, k, l, b, ok) AS (SELECT repo, rn, paste_id, 1, loc, size, true FROM o WHERE rn = 1 UNION ALL
-        SELECT o.repo, o.rn, o.paste_id, k + t::INT, l + t::INT * o.loc, b + t::INT * o.size, t FROM (SELECT f.*, o.*, f.k + 1 <= 20 AND f.l + o.loc <= 900 AND f.b + o.size <= 40000 AS t FROM f JOIN o ON o.repo = f.repo AND o.rn = f.rn + 1) AS x(repo_f, rn_f, pf, k, l, b, okf, paste_id, repo, path, size, loc, reason, rn, t)
-        JOIN o ON o.paste_id = x.paste_id)
-    SELECT p.paste_id, coalesce(f.ok, false) AS included, CASE WHEN reason IS NOT NULL THEN reason WHEN NOT coalesce(f.ok, false) THEN 'budget exceeded' END AS exclude_reason
-    FROM p LEFT JOIN f USING (paste_id)"""
-)
+def _choose_sql(files: int, loc: int, size: int) -> str:
+    """``c`` (paste_id, repo, size, loc, included, exclude_reason): the rules, then first fit in path order, as a recursion over rows."""
+    return f"""p AS (SELECT paste_id, repo, path, coalesce(size, 0) AS size, coalesce(loc, 0) AS loc, {_REASON} AS reason FROM paste_files),
+    o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, paste_id) AS rn FROM p WHERE reason IS NULL AND size <= {size} AND loc <= {loc}),
+    f(repo, rn, paste_id, k, l, b, ok) AS (SELECT repo, 0::BIGINT, NULL::BIGINT, 0, 0::HUGEINT, 0::HUGEINT, false FROM o GROUP BY repo UNION ALL
+        SELECT o.repo, o.rn, o.paste_id, f.k + (f.k < {files} AND f.l + o.loc <= {loc} AND f.b + o.size <= {size})::INT,
+            f.l + CASE WHEN f.k < {files} AND f.l + o.loc <= {loc} AND f.b + o.size <= {size} THEN o.loc ELSE 0 END,
+            f.b + CASE WHEN f.k < {files} AND f.l + o.loc <= {loc} AND f.b + o.size <= {size} THEN o.size ELSE 0 END,
+            f.k < {files} AND f.l + o.loc <= {loc} AND f.b + o.size <= {size} FROM f JOIN o ON o.repo = f.repo AND o.rn = f.rn + 1),
+    c AS (SELECT p.paste_id, p.repo, p.size, p.loc, coalesce(f.ok, false) AS included, CASE WHEN reason IS NOT NULL THEN reason WHEN NOT coalesce(f.ok, false) THEN 'budget exceeded' END AS exclude_reason FROM p LEFT JOIN f USING (paste_id))"""
+
+
+@query(f"WITH RECURSIVE {_choose_sql(20, 900, 40_000)} SELECT paste_id, included, exclude_reason FROM c")
 def paste_budget(s: SparkSession, d: str) -> DataFrame:
     c = paste.choose(_t(s, d, "paste_files").drop("included", "exclude_reason"), "repo", _reason(), 20, 900, 40_000, ["path", "paste_id"])
     return c.select("paste_id", "included", "exclude_reason")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_choose_sql(100, 50_000, 2_000_000)} SELECT repo, count(*) AS n_files, count(*) FILTER (WHERE included) AS n_included, count(*) FILTER (WHERE NOT included) AS n_excluded,
+    coalesce(sum(size) FILTER (WHERE included), 0)::BIGINT AS total_bytes, coalesce(sum(loc) FILTER (WHERE included), 0)::BIGINT AS total_loc, coalesce(bool_or(exclude_reason = 'budget exceeded'), false) AS truncated FROM c GROUP BY repo"""
+)
 def paste_totals(s: SparkSession, d: str) -> DataFrame:
     c = paste.choose(_t(s, d, "paste_files").drop("included", "exclude_reason"), "repo", _reason(), order=["path", "paste_id"])
     return paste.totals(c, "repo")
@@ -568,7 +585,10 @@ def typed_edges(s: SparkSession, d: str) -> DataFrame:
     return frontend.typed_edges(_ts(s, d), ["paste_id"])
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT slice_id, unnest(regexp_extract_all(doc, '(?m)^[ \t]*(?:/?\*+)?[ \t]*(@[A-Za-z]+[^\r\n]*)', 1)) AS t FROM code_slices WHERE doc IS NOT NULL)
+    SELECT slice_id, regexp_extract(t, '^@([A-Za-z]+)', 1) AS tag, trim(regexp_replace(regexp_replace(t, '^@[A-Za-z]+', ''), '\*/\s*$', '')) AS text FROM t"""
+)
 def doc_tags(s: SparkSession, d: str) -> DataFrame:
     return frontend.doc_tags(_t(s, d, "code_slices"), ["slice_id"])
 
