@@ -167,11 +167,13 @@ def shared_spans(
             if rid:
                 yield pd.DataFrame({"rid": np.concatenate(rid), "h": np.concatenate(hs), "pos": np.concatenate(ps).astype(np.int32)})
 
-    picked = long.mapInPandas(phrases, "rid bigint, h bigint, pos int")
+    keep_rows = stored if checkpoint else lambda df: df
+    # Read twice, so kept: the pass over the texts costs more than a table of hashes.
+    picked = keep_rows(long.mapInPandas(phrases, "rid bigint, h bigint, pos int"))
     confirmed = picked.join(_recurring(picked, "h"), "h").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
     # Rows of one id are one record: its texts are met one by one, under the same id.
     met = long.join(confirmed, "rid")
-    met = stored(met) if checkpoint else met
+    met = keep_rows(met)
 
     core = min_chars - step + 1  # what all windows that start up to a step before a grid start have in common
 
@@ -226,14 +228,14 @@ def shared_spans(
                     rows.append((r, len(t), sum(e - s for s, e in spans), spans))
                 yield pd.DataFrame(rows, columns=["rid", "n_chars", "shared_chars", "spans"])
 
-    gridded = met.mapInPandas(grid, "rid bigint, w binary")
+    gridded = keep_rows(met.mapInPandas(grid, "rid bigint, w binary"))
     hits = gridded.join(_recurring(gridded, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("hit"))
     hit = met.join(hits, "rid")
-    hit = stored(hit) if checkpoint else hit
+    hit = keep_rows(hit)
     # Cores for which some record must look closer; every record that holds one then looks.
     close = hit.mapInPandas(needs, "w binary").distinct()
     want = hit.select("rid", F.explode("hit").alias("w")).join(close, "w").groupBy("rid").agg(F.collect_set("w").alias("want"))
-    want = stored(want) if checkpoint else want
+    want = keep_rows(want)
     fine = hit.select("rid", "text", "pos").join(want, "rid").mapInPandas(between, "rid bigint, w binary")
     more = fine.join(_recurring(fine, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("more"))
     covered = hit.join(want, "rid", "left").join(more, "rid", "left").mapInPandas(cover, "rid bigint, n_chars bigint, shared_chars bigint, spans array<array<bigint>>")
