@@ -58,20 +58,35 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _STORED:
-        atexit.register(_drop_stored)
+    if not _EXIT:
+        _EXIT.append(atexit.register(_drop_stored))
     _STORED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a ``stored`` DataFrame that nothing reads any more; others are left alone."""
+    path = df.__dict__.get("_stored_path")
+    for entry in [e for e in _STORED if e[1] == path]:
+        _delete(*entry)
+        _STORED.remove(entry)
 
 
 _STORED: list[tuple[SparkSession, str]] = []
+_EXIT: list = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_stored() -> None:
-    for spark, path in _STORED:
+    for entry in _STORED:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*entry)
         except Exception:
             break  # the session has ended; its folder goes with it
     _STORED.clear()
