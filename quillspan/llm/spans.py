@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import stored
+from quillspan.session import release, stored
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
@@ -174,6 +174,8 @@ def shared_spans(
     # Rows of one id are one record: its texts are met one by one, under the same id.
     met = long.join(confirmed, "rid")
     met = keep_rows(met)
+    if checkpoint:
+        release(picked)
 
     core = min_chars - step + 1  # what all windows that start up to a step before a grid start have in common
 
@@ -232,6 +234,8 @@ def shared_spans(
     hits = gridded.join(_recurring(gridded, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("hit"))
     hit = met.join(hits, "rid")
     hit = keep_rows(hit)
+    if checkpoint:
+        release(gridded)
     # Cores for which some record must look closer; every record that holds one then looks.
     close = hit.mapInPandas(needs, "w binary").distinct()
     want = hit.select("rid", F.explode("hit").alias("w")).join(close, "w").groupBy("rid").agg(F.collect_set("w").alias("want"))
