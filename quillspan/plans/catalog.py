@@ -648,7 +648,11 @@ def token_by_symbol(s: SparkSession, d: str) -> DataFrame:
 )
 def context_lines(s: SparkSession, d: str) -> DataFrame:
     c = _t(s, d, "code_slices").where("body is not null").where(F.size(F.split("body", "\n")) >= 3)
-    return c.select("slice_id", symbols.context_range("start_line", "end_line", F.lit(1000).cast("bigint")).alias("r"), symbols.char_offset("body", F.lit(3)).alias("third_line_at")).select("slice_id", "r.from_line", "r.to_line", "third_line_at")
+    # The lines of a file's latest record; a slice without one is not clamped.
+    n = (F.regexp_count("content", F.lit(r"\r\n|\r|\n")) + 1).cast("bigint")
+    f = _t(s, d, "paste_files").where("content is not null and content <> ''").groupBy("repo", "path").agg(F.max_by(n, "paste_id").alias("total"))
+    c = c.join(f, ["repo", "path"], "left")
+    return c.select("slice_id", symbols.context_range("start_line", "end_line", "total").alias("r"), symbols.char_offset("body", F.lit(3)).alias("third_line_at")).select("slice_id", "r.from_line", "r.to_line", "third_line_at")
 
 
 @query()
