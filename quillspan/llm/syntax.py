@@ -5,14 +5,16 @@ from __future__ import annotations
 import ast
 import functools
 import json
+import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.chart import Grammar, Language, cost_of
+from quillspan.llm.chart import _ANY, Grammar, Language, cost_of, mend, reduce
 
 # --- ECMAScript modules and TypeScript ------------------------------------------------------------------------------
 
@@ -243,44 +245,39 @@ def _script(typed: bool):
 _SUBST = re.compile(r"\$\{")
 
 
-def _script_classes(text: str, typed: bool, jsx: bool) -> tuple[Language, str, int]:
+def _script_classes(text: str, typed: bool, jsx: bool) -> tuple[Language, str, list[tuple[float, float]]]:
+    """Language, token classes, and (cost, place as a share) of the faults inside templates and JSX braces."""
     lang, classes, keep = _script(typed)
     if text.startswith("﻿"):
         text = text[1:]
     if text.startswith("#!"):
         text = text[text.find("\n") :] if "\n" in text else ""
-    extra = 0
+    extra: list[tuple[float, float]] = []
     if jsx and "<" in text:
-        text, inner, faults = _cut_jsx(text)
-        extra += faults
-        for x in inner:
-            extra += _inner_fault(x, typed, jsx)
+        n = len(text)
+        text, inner = _cut_jsx(text)
+        extra += [(cost, at / n) for x, at in inner if (cost := _inner_fault(x, typed, jsx))]
     tokens = _TOKEN.findall(text)
     s = "".join(map(classes.__getitem__, tokens))
-    for t in set(tokens):
-        if t[0] == "`" and "${" in t:
-            for x in _substitutions(t):
-                extra += _inner_fault(x, typed, jsx)
+    costs = {t: sum(_inner_fault(x, typed, jsx) for x in _substitutions(t)) for t in set(tokens) if t[0] == "`" and "${" in t}
+    if any(costs.values()):
+        extra += [(cost, m.start() / len(text)) for m in _TOKEN.finditer(text) if (cost := costs.get(m.group()))]
     s = keep.sub("Z", s).replace("\n", "")
     return lang, s, extra
 
 
 @functools.lru_cache(maxsize=100_000)
-def _inner_fault(x: str, typed: bool, jsx: bool) -> int:
-    """1 if the expression inside a template or JSX braces is not one."""
-    lang, s, extra = _script_classes(x, typed, jsx)
+def _inner_fault(x: str, typed: bool, jsx: bool) -> float:
+    """What it costs to make the expression inside a template or JSX braces one; 0 if it is."""
+    lang, s, inner = _script_classes(x, typed, jsx)
+    extra = sum(cost for cost, _ in inner)
+    s = s.replace("Z", "")
     if not s:
         return extra
-    s = s.replace("Z", "")
-    got = lang.group("(", s) if not re.search(r"[()\[\]{}]", s) else None
-    if got is None:
-        from quillspan.llm.chart import _ANY, reduce
-
-        t, faults = reduce(lang, s)
-        if faults or _ANY.search(t):
-            return 1
-        got = lang.group("(", t)
-    return int(extra > 0 or got in lang.bad or not lang.grammar.serves[got] & {"Pe", "Pa"})
+    t, faults = reduce(lang, s)
+    if not faults and not _ANY.search(t) and lang.grammar.serves[got := lang.group("(", t)] & {"Pe", "Pa"} and got not in lang.bad:
+        return extra
+    return extra + max(1, min(mend(lang, s, ("A", "E", ","))[0], mend(lang, s, ("Arg", "Args", ","))[0]))
 
 
 def _substitutions(t: str) -> list[str]:
@@ -321,9 +318,9 @@ _JSX_START = re.compile(r"(?:[(=,?:&|\[{>;]|\breturn|\bdefault)\s*(<)(?=(?:[A-Za
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 
 
-def _cut_jsx(text: str) -> tuple[str, list[str], int]:
-    """The text with JSX elements replaced by one mark each, the code inside their braces, and faults."""
-    out, inner, at, faults = [], [], 0, 0
+def _cut_jsx(text: str) -> tuple[str, list[tuple[str, int]]]:
+    """The text with JSX elements replaced by one mark each, and the code inside their braces with its place."""
+    out, inner, at = [], [], 0
     pos = 0
     while True:
         m = _JSX_START.search(text, pos)
@@ -339,9 +336,9 @@ def _cut_jsx(text: str) -> tuple[str, list[str], int]:
             pos = m.end()
             continue
         out += [text[at:start], "\x01"]
-        inner += got
+        inner += [(x, text.find(x, start)) for x in got]
         at = pos = end
-    return "".join(out) + text[at:], inner, faults
+    return "".join(out) + text[at:], inner
 
 
 def _element(t: str, i: int, inner: list[str]) -> int:
@@ -526,21 +523,29 @@ _PY_MARK = re.compile(r"[()\[\]{}\n]")
 _AFTER = {"elif": ("if", "elif"), "except": ("try", "except"), "finally": ("try", "except", "else"), "else": ("if", "elif", "for", "while", "try", "except")}
 
 
-def _python_cost(text: str) -> tuple[int, list[float]]:
-    from quillspan.llm.chart import _ANY, reduce
+def _loose(s: str) -> list[int]:
+    """Where the brackets without partner are."""
+    stack: list[int] = []
+    out = []
+    for m in _ANY.finditer(s):
+        if m.group() in "([{":
+            stack.append(m.start())
+        elif stack and s[stack[-1]] + m.group() in ("()", "[]", "{}"):
+            stack.pop()
+        else:
+            out.append(m.start())
+    return sorted(out + stack)
 
-    if text.startswith("﻿") or "\x00" in text:
-        return 1, [0.0]
-    lang, classes, char = _python()
-    tokens = [t for t in _PY_TOKEN.findall(text)]
-    cs = list(map(classes.__getitem__, tokens))
+
+def _python_lines(text: str, tokens: list[str], cs: list[str], cut: set[int]) -> list[tuple[str, int]]:
+    """Logical lines and their indents; the line ends in ``cut`` end one whatever is open."""
     lines: list[tuple[str, int]] = []
     depth, now, width = 0, [], 0
     head = re.match(r"[ \t\f]*", text)
     width = len(head.group().expandtabs())
-    for t, c in zip(tokens, cs, strict=True):
+    for i, (t, c) in enumerate(zip(tokens, cs, strict=True)):
         if c == "\n":
-            if depth <= 0:
+            if depth <= 0 or i in cut:
                 if now:
                     lines.append(("".join(now), width))
                     now = []
@@ -551,17 +556,41 @@ def _python_cost(text: str) -> tuple[int, list[float]]:
             now.append(c)
     if now:
         lines.append(("".join(now), width))
+    return lines
+
+
+def _python_cost(text: str) -> tuple[int, list[float]]:
+    if text.startswith("﻿") or "\x00" in text:
+        return 1, [0.0]
+    lang, classes, char = _python()
+    tokens = [t for t in _PY_TOKEN.findall(text)]
+    cs = list(map(classes.__getitem__, tokens))
+    lines = _python_lines(text, tokens, cs, set())
+    cut: set[int] = set()
+    while lines:
+        # An opener without partner swallows what follows; where that is no line even with the partner at its end, the line ends with its own row.
+        openers = [x for x in _loose(lines[-1][0]) if lines[-1][0][x] in "([{"]
+        if not openers or mend(lang, lines[-1][0], ("", "Line", ""))[0] <= len(openers):
+            break
+        nth = sum(len(s) for s, _ in lines[:-1]) + openers[0]
+        at = next(i for i, n in enumerate(accumulate(len(c) for c in cs if c != "\n")) if n > nth)
+        at = [i for i, c in enumerate(cs) if c != "\n"][at]
+        row = next((i for i in range(at, len(cs)) if cs[i] == "\n"), None)
+        if row is None:
+            break
+        cut.add(row)
+        lines = _python_lines(text, tokens, cs, cut)
     cost, places = 0, []
+    start, total = 0, max(1, sum(len(s) for s, _ in lines))
     stack, opened = [0], False
     last: dict[int, str] = {}
     back = {v: k for k, v in char.items()}
     for no, (s, width) in enumerate(lines):
         r, faults = reduce(lang, s)
-        bad = faults + len(_ANY.findall(r))
-        if bad:
+        bad, edits = 0, []
+        if faults or _ANY.search(r) or not lang.grammar.ok("Line", r):
+            bad, edits = mend(lang, s, ("", "Line", ""))
             r = _ANY.sub("", r)
-        elif not lang.grammar.ok("Line", r):
-            bad = max(1, lang.grammar.repair("Line", r[:120])[0])
         word = back.get(r[:1], "")
         if word == "async":
             word = back.get(r[1:2], "")
@@ -585,7 +614,8 @@ def _python_cost(text: str) -> tuple[int, list[float]]:
         opened = r[-1:] == ":" and not bad and lang.grammar.ok("Head", r) or (r[-1:] == ":" and bool(bad))
         if bad:
             cost += bad
-            places.append((no + 1) / len(lines))
+            places += [(start + x) / total for x in edits or [0]]
+        start += len(s)
     if opened:
         cost += 1
         places.append(1.0)
@@ -620,8 +650,8 @@ SUFFIX = re.compile(r"\.(ts|tsx|js|mjs|py|json)$")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |\r?$)", re.M)
 
 
-def check(text: str, suffix: str) -> tuple[int, list[float]]:
-    """(repair cost, places of the edits) of a text in the language of ``suffix``; cost 0 means it is valid."""
+def check(text: str, suffix: str) -> tuple[float, list[float]]:
+    """(repair cost, places of the edits) of a text in the language of ``suffix``; cost 0 means it is valid, an infinite one is unknown."""
     if suffix == "py":
         return _python_cost(text)
     if suffix == "json":
@@ -631,7 +661,7 @@ def check(text: str, suffix: str) -> tuple[int, list[float]]:
         return cost_of(lang, "".join(map(classes.__getitem__, _JSON_TOKEN.findall(text))))
     lang, s, extra = _script_classes(text, suffix in ("ts", "tsx"), suffix == "tsx")
     cost, places = cost_of(lang, s)
-    return cost + extra, places + [0.5] * (extra > 0 and not places)
+    return cost + sum(n for n, _ in extra), places + [x for _, x in extra]
 
 
 def confirm(text: str, suffix: str) -> bool:
@@ -652,7 +682,7 @@ def _no_constant(_: str):
     raise ValueError("not JSON")
 
 
-def cause(text: str, cost: int, places: list[float]) -> str:
+def cause(text: str, cost: float, places: list[float]) -> str:
     """What the places of the edits say: ``conflict``, ``truncated``, ``mismatch`` or ``local``."""
     if _CONFLICT.search(text):
         return "conflict"
@@ -668,7 +698,8 @@ def unparsable(df: DataFrame, id_col: str = "paste_id", path_col: str = "path",
 
     One row per row with non-empty text whose path ends in ts, tsx, js, mjs, py or json:
     ``paste_id``, ``repo``, ``language``, ``valid``, ``cost`` (tokens to edit; 0 if
-    valid), ``cause`` (null if valid) and ``place`` (first edit, as a share of the text).
+    valid, null if no repair was found), ``cause`` (null if valid) and ``place`` (first
+    edit, as a share of the text's tokens).
     The stored extension is not used. Null and empty texts, null paths and other
     languages give no row; repeated rows are checked each.
     """
@@ -681,8 +712,8 @@ def unparsable(df: DataFrame, id_col: str = "paste_id", path_col: str = "path",
                 cost, places = check(text, suffix)
                 if cost and not confirm(text, suffix):
                     cost, places = 0, []
-                rows.append((i, repo, suffix, cost == 0, cost, cause(text, cost, places) if cost else None, min(places) if places else None))
-            yield pd.DataFrame(rows, columns=["paste_id", "repo", "language", "valid", "cost", "cause", "place"])
+                rows.append((i, repo, suffix, cost == 0, int(cost) if cost < math.inf else None, cause(text, cost, places) if cost else None, min(places) if places else None))
+            yield pd.DataFrame(rows, columns=["paste_id", "repo", "language", "valid", "cost", "cause", "place"]).astype({"cost": "Int64"})
 
     src = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(repo_col).alias("repo"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     src = src.where(F.col("path").rlike(SUFFIX.pattern) & F.col("text").isNotNull() & (F.col("text") != ""))

@@ -89,3 +89,16 @@ def test_causes_and_rates(spark):
 
 def test_least_cost():
     assert syntax.check("foo(1;\n", "ts")[0] >= 1 and syntax.check("const a = b c;\n", "ts")[0] == 1
+
+
+def test_cost_and_place_inside_brackets():
+    pad = "let y = z;\n" * 30
+    for text, suffix, cost, low, high in [
+        ("function f() {\n  const a = ;\n  let x = {a: 1,, b: 2};\n}\n", "ts", 2, 0.3, 0.4), (f"function f() {{\n{pad}  const a = ;\n}}\n", "ts", 1, 0.95, 0.999), (f"function f() {{\n  a b;\n{pad}}}\n", "js", 1, 0.0, 0.1),
+        ("a = " + "b + " * 300 + "c c;\nd();\n", "js", 1, 0.98, 0.999), ("a = " + "b + " * 200 + "c c\n", "py", 1, 0.99, 1), ('{"a": [1 2, {"b": }]}', "json", 2, 0.3, 0.5), (f"{pad}const t = `${{a b c}}`;\n{pad}", "ts", 1, 0.4, 0.6),
+        ("a(" + "b, " * 300 + "(c d e f g));", "js", 2, 0.98, 1), ("def f(:\n    pass\nx = 1\n", "py", 1, 0.2, 0.4), (f"if (a {{\n}}\n{pad}", "ts", 1, 0, 0.1),
+    ]:
+        got, places = syntax.check(text, suffix)
+        assert got == cost and low <= min(places) <= high, (text, got, places)
+    spread = "function f() {\n" + "  a b;\n" * 5 + pad + "  c d;\n}\n"
+    assert syntax.cause(spread, *syntax.check(spread, "ts")) == "mismatch"
