@@ -437,7 +437,7 @@ Dots = '.' | ell | Dots '.' | Dots ell
 ImpNames = '*' | ImpName { ',' ImpName } | Pi
 ImpName = n [ as n ]
 Imps = ImpName { ',' ImpName } [ ',' ]
-Exprs = Elem | Elem ',' | Elem ',' Exprs
+Exprs = Elem { ',' Elem } [ ',' ]
 Elem = Named | '*' B
 Named = T | n walrus T
 T = B | B if B else T | lambda [ LParams ] ':' T
@@ -454,7 +454,7 @@ For = [ async ] for Exprs in B2
 B2 = T | n walrus T
 Paren = [ Exprs ] | Yield | Elem Comp
 List = [ Exprs ] | Elem Comp
-Slices = Slice | Slice ',' | Slice ',' Slices
+Slices = Slice { ',' Slice } [ ',' ]
 Slice = Elem | [ T ] ':' [ T ] [ ':' [ T ] ]
 Pair = T ':' T | pow B
 Dict = [ Pair { ',' Pair } [ ',' ] ] | T ':' T Comp | Exprs | Elem Comp

@@ -102,3 +102,12 @@ def test_cost_and_place_inside_brackets():
         assert got == cost and low <= min(places) <= high, (text, got, places)
     spread = "function f() {\n" + "  a b;\n" * 5 + pad + "  c d;\n}\n"
     assert syntax.cause(spread, *syntax.check(spread, "ts")) == "mismatch"
+
+
+def test_long_bodies_are_parsed_whole():
+    row = "if (a) b(); else c();\n"
+    for text, suffix in [
+        ("function f() {\n" + row * 1000 + "}\n", "js"), (row * 1000, "ts"), ("f(" + "a + b, " * 1500 + "new Map<a, b>(),\n);", "ts"), ("class A {\n" + "x = 1;\n" * 1500 + "m() { }\n}\n", "ts"), ("x = [" + "a + b, " * 1500 + "lambda a, b: c, ]\n", "py"),
+    ]:
+        assert syntax.check(text, suffix) == (0, []), text[:40]
+        assert syntax.check(text.replace("a", "a a", 1) if suffix != "py" else text.replace("c, ]", "c c, ]"), suffix)[0] > 0, text[:40]
