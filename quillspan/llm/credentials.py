@@ -39,7 +39,7 @@ PROVIDERS = (
     ("JWT", ("eyJ",), r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_=-]{10,}\.eyJ[A-Za-z0-9_=-]{10,}\.[A-Za-z0-9_=-]{8,}"),
 )
 STRONG = re.compile(r"passw|passwd|pwd|passphrase|admin_?pass|(?:^|[_.-])pass(?:$|[\d_])|secret|token|api_?key|x_api|auth(?!or)|credential|hmac|signing|private_?key|access_?key|jwt|bearer|master_?key|encryption_?key|licen[sc]e_?key")
-NOT_ONE = re.compile(r"name|hint|field|header|checksum|integrity|commit|revision|hash|digest(?!_?key)|uuid|etag|fingerprint|public|cert|icon|pixel|image|(?:^|_)id\d*$|[a-z](?<!key)(?<!apik)_id\d*$|placeholder|example|label|type|prefix|length|count|size|kind|policy|pattern|regex")
+NOT_ONE = re.compile(r"name|hint|field|header|checksum|integrity|commit|revision|hash|digest(?!_?key)|uuid|etag|fingerprint|public|cert|icon|pixel|image|(?:^|_)id\d*$|[a-z](?<!key)(?<!apik)_id\d*$|placeholder|example|label|type|prefix|length|count|size|kind|policy|pattern|regex|total|limit|budget|timeout|ttl|expir|(?:^|[_.])(?:max|min)_")
 PLACEHOLDER = re.compile(r"(?i)^<.*>?$|^\W*$|your[-_ ]?|change[-_]?me|replace[-_]?(?:me|this)|example|dummy|placeholder|todo|redacted|^x{4,}|\*{3,}|\.{3}|^\$|\{\{|\$\{|%\(|%s|^(?:null|none|undefined|true|false|test|password|secret|token|passwd|pass)$|insert[-_ ]|fill[-_]?in|goes[-_]?here|1234567|^0+$|^-+$")
 WORDLIKE = re.compile(r"[A-Za-z]?[a-z]*(?:[-_./ :#@][A-Z]?[a-z]+|[A-Z][a-z]+)*\d{0,4}(?:[-_./:]\d{1,4})*")
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@'\"`<>]*:(?P<p>[^\s/@'\"`]+)@[^\s'\"`<>]*")
@@ -50,6 +50,12 @@ LITERAL = re.compile(
 )
 _NEXT = re.compile(r"['\"`]\s*(?:\+|\\)?\s*(?:\r?\n)?[ \t]*(?:\+[ \t]*)?[rbfuRBFU]?['\"`]([^'\"`\n\\]*)(?=['\"`])")
 _MORE = re.compile(r"[ \t]*(?:\+|\\?\r?\n[ \t]*[+'\"`])")
+# Values that a telling identifier names are candidates whatever their characters.
+_HINT = re.compile(r"(?i)pass|pwd|secret|token|api[_-]?key|auth|credential|hmac|signing|private[_-]?key|access[_-]?key|jwt|bearer|master[_-]?key|encryption[_-]?key|licen[sc]e[_-]?key")
+_NAMED = re.compile(
+    r"[\w$-]{0,60}(?:['\"`]\s*,|['\"`]?\]?\s*(?P<t>:\s*(?:string|str)\s*(?==))?(?::|\??=)(?![=>]))\s*(?:\(\s*)?[rbuRBU]?"
+    r"(?:(?P<q>['\"`])(?P<v>(?:\\.|(?!(?P=q))[^\\\r\n])+)(?P=q)|(?<=[:=])[ \t]*(?P<u>[^\s'\"`,;{}()\[\]<>$]+)[ \t]*(?:\*/|-->)?[ \t]*\r?$)", re.M
+)
 _DIGIT = re.compile(r"\d")
 _ASSIGN = re.compile(r"[A-Za-z][\w.-]{1,40}=(?=[^\s=]{6})")
 _TARGET = re.compile(r"([\w$-]+)['\"`]?\]?\s*(?::|\??=)(?![=>])")
@@ -158,6 +164,17 @@ def candidates(text: str) -> list[Candidate]:
         key = _key(text, span[0] if inner else m.start())
         kind = _issued(value) if len(spans) > 1 else None
         add(Candidate(kind or "SECRET", span[0], value, key, spans, kind is not None), span[0], spans[-1][1])
+    for h in _HINT.finditer(text):
+        m = _NAMED.match(text, h.end())
+        if m and free(*(span := m.span("v") if m.group("q") else m.span("u"))):
+            at = m.start("q") if m.group("q") else span[0]
+            key = _key(text, at)
+            if m.group("t"):  # the name stands before its type
+                name = re.search(r"[\w$-]*$", text[max(0, h.start() - 60) : h.end()]).group() + re.match(r"[\w$-]*", text[h.end() : h.end() + 60]).group()
+                key = "_".join(x.lower() for x in _PART.findall(name))
+            value, spans = _joined(text, *span) if m.group("q") else (text[span[0] : span[1]], [span])
+            if STRONG.search(key) and "${" not in value:
+                add(Candidate("SECRET", span[0], value, key, spans, False), span[0], spans[-1][1])
     return sorted(out, key=lambda c: c.at)
 
 
@@ -238,8 +255,9 @@ def weak_label(c: Candidate) -> int:
         return 0
     if c.certain:
         return 1
-    mixed = any(map(str.isdigit, c.value)) and any(map(str.isalpha, c.value))
-    return int(bool(STRONG.search(c.key)) and not NOT_ONE.search(c.key) and mixed and not WORDLIKE.fullmatch(c.value) and not _UUID.fullmatch(c.value) and len(c.value) <= 200)
+    kinds = sum(any(map(f, c.value)) for f in (str.isdigit, str.isupper, str.islower, lambda x: not x.isalnum()))
+    mixed = any(map(str.isdigit, c.value)) and any(map(str.isalpha, c.value)) or len(c.value) >= 6 and c.value.isdigit() or len(c.value) >= 8 and kinds >= 3
+    return int(bool(STRONG.search(c.key)) and not NOT_ONE.search(c.key) and mixed and not any(map(str.isspace, c.value)) and not WORDLIKE.fullmatch(c.value) and not _UUID.fullmatch(c.value) and len(c.value) <= 200)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, rounds: int = 60) -> np.ndarray:

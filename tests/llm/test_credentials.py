@@ -49,3 +49,15 @@ def test_tables(spark):
     r = {x.record_id: x for x in c.credentials({"x": (df, "id", "t")}, with_text=True).collect()}
     assert r[2].redacted is None and r[3].redacted == "" and r[1].n_credentials == 1
     assert c.credentials({"x": (df.limit(0), "id", "t")}).count() == 0
+
+
+def test_named_literals_of_any_characters():
+    model = c.train([("src/a.ts", "export function loadRows(batch: Batch) { return batch.rows; }\n" * 20)])
+    for text, value in [
+        ("const password = 'KfPq!WzRtYmXb';", "KfPq!WzRtYmXb"), ("adminPass: '84736251'", "84736251"), ("const adminPass: string = '84736251';", "84736251"), ("pwd = 'x7Q!'", "x7Q!"),
+        ("password: 'correct Horse, battery 9'", "correct Horse, battery 9"), ("const secret = 'aB\\\\3xQ!';", "aB\\\\3xQ!"), ("DB_PASSWORD=KfPq!WzRtYmXb\n", "KfPq!WzRtYmXb"),
+    ]:
+        assert [x.value for x, _ in c.find(text, "src/a.ts", model)] == [value], text
+        assert value not in c.redact(text, [x for x, _ in c.find(text, "src/a.ts", model)])
+    for text in ["const password = 'the password of the user';", "token = getToken\n", "token_total = 21568\n", "const passwordHint = 'KfPq!WzRtYmXb';", "password: 'Password'", "const title = 'KfPq!WzRtYmXb';"]:
+        assert c.find(text, "src/a.ts", model) == [], text
