@@ -7,7 +7,8 @@ Three kinds of evidence are put together per file:
   layout of hand-written code has (minified, bundled, packed literals), or far below
   it over many lines (one literal per line);
 * where the text is at hand, its layout against a canonical one: the text is lexed, the
-  lines of its canonical form are counted, and compared with the lines it has. Extreme
+  lines of its canonical form are estimated from its semicolons and braces (nothing is
+  emitted again), and compared with the lines it has. Extreme
   expansion marks minified code, uniform line shapes generated code, and literals
   that outnumber names by far mark data.
 """
@@ -51,7 +52,7 @@ def layout(text: str, python: bool) -> tuple[float, float, float]:
     names = len(_NAME.findall(code))
     lines = code.count("\n") + 1
     canonical = code.count(";") + code.count("{") + code.count("}") + (0 if not python else code.count("\n"))
-    shapes = Counter(s for s in (_SHAPE.sub("", x) for x in text.split("\n", 400)[:400]) if len(s) > 2)
+    shapes = Counter(s for s in (_SHAPE.sub("", x) for x in text.split("\n")) if len(s) > 2)
     total = sum(shapes.values())
     uniform = max(shapes.values()) / total if total >= 10 else 0.0
     return canonical / lines, uniform, (literals + numbers) / max(1, names)

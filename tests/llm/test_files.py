@@ -111,3 +111,10 @@ def test_long_bodies_are_parsed_whole():
     ]:
         assert syntax.check(text, suffix) == (0, []), text[:40]
         assert syntax.check(text.replace("a", "a a", 1) if suffix != "py" else text.replace("c, ]", "c c, ]"), suffix)[0] > 0, text[:40]
+
+
+def test_uniformity_is_measured_on_the_whole_text():
+    head = "".join(f"export function go{'x' * i}(" + "a, " * i + "b) { return b" + "[0]" * i + "; }\n" for i in range(410))
+    table = "row(1, 'a');\n"
+    assert handwritten.layout(head + table * 4000, False)[1] > 0.8
+    assert handwritten.layout(table * 410 + head, False)[1] < 0.8
