@@ -85,6 +85,16 @@ def says_something(doc: str | None, name: str | None) -> bool:
     return new >= 2 and words >= 3
 
 
+def _idle(doc: str) -> bool:
+    """Whether a comment holds only directives, rulers or placeholders, so that it documents nothing."""
+    for line in doc.splitlines():
+        s = _EDGE.sub("", _EDGE.sub("", line)).strip()
+        if not DIRECTIVE.match(s) and (_TAG.match(s) or _INLINE_TAG.search(s)):
+            return False
+    said = " ".join(prose(doc).split())
+    return not said or bool(PLACEHOLDER.match(said) or PLACEHOLDER.match(_REMARK.sub("", said).strip()))
+
+
 _COMMENT = re.compile(r"/\*.*?\*/|(?:[ \t]*//[^\n]*\n?)+", re.S)
 _COMMENT_PY = re.compile(r"(?:[ \t]*#[^\n]*\n?)+")
 _BLANK = re.compile(r"\s+|@[A-Za-z_$][\w$.]*(?:\([^()\n]*\))?[ \t]*(?=\n)")
@@ -257,6 +267,7 @@ def documented_functions(df: DataFrame, id_col: str = "slice_id", name_col: str
             best = []
             for own, before, inner, nm, fn in zip(b.doc, b.before, b.docstring, b.symbol_name, b.fname, strict=True):
                 name = nm or fn
+                before = next((x for x in reversed(before) if not _idle(x)), None)
                 choice = next((x for x in ([own] if own is not None else [before, inner]) if x is not None and says_something(x, name)), None)
                 best.append(prose(choice) if choice is not None else None)
             yield pd.DataFrame({"slice_id": b.slice_id, "symbol_name": b.symbol_name.fillna(b.fname), "description": best, "code": b.body})
@@ -265,9 +276,9 @@ def documented_functions(df: DataFrame, id_col: str = "slice_id", name_col: str
         F.col(id_col).cast("bigint").alias("slice_id"), F.col(name_col).alias("symbol_name"), F.col(doc_col).alias("doc"), F.col(body_col).alias("body"), F.col(path_col).alias("path")
     ).where(F.col("body").isNotNull() & F.col("body").rlike(r"\S") & (F.col("doc").isNull() | F.col("doc").rlike(r"\S")))
     found = src.mapInPandas(spans, out).withColumn("f", F.expr("get(functions, 0)")).where("f is not null and f.i")
-    # The as-of join: the last comment before the function, if no statement begins between them.
+    # The as-of join: the comments before the function, if no statement begins between them; the last that documents counts.
     near = F.expr("filter(comments, c -> c.e <= f.s and not exists(statements, x -> x >= c.e and x < f.s))")
     paired = found.withColumn("c", near).select(
-        "slice_id", "symbol_name", "doc", "body", F.col("f.n").alias("fname"), F.col("f.d").alias("docstring"), F.expr("if(size(c) > 0, get(c, size(c) - 1).t, null)").alias("before")
+        "slice_id", "symbol_name", "doc", "body", F.col("f.n").alias("fname"), F.col("f.d").alias("docstring"), F.expr("transform(c, x -> x.t)").alias("before")
     )
     return paired.mapInPandas(judge, "slice_id bigint, symbol_name string, description string, code string").where("description is not null")

@@ -118,3 +118,12 @@ def test_uniformity_is_measured_on_the_whole_text():
     table = "row(1, 'a');\n"
     assert handwritten.layout(head + table * 4000, False)[1] > 0.8
     assert handwritten.layout(table * 410 + head, False)[1] < 0.8
+
+
+def test_directives_do_not_hide_the_comment_before_them(spark):
+    doc = "/** Keeps the newest entry of every key. */\n"
+    idle = ["// eslint-disable-next-line no-x\n", "// @ts-ignore\n", "/* prettier-ignore */\n", "/* ======== */\n", "/* TODO */\n"]
+    rows = [(i, "f", None, doc + x + "function f() {\n  go();\n}", "a.ts") for i, x in enumerate(idle)]
+    rows += [(10, "f", None, doc + "/** @param a the value */\nfunction f(a) {\n  go();\n}", "a.ts"), (11, "f", None, doc + "let x = 1;\n// @ts-ignore\nfunction f() {\n  go();\n}", "a.ts")]
+    df = spark.createDataFrame(rows, "slice_id bigint, symbol_name string, doc string, body string, path string")
+    assert sorted(r.slice_id for r in docpairs.documented_functions(df).collect()) == [0, 1, 2, 3, 4]
