@@ -108,8 +108,8 @@ def leaked_items(
     few = right.limit(broadcast_rows + 1).count() <= broadcast_rows
     hits = prints(doc_id, doc_text, docs, "doc").join(F.broadcast(right) if few else right, "h")
     diagonals = (
-        hits.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("d")).agg(F.count("*").alias("n"))
-        .where("n >= 2").groupBy("doc_id", "item_id").agg(F.collect_list("d").alias("ds"))
+        hits.select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("d")).distinct()
+        .groupBy("doc_id", "item_id").agg(F.collect_list("d").alias("ds"))
     )
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("dt")).where("dt is not null")
     it = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("it")).where("it is not null")

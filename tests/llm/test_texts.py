@@ -133,3 +133,16 @@ def test_a_move_keeps_tokens():
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "a", "hello world"), (2, "a", None)], "doc_id bigint, source string, text string")
     assert sorted((r.doc_id, r.n_tokens) for r in mixing.count_tokens(df, "doc_id", "text", "source").collect()) == [(1, 2), (2, 0)]
+
+
+def test_a_leak_with_one_fingerprint(spark):
+    items, docs = [], []
+    for i in (84, 541, 571):  # seeds of which the two sides share one fingerprint
+        item = words(random.Random(i), 30)
+        doc = list(item)
+        for at in (6, 13, 20):
+            doc[at] = "zzz" + doc[at]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(doc)))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert leaks.leaked_items(d, e, "doc_id", "text", "item_id", "text").count() == 3
