@@ -87,7 +87,7 @@ def pieces(text: str, max_bytes: int, overlap: int, block: int = 8, fill: float
         if lo < hi:
             cut, kind = int(ends[lo + int(np.argmax(score[lo:hi]))]), "valley"
         else:
-            soft = [m.end() for m in _SOFT.finditer(text, max(least, reach - 2000), reach)]
+            soft = [m.end() for m in _SOFT.finditer(text, least, reach)]
             cut, kind = (soft[-1], "soft") if soft else (reach, "hard")
         out.append((start, cut, kind))
         start = cut - overlap

@@ -146,3 +146,9 @@ def test_a_leak_with_one_fingerprint(spark):
         docs.append((i, " ".join(doc)))
     d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert leaks.leaked_items(d, e, "doc_id", "text", "item_id", "text").count() == 3
+
+
+def test_soft_boundaries_are_sought_in_the_whole_window():
+    text = "word " * 1600 + "x" * 3800 + "y" * 9000
+    start, end, kind = split.pieces(text, 12_000, 200)[0]
+    assert kind == "soft" and end == 8000
