@@ -1,10 +1,14 @@
 """Repetition inside a single document, with adaptive thresholds per language and source.
 
-The share of repeated words is measured over each whole document. Per (language,
-source) a mergeable KLL quantile sketch of the shares gives the group's usual level;
-a document is held to be repetitive where its share passes its group's threshold,
-``median + spread * (upper quartile - lower quartile)``, kept between ``floor`` and
-``ceiling``. The sketches have a fixed size, so a group of any size is one small row.
+The share of repeated words is measured over each whole document, once. Per (language,
+source) a mergeable KLL quantile sketch holds the group's shares; the sketches of a
+language, and of all, are merged from these. A sketch's quantiles tell the usual level
+of its group from what breaks out of it: the threshold lies a part (``rise``) of the way
+up the first jump of at least ``jump`` between neighbouring quantiles. A group without such a
+jump, or one whose median is itself beyond the level of all, takes its language's
+threshold, else that of all documents; where nothing jumps, nothing is repetitive. The
+measured rows are then joined with the thresholds and filtered. The sketches have a
+fixed size, so a group of any size is one small row.
 """
 
 from __future__ import annotations
@@ -13,9 +17,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import stored
+
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"\n\s*\n|(?<=[.!?])\s+")
 
@@ -48,17 +54,26 @@ def repeated_parts(text: str) -> float:
     return again / total if total else 0.0
 
 
+def _break(quantiles: Column, jump: float, rise: float) -> Column:
+    """The threshold that ascending quantiles show, or null."""
+    ups = F.zip_with(F.slice(quantiles, 1, F.size(quantiles) - 1), F.slice(quantiles, 2, F.size(quantiles) - 1), lambda a, b: F.struct(a.alias("a"), (b - a).alias("up")))
+    first = F.get(F.filter(ups, lambda x: x["up"] >= jump), F.lit(0))
+    return first["a"] + first["up"] * F.lit(rise)
+
+
 def repetition(
     df: DataFrame, id_col: str, text_col: str, lang_col: str | None = "lang", source_col: str | None = "source",
-    n: int = 6, spread: float = 8.0, floor: float = 0.05, ceiling: float = 0.30, broadcast_groups: int = 100_000,
+    n: int = 6, jump: float = 0.15, rise: float = 0.25, accuracy: int = 1024, ranks: int = 400, broadcast_groups: int = 100_000,
 ) -> DataFrame:
     """Repeated share of each document and whether it passes its group's threshold.
 
     One row per input row: ``doc_id``, ``lang`` (lower case, ``und`` for null),
     ``source``, ``n_words``, ``repeated_words``, ``repeated_share``,
-    ``repeated_part_share``, ``threshold`` and ``repetitive``. Words are runs of
-    letters; case, digits, punctuation and spacing do not count. Null and empty texts
-    have 0 words, share 0 and are never repetitive; a repeated row is measured again.
+    ``repeated_part_share``, ``threshold`` (null where no level breaks) and ``repetitive``.
+    Words are runs of letters; case, digits, punctuation and spacing do not count. Null
+    and empty texts have 0 words, share 0 and are never repetitive; a repeated row is
+    measured again. ``accuracy`` is the sketches' size, ``ranks`` the number of quantiles
+    read between the median and the largest share.
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,15 +88,23 @@ def repetition(
         (F.coalesce(F.col(source_col), F.lit("")) if source_col else F.lit("")).alias("source"),
     )
     m = src.mapInPandas(measure, "doc_id bigint, lang string, source string, n_words bigint, repeated_words bigint, repeated_part_share double")
-    m = m.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("repeated_words") / F.col("n_words")).otherwise(0.0))
-    q = lambda r: F.kll_sketch_get_quantile_double("s", F.lit(r))
-    level = m.groupBy("lang", "source").agg(F.kll_sketch_agg_double("repeated_share").alias("s")).select(
-        "lang", "source", F.least(F.lit(ceiling), F.greatest(F.lit(floor), q(0.5) + F.lit(spread) * (q(0.75) - q(0.25)))).alias("threshold")
-    )
+    # Read twice, so written once: a row of figures per document, no text.
+    m = stored(m.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("repeated_words") / F.col("n_words")).otherwise(0.0)))
+    at = F.array(*(F.lit(0.5 + 0.5 * i / ranks) for i in range(ranks + 1)))
+    read = lambda sketch: F.kll_sketch_get_quantile_double(sketch, at)
+    groups = m.groupBy("lang", "source").agg(F.kll_sketch_agg_double("repeated_share", accuracy).alias("sketch"))
+    groups = stored(groups)
+    langs = groups.groupBy("lang").agg(F.kll_merge_agg_double("sketch", accuracy).alias("s")).select("lang", _break(read("s"), jump, rise).alias("of_lang"))
+    every = groups.agg(F.kll_merge_agg_double("sketch", accuracy).alias("s")).where("s is not null").select(_break(read("s"), jump, rise).alias("of_all"))  # one row
+    q = groups.select("lang", "source", read("sketch").alias("q")).withColumn("own", _break(F.col("q"), jump, rise))
+    usual = F.coalesce(F.get("q", F.lit(0)) < F.col("of_all"), F.lit(True))
     # Groups are few, but their number is checked before they are broadcast.
-    if src.select("lang", "source").distinct().limit(broadcast_groups + 1).count() <= broadcast_groups:
-        level = F.broadcast(level)
-    return m.join(level, ["lang", "source"], "left").select(
+    few = groups.limit(broadcast_groups + 1).count() <= broadcast_groups
+    small = F.broadcast if few else lambda x: x
+    level = q.join(small(langs), "lang", "left").join(F.broadcast(every), F.lit(True), "left").select(
+        "lang", "source", F.coalesce(F.when(usual, F.col("own")), F.col("of_lang"), F.col("of_all")).alias("threshold")
+    )
+    return m.join(small(level), ["lang", "source"], "left").select(
         "doc_id", "lang", "source", "n_words", "repeated_words", "repeated_share", "repeated_part_share", "threshold",
-        ((F.col("n_words") >= n) & (F.col("repeated_share") >= F.col("threshold"))).alias("repetitive"),
+        ((F.col("n_words") >= n) & F.coalesce(F.col("repeated_share") >= F.col("threshold"), F.lit(False))).alias("repetitive"),
     )

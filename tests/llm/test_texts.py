@@ -95,6 +95,20 @@ def test_repetition(spark):
     assert repetition.repetition(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_thresholds_adapt_to_the_group(spark):
+    plain = lambda i: " ".join("%c%c%c" % (97 + i % 26, 97 + j // 26, 97 + j % 26) for j in range(60))
+    part = lambda i, k: plain(i) + " " + " ".join(plain(i).split()[:k])
+    rows = [(i, part(i, 0), "en", "calm") for i in range(40)] + [(100, part(3, 50), "en", "calm"), (101, part(4, 8), "en", "calm")]
+    rows += [(200 + i, part(i, 58), "en", "spam") for i in range(20)] + [(300 + i, part(i, 10 + i % 3), "de", "echo") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in repetition.repetition(df, "doc_id", "text").collect()}
+    # The group's own jump decides; a group that repeats throughout is held to the others' level.
+    assert {i for i, r in got.items() if r.repetitive} == {100} | set(range(200, 220))
+    assert got[200].threshold == got[0].threshold or got[200].threshold < 0.4
+    flat = repetition.repetition(df.where("doc_id < 40 or doc_id >= 300"), "doc_id", "text").where("repetitive")
+    assert flat.count() == 0  # nothing jumps by 0.15, so nothing is repetitive
+
+
 def test_repeated_words_equals_brute_force():
     rng = random.Random(8)
     for _ in range(100):
