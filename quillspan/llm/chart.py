@@ -273,7 +273,7 @@ class Grammar:
             here, left = offsets[skip], offsets[-1] - offsets[skip]
             expected = self._parse(start, s, waiting, kernel, None, _ANYTHING, skip)[1]
             del waiting[at:]
-            tokens = sorted(self.stands_for[x] for x in expected if x in self.stands_for)
+            tokens = sorted({self.stands_for[x] for x in expected if x in self.stands_for})
             tries: list[tuple[float, str, int, list[int]]] = [(1, c, skip, [here]) for c in tokens]
             if skip < len(s):
                 size = offsets[skip + 1] - here

@@ -24,12 +24,13 @@ _LITERALS = ("null", "true", "false")
 _CONTEXTUAL = "as async from get of set static".split()
 _TS_CONTEXTUAL = "abstract accessor asserts declare global implements infer interface is keyof module namespace out override private protected public readonly require satisfies type unique".split()
 
+# A statement or the body of an arrow function does not begin with an object: X0 to E0 are expressions that do not.
 _ECMA = """
 Stmts = { Stmt } [ Last ]
 Stmt = ';' | Z | Simple End | Ob | if Pe { Z } Stmt [ else Stmt ] | for [ await ] Pf { Z } Stmt | while Pe { Z } Stmt | do { Z } Stmt { Z } while Pe
   | try Ob catch [ Pp ] Ob [ finally Ob ] | try Ob finally Ob | switch Pe Os | n ':' { Z } Stmt | [ export [ default ] ] Func | [ export [ default ] ] Class | TDecl
 End = ';' | Z
-Simple = E | Var | return [ E ] | break [ n ] | continue [ n ] | throw E | debugger | Import | Export | TSimple
+Simple = E0 | Var | return [ E ] | break [ n ] | continue [ n ] | throw E | debugger | Import | Export | TSimple
 Last = Simple | if Pe { Z } Last | if Pe { Z } Stmt else Last | for [ await ] Pf { Z } Last | while Pe { Z } Last | n ':' Last
 VarKw = var | let | const
 Var = VarKw Decl { ',' Decl }
@@ -42,14 +43,21 @@ E = A | E ',' A
 A = C | U Asg A | Arrow | yield | yield A | yield '*' A
 Asg = '=' | assign
 Arrow = n arrow Body | Pp TRet arrow Body | async n arrow Body | async Pp TRet arrow Body | TParX Pp TRet arrow Body | async TParX Pp TRet arrow Body
-Body = A | Ob
+Body = A0 | Ob
 C = B | B '?' A ':' A
 B = U | B Bop U | h in U | TB
 Bop = op | '+' | '*' | '<' | '>' | '>' '>' | '>' '>' '>' | '|' | '&' | in | instanceof
 U = X | X upd | Pre U | TU
 Pre = '!' | '+' | upd | typeof | void | delete | await | tilde
 X = Prim | X '.' w | X '.' h | X Bi | X Pa | X t | X opt w | X opt h | X opt Bi | X opt Pa | new X | new '.' w | TX
-Prim = n | '1' | s | t | r | this | super | lit | Pe | Ba | Oo | Func | Class | J | import Pa | import '.' w
+Prim = Oo | Prim0
+E0 = A0 | E0 ',' A
+A0 = C0 | U0 Asg A | Arrow | yield | yield A | yield '*' A
+C0 = B0 | B0 '?' A ':' A
+B0 = U0 | B0 Bop U | h in U | TB0
+U0 = X0 | X0 upd | Pre U | TU
+X0 = Prim0 | X0 '.' w | X0 '.' h | X0 Bi | X0 Pa | X0 t | X0 opt w | X0 opt h | X0 opt Bi | X0 opt Pa | new X | new '.' w | TX0
+Prim0 = n | '1' | s | t | r | this | super | lit | Pe | Ba | Func | Class | J | import Pa | import '.' w
 ObjElem = w | n '=' A | Key ':' A | dots A | [ async ] [ '*' ] Key TPar Pp TRet Ob | get Key Pp TRet Ob | set Key Pp TRet Ob
 Key = w | s | '1' | Bi | h
 Objs = [ ObjElem { ',' ObjElem } [ ',' ] ]
@@ -84,8 +92,10 @@ TImpl = -
 TDecl = never
 TSimple = never
 TB = never
+TB0 = never
 TU = never
 TX = never
+TX0 = never
 PMods = -
 TThis = never
 CMod = static
@@ -114,8 +124,10 @@ TPre = { export | declare | default }
 TDecl = TPre interface n TPar [ extends TList ] Oi | TPre [ const ] enum n Oe | TPre namespace QN Ob | TPre module s Ob | TPre module QN Ob | declare global Ob | TPre abstract Class | TPre Class
 TSimple = TPre type n TPar '=' Type | TPre [ async ] function [ '*' ] [ n ] TPar Pp TRet | declare Var | TPre module s
 TB = B as Type | B as const | B satisfies Type
+TB0 = B0 as Type | B0 as const | B0 satisfies Type
 TU = '<' Type '>' U
 TX = X '!' | X TArgs
+TX0 = X0 '!' | X0 TArgs
 TArgs = '<' TList '>'
 TList = Type | TList ',' Type
 PMods = { public | private | protected | readonly | override }

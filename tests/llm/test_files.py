@@ -113,6 +113,13 @@ def test_long_bodies_are_parsed_whole():
         assert syntax.check(text.replace("a", "a a", 1) if suffix != "py" else text.replace("c, ]", "c c, ]"), suffix)[0] > 0, text[:40]
 
 
+def test_statements_do_not_begin_with_objects():
+    for text in ['{\n  "name": "x",\n  "deps": { "a": [1, true] }\n}\n', "a => { 'b': 1, c: 2 };", "{ a: 1, b: 2 }.c;", "if (x) { 'a': 1 }"]:
+        assert syntax.check(text, "ts")[0] > 0 and syntax.check(text, "js")[0] > 0, text
+    for text in ["({ 'a': 1 });", "a = { 'b': 1, c };", "a => ({ 'b': 1 });", "export default { 'a': 1, b() { } };", "{ a; { b: c } }", "x => { b: c };", "return_ = x || { a: 1, b: 2 };", "a[{ b: 1, c: 2 }.b]++, { d: 1, e: 2 };", "label: { a(); break label }"]:
+        assert syntax.check(text, "ts")[0] == 0 and syntax.check(text, "js")[0] == 0, text
+
+
 def test_uniformity_is_measured_on_the_whole_text():
     head = "".join(f"export function go{'x' * i}(" + "a, " * i + "b) { return b" + "[0]" * i + "; }\n" for i in range(410))
     table = "row(1, 'a');\n"
