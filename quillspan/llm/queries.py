@@ -30,6 +30,10 @@ def p2_files(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(_t(spark, d, "file_infos"), _t(spark, d, "paste_files"))
 
 
+def p2_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.evidence_counts(p2_files(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_files(spark, d).where("not handwritten").select("file_id")
 

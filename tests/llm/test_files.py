@@ -1,6 +1,6 @@
 import pytest
 
-from quillspan.llm import docpairs, handwritten, syntax
+from quillspan.llm import docpairs, handwritten, printer, syntax
 
 
 def test_reasons(spark):
@@ -120,11 +120,45 @@ def test_statements_do_not_begin_with_objects():
         assert syntax.check(text, "ts")[0] == 0 and syntax.check(text, "js")[0] == 0, text
 
 
-def test_uniformity_is_measured_on_the_whole_text():
-    head = "".join(f"export function go{'x' * i}(" + "a, " * i + "b) { return b" + "[0]" * i + "; }\n" for i in range(410))
-    table = "row(1, 'a');\n"
-    assert handwritten.layout(head + table * 4000, False)[1] > 0.8
-    assert handwritten.layout(table * 410 + head, False)[1] < 0.8
+def test_canonical_layout_does_not_depend_on_the_original():
+    wide = "import { a, b } from 'x';\nexport function f(a: B): C {\n  // why\n  if (a) {\n    b();\n  } else {\n    c();\n  }\n  for (let i = 0; i < n; i++) go(i, { a: 1 });\n  return { a: 1, b };\n}\n"
+    flat = " ".join(x.strip() for x in wide.replace("  // why\n", "").split("\n"))
+    a, b = printer.canonical(wide, False), printer.canonical(flat, False)
+    assert a.lines == b.lines and len(a.lines) == 10 and (a.n_lines, b.n_lines) == (10, 1)
+    assert a.expansion == 1 and b.expansion == 10
+    spread = "const x = [\n" + "".join(f"  {i},\n" for i in range(90)) + "];\n"
+    assert printer.canonical(spread, False).lines == printer.canonical(spread.replace("\n", " "), False).lines and printer.canonical(spread, False).literal_share > 0.95
+    py = printer.canonical("def f(a):\n    x = [1,\n      2]\n    return a; b\n", True)
+    assert len(py.lines) == 4 and py.n_lines == 4
+    for text in ["", "((({", "}})", "'", "/* a", "\x00", "`${", "a" * 100_000, "{" * 3000, "é = ü\n" * 50]:
+        for python in (False, True):
+            x = printer.canonical(text, python)
+            assert x.expansion >= 0 and 0 <= x.uniformity <= 1 and 0 <= x.literal_share <= 1
+
+
+def test_layout_is_compared_over_the_whole_text():
+    head = "".join(f"export function go() {{ return a{'.b' * i}; }}\n" for i in range(410))
+    table = "row(1, 'a');\nput(x);\n"
+    assert printer.canonical(head + table * 4000, False).uniformity > 0.8
+    assert printer.canonical(table * 200 + head, False).uniformity < 0.8
+
+
+def test_reasons_by_layout(spark):
+    hand = "export function f(a: B): C {\n  if (!a.b) throw new Error('x');\n  const c = a.d.filter((x) => g(x, 3));\n  return c.length > 4 ? h(c) : null;\n}\n\nexport class K {\n  m(x: number) {\n    return x * 2;\n  }\n}\n"
+    texts = [
+        ("r", "src/hand.ts", hand + "// a longer remark about the code, which says why it stands here\n" * 10), ("r", "src/chained.js", "var a=1," + ",".join(f"b{i}=function(q){{return q*{i},q}}" for i in range(60))),
+        ("r", "src/types.ts", "".join(f"export type A{i} = {{\n  kind: 'A{i}';\n  value: string | null;\n}};\n" for i in range(30))), ("r", "src/table.ts", "export const T = [\n" + "  12345, 67890,\n" * 300 + "];\n"),
+        ("r", "lib/table.py", "T = (" + "'abcdef', 0x12, " * 300 + ")\n"), ("r", "src/short.ts", "a(1);a(1);a(1);"), ("r", "dist/hand.js", hand.replace(": B", "").replace(": C", "")), ("r", "vendor/types.ts", "x"),
+    ]
+    texts += [("r", "src/hand.ts", "a"), ("r", "src/none.ts", None), ("r", None, "x")]
+    t = spark.createDataFrame(texts, "repo string, path string, content string").selectExpr("*", "1 as n_chars", "'x' as reason")
+    f = spark.createDataFrame([(i, "r", p, 1000, 30) for i, p in enumerate(sorted({p for _, p, _ in texts if p}))], "file_id bigint, repo string, path string, bytes bigint, loc bigint")
+    got = {r.path: (r.reason, r.evidence, r.has_text) for r in handwritten.not_handwritten(f, t).collect()}
+    assert got == {
+        "src/hand.ts": (None, None, True), "src/chained.js": ("minified", "layout", True), "src/types.ts": ("generated", "layout", True), "src/table.ts": ("data", "layout", True), "lib/table.py": ("data", "layout", True),
+        "src/short.ts": (None, None, True), "dist/hand.js": ("minified", "path", True), "vendor/types.ts": ("vendored", "path", True), "src/none.ts": (None, None, False),
+    }
+    assert sum(r.n_files for r in handwritten.evidence_counts(handwritten.not_handwritten(f, t)).collect()) == 9
 
 
 def test_directives_do_not_hide_the_comment_before_them(spark):
