@@ -43,7 +43,7 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_pairs(spark, d).select("slice_id")
+    return p3_pairs(spark, d).where("is_slice").select("slice_id")
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:

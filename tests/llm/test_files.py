@@ -168,3 +168,36 @@ def test_directives_do_not_hide_the_comment_before_them(spark):
     rows += [(10, "f", None, doc + "/** @param a the value */\nfunction f(a) {\n  go();\n}", "a.ts"), (11, "f", None, doc + "let x = 1;\n// @ts-ignore\nfunction f() {\n  go();\n}", "a.ts")]
     df = spark.createDataFrame(rows, "slice_id bigint, symbol_name string, doc string, body string, path string")
     assert sorted(r.slice_id for r in docpairs.documented_functions(df).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_every_function_of_a_text_is_paired(spark):
+    doc, other = "/** Keeps the newest entry of every key. */\n", "/** Drops the entries that nobody has read. */\n"
+    script = (
+        f"// Notes on the module, which no function owns.\nimport x from 'y';\n\n{doc}export const keep = async (a): Promise<X> => {{\n  // Sorts before the entries are kept.\n  function inner() {{ return 1; }}\n}};\n\n"
+        f"@Dec({{\n  a: 1,\n}})\nexport class Store {{\n  {other}  @Log()\n  private drop<T>(a: {{ b: T }}): {{ c: T }} {{\n    return /[{{]/.test(a) ? `${{a}}}}` : a;\n  }} // Says why after the brace has closed.\n\n  plain() {{ }}\n\n"
+        f"  {doc}  value = 1;\n  late() {{ return 2; }}\n  // Tells which of the entries is the last one.\n  // It is read from the index.\n  last() {{ }}\n}}\nlet z = 1; {doc}function tail() {{ }}\n{other}function declared(): void;\nfunction free() {{ }}\n"
+    )
+    python = (
+        "import os\n\n# Keeps the newest entry of every key.\n@wrap(\n    a=1,\n)\ndef keep(x):\n    # Sorts before the entries are kept.\n    def inner(): return 1\n    return x\n\nclass A:\n    '''Holds the entries that are kept.'''\n\n"
+        "    def drop(self):\n        '''Drops the entries that nobody has read.'''\n        return {'a': '''\ndef no(): pass'''}\n\n    def empty(self):\n        '''Drops the entries that nobody has read.'''\n        ...\n\n    x = 1  # Counts the entries that were read.\n    def plain(self): return 2\n"
+    )
+    rows = [(1, "given", "/** Says more about what is given here. */", script, "a.ts"), (2, None, None, python, "b.py"), (3, "f", None, script.replace("\n", "\r\n"), "a.ts"), (4, "f", None, doc + "function f() { }\n" + other + "function g() { }", "a.js"), (5, "f", None, "/* a", "a.js")]
+    df = spark.createDataFrame(rows, "slice_id bigint, symbol_name string, doc string, body string, path string").selectExpr("*", "1 as row", "'x' as code")
+    got = sorted((r.slice_id, r.symbol_name, r.symbol_kind, r.is_slice, r.description) for r in docpairs.documented_functions(df).collect())
+    a, b, c = "Keeps the newest entry of every key.", "Drops the entries that nobody has read.", "Tells which of the entries is the last one.\nIt is read from the index."
+    script_pairs = [("drop", "method", False, b), ("keep", "const", False, a), ("last", "method", False, c)]
+    assert got == [(1, *x) for x in script_pairs] + [(2, "drop", "method", False, b), (2, "keep", "function", False, a)] + [(3, *x) for x in script_pairs] + [(4, "f", "function", True, a), (4, "g", "function", False, b)]
+    code = {r.symbol_name: r.code for r in docpairs.documented_functions(df).orderBy("slice_id", ascending=False).where("slice_id < 3").collect()}
+    code["keep"] = next(r.code for r in docpairs.documented_functions(df.where("slice_id = 2")).where("symbol_name = 'keep'").collect())
+    assert code["last"] == "last() { }" and code["keep"].startswith("def keep(x):\n") and code["keep"].rstrip().endswith("return x")
+
+
+def test_spans_are_linear_in_the_text():
+    import time
+
+    text = "/** Keeps the newest entry of every key. */\nfunction f(a: { b: string }) {\n  if (a) { b(); }\n}\n" * 20_000
+    began = time.perf_counter()
+    c, f, s = docpairs.extract(text, False)
+    assert len(c) == len(f) == 20_000 and time.perf_counter() - began < 20
+    c, f, s = docpairs.extract("# Keeps it.\ndef f(a):\n    return a\n" * 20_000, True)
+    assert len(c) == len(f) == 20_000
