@@ -70,6 +70,10 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.credentials(_code(spark, d), with_text=True)
 
 
+def p5_model(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.quality(_code(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_credentials(spark, d).select("source_table", "record_id", "line_no").distinct()
 
