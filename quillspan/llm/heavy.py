@@ -4,8 +4,9 @@ Each map task counts the runs of its sorted batches, so a value that stands in a
 third of all rows leaves a task as one short run per batch. Runs are range-partitioned
 by value and sorted there (Spark's external sort spills what does not fit), each
 range is read once in order, runs of a value are combined, and only the ``k``
-largest counts stay in a heap. Memory is one batch and one heap per task, whatever
-the number of distinct values; the counts are exact.
+largest counts stay in a heap. The heaps of the ranges are merged through a tree of
+tasks, each of which again keeps ``k`` only. Memory is one batch and one heap per task,
+whatever the number of distinct values or ranges; the counts are exact.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_FAN = 64  # heaps that one task of the tree merges
+
 
 def frequent_items(df: DataFrame, columns: list[str], k: int = 100, min_share: float | None = None, partitions: int | None = None) -> DataFrame:
     """The ``k`` most frequent values of each column.
@@ -39,49 +42,78 @@ def frequent_items(df: DataFrame, columns: list[str], k: int = 100, min_share: f
                 c = pc.value_counts(b.column(i))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), c.field(0).cast(pa.string()), c.field(1).cast(pa.int64())], ["field", "item", "n"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[str, list] = {}
-        total: dict[str, int] = {}
-        now: tuple | None = None
-        n = 0
+    columns, types = ["field", "item", "n"], (pa.string(), pa.string(), pa.int64())
+
+    class Heaps:
+        """The ``k`` largest counts of each field, and each field's total as the null item."""
+
+        def __init__(self) -> None:
+            self.heaps: dict[str, list] = {}
+            self.total: dict[str, int] = {}
 
-        def close() -> None:
-            if now is None:
+        def add(self, field: str, item: str | None, n: int) -> None:
+            if item is None:
+                self.total[field] = self.total.get(field, 0) + n
                 return
-            total[now[0]] = total.get(now[0], 0) + n
-            if now[1] is not None:
-                h = heaps.setdefault(now[0], [])
-                entry = (n, _Backwards(now[1]))
-                if len(h) < k:
-                    heapq.heappush(h, entry)
-                elif entry > h[0]:
-                    heapq.heapreplace(h, entry)
+            h = self.heaps.setdefault(field, [])
+            entry = (n, _Backwards(item))
+            if len(h) < k:
+                heapq.heappush(h, entry)
+            elif entry > h[0]:
+                heapq.heapreplace(h, entry)
+
+        def rows(self) -> list[tuple[str, str | None, int]]:
+            return [(f, e[1].value, e[0]) for f, h in self.heaps.items() for e in h] + [(f, None, c) for f, c in self.total.items()]
+
+    def batch(rows: list[tuple], names_: list[str] = columns, kinds: tuple = types) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names_)
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A sorted range: runs of a value stand together; every row also counts in the total."""
+        top, now, n = Heaps(), None, 0
         for b in batches:
             for f, v, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (f, v) == now:
                     n += c
-                else:
-                    close()
-                    now, n = (f, v), c
-        close()
-        out = [(f, e[1].value, e[0]) for f, h in heaps.items() for e in h] + [(f, None, c) for f, c in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["field", "item", "n"])
+                    continue
+                if now is not None and now[1] is not None:
+                    top.add(*now, n)
+                    top.add(now[0], None, n)
+                elif now is not None:
+                    top.add(*now, n)
+                now, n = (f, v), c
+        if now is not None:
+            top.add(*now, n)
+            if now[1] is not None:
+                top.add(now[0], None, n)
+        yield batch(top.rows())
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = Heaps()
+        for b in batches:
+            for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                top.add(*row)
+        yield batch(top.rows())
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = Heaps()
+        for b in batches:
+            for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                top.add(*row)
+        rows = [(f, v, c, c / top.total[f]) for f, v, c in top.rows() if v is not None]
+        yield batch([r for r in rows if min_share is None or r[3] >= min_share], [*columns, "share"], (*types, pa.float64()))
 
     schema = "field string, item string, n bigint"
     counted = df.select(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(names))).mapInArrow(runs, schema)
     by = [F.col("field"), F.col("item")]
     ranged = counted.repartitionByRange(partitions, *by) if partitions else counted.repartitionByRange(*by)
     tops = ranged.sortWithinPartitions(*by).mapInArrow(merge, schema)
-    # At most k + 1 rows per range are left; a range's total travels with them as the null item.
-    rows = tops.groupBy("field", "item").agg(F.sum("n").alias("n"))
-    totals = rows.where("item is null").select("field", F.col("n").alias("total"))
-    best = (
-        rows.where("item is not null").groupBy("field").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "item"))), 1, k).alias("top"))
-        .select("field", F.explode("top").alias("t")).select("field", F.col("t.item").alias("item"), (-F.col("t.m")).alias("n"))
-    )
-    out = best.join(F.broadcast(totals), "field").select("field", "item", "n", (F.col("n") / F.col("total")).alias("share"))
-    return out if min_share is None else out.where(F.col("share") >= F.lit(min_share))
+    # Ranges share no value, so their heaps only have to be narrowed: by a tree, and in one task at its root.
+    width = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while width > _FAN:
+        width = -(-width // _FAN)
+        tops = tops.repartition(width).mapInArrow(narrow, schema)
+    return tops.repartition(1).mapInArrow(finish, schema + ", share double")
 
 
 class _Backwards:

@@ -24,6 +24,17 @@ def test_frequent_items_are_exact(spark):
         heavy.frequent_items(df, ["a"], 10, 0.01)
 
 
+def test_heaps_merge_through_a_tree(spark):
+    rng = random.Random(3)
+    vals = ["hot"] * 2000 + ["v%d" % rng.randint(0, 900) for _ in range(4000)]
+    rng.shuffle(vals)
+    df = spark.createDataFrame([(v,) for v in vals], "a string").repartition(6)
+    got = [(r.item, r.n) for r in heavy.frequent_items(df, ["a"], 7, partitions=200).collect()]
+    assert sorted(got) == sorted(sorted(Counter(vals).items(), key=lambda x: (-x[1], x[0]))[:7])
+    plan = heavy.frequent_items(df, ["a"], 7, partitions=200)._jdf.queryExecution().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition 4") >= 2 and "collect_list" not in plan
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["alpha beta gamma();", "", "delta", "é漢😀 words", "x" * 130, "  indented line of text", "\t"]), max_size=60), st.integers(0, 8))
 def test_pieces_give_the_text_again(lines, overlap):
