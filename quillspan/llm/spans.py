@@ -5,19 +5,21 @@ Every run of ``min_chars`` equal characters holds, in both records, the same
 windows. So the plan is
 
 1. one pass picks each record's phrases; phrases found in two records recur
-   (``min(id) <> max(id)`` per hash, combined map-side, so a phrase that stands in
-   a third of all rows still shuffles one row per map task);
+   (``min(id) <> max(id)`` per hash, combined map-side);
 2. records that hold a recurring phrase are met by automata: each shard of records
    compiles an Aho-Corasick automaton of the phrases confirmed for *its* records
-   and streams their whole texts, which finds every occurrence (also those that
-   the picking skipped). An automaton's size is bounded by its shard, and a record
-   is streamed once, however many phrases recur in the corpus;
-3. around each occurrence, windows of ``min_chars`` on a grid are compared by
-   128-bit hashes; where only part of a grid recurs, the windows between are
-   compared too, so the reported stretches are exact to the character.
+   and streams their whole texts once, which finds every occurrence (also those that
+   the picking skipped). An automaton's size is bounded by its shard; that a record meets
+   only its own shard's automaton keeps the work in proportion to the texts, where streaming all
+   records past the automata of all phrases would grow with their square;
+3. around each occurrence, windows of ``min_chars`` on a grid are hashed (128 bits); what
+   follows works on rows of hashes and positions, without texts. Where only part of a grid recurs, the
+   windows between are hashed too, so the reported stretches are exact to the character.
 
 Nothing is paired: every comparison is a min/max per hash, so a group of copies
-costs rows in proportion to its texts.
+costs rows in proportion to its texts. A hash that stands in many rows is not met by one
+task either: the hashes that each make up a thousandth of the rows or more are at most a
+thousand and are broadcast, the others are shuffled (``_among``).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.session import release, stored
@@ -133,7 +135,23 @@ def _shards(b: pd.DataFrame, k: int, most: int = 10_000) -> Iterator[tuple[pd.Da
 
 
 def _recurring(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.min("rid").alias("_a"), F.max("rid").alias("_b")).where("_a <> _b").select(key)
+    """The keys that stand in two records, and in how many rows (``n``)."""
+    return rows.groupBy(key).agg(F.min("rid").alias("_a"), F.max("rid").alias("_b"), F.count("*").alias("n")).where("_a <> _b").select(key, "n")
+
+
+def _among(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """The rows whose key is among ``keys`` (key, n), of ``total`` rows in all.
+
+    Keys of a thousandth of the rows each are at most a thousand, whatever the data, so
+    they are broadcast and their rows stay where they are; no other key weighs much.
+    """
+    much = total // 1000 + 1
+    hot = keys.where(F.col("n") >= much).select(key)
+    if not hot.head(1):
+        return rows.join(keys.select(key), key, "left_semi")
+    hot = F.broadcast(hot)
+    rest = rows.join(hot, key, "left_anti").join(keys.where(F.col("n") < much).select(key), key, "left_semi")
+    return rows.join(hot, key, "left_semi").unionByName(rest)
 
 
 def shared_spans(
@@ -154,8 +172,6 @@ def shared_spans(
     if not 0 < phrase_chars < min_chars or step < 1:
         raise ValueError("phrase_chars must lie between 0 and min_chars, step must be positive")
     base = df.select(F.col(id_col).cast("bigint").alias("rid"), F.col(text_col).cast("string").alias("text")).where(F.col("rid").isNotNull())
-    long = base.where(F.length("text") >= min_chars)
-
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rid, hs, ps = [], [], []
@@ -165,17 +181,14 @@ def shared_spans(
                 hs.append(h.view(np.int64))
                 ps.append(p)
             if rid:
-                yield pd.DataFrame({"rid": np.concatenate(rid), "h": np.concatenate(hs), "pos": np.concatenate(ps).astype(np.int32)})
+                yield pd.DataFrame({"rid": np.concatenate(rid), "tid": np.repeat(b.tid.to_numpy(), [len(h) for h in hs]), "h": np.concatenate(hs), "pos": np.concatenate(ps).astype(np.int32)})
 
     keep_rows = stored if checkpoint else lambda df: df
-    # Read twice, so kept: the pass over the texts costs more than a table of hashes.
-    picked = keep_rows(long.mapInPandas(phrases, "rid bigint, h bigint, pos int"))
-    confirmed = picked.join(_recurring(picked, "h"), "h").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
-    # Rows of one id are one record: its texts are met one by one, under the same id.
-    met = long.join(confirmed, "rid")
-    met = keep_rows(met)
-    if checkpoint:
-        release(picked)
+    drop = release if checkpoint else lambda df: None
+    texts = base.withColumn("tid", F.xxhash64("text")).where(F.length("text") >= min_chars)
+    picked = keep_rows(texts.mapInPandas(phrases, "rid bigint, tid bigint, h bigint, pos int"))
+    twice = keep_rows(_recurring(picked, "h"))
+    confirmed = _among(picked, twice, "h", picked.count()).groupBy("rid", "tid").agg(F.collect_list("pos").alias("pos"))
 
     core = min_chars - step + 1  # what all windows that start up to a step before a grid start have in common
 
@@ -183,87 +196,73 @@ def shared_spans(
         for b in batches:
             for part, a in _shards(b, phrase_chars):
                 rows = []
-                for r, t in zip(part.rid, part.text, strict=True):
-                    starts = _starts(t, a, min_chars, phrase_chars, step)
-                    rows += [(r, x) for x in {_window(t, q, min_chars) for q in starts if q + min_chars <= len(t)}]
-                    rows += [(r, x) for x in {_window(t, q, core) for q in starts}]
-                yield pd.DataFrame(rows, columns=["rid", "w"])
-
-    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part, a in _shards(b, phrase_chars):
-                rows: set[bytes] = set()
-                for t, hit in zip(part.text, part.hit, strict=True):
-                    hit = set(map(bytes, hit))
-                    starts = _starts(t, a, min_chars, phrase_chars, step)
-                    on = {q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit}
-                    # Grid windows that recur on both sides cover all windows between them already.
-                    rows |= {w for q in starts if not (q in on and q - step in on) for w in [_window(t, q, core)] if w in hit}
-                yield pd.DataFrame({"w": sorted(rows)})
+                for r, i, t in zip(part.rid, part.tid, part.text, strict=True):
+                    n = len(t)
+                    rows += [(r, i, q, _window(t, q, min_chars) if q + min_chars <= n else None, _window(t, q, core)) for q in _starts(t, a, min_chars, phrase_chars, step)]
+                yield pd.DataFrame(rows, columns=["rid", "tid", "q", "whole", "core"]).astype({"q": "int32"})
+
+    # Rows of one id are one record: their texts are met one by one, under the same id.
+    once = texts.join(confirmed, ["rid", "tid"])
+    gridded = keep_rows(once.mapInPandas(grid, "rid bigint, tid bigint, q int, whole binary, core binary"))
+    drop(picked)
+    drop(twice)
+    total = gridded.count()
+    at = ["rid", "tid", "q"]
+    whole = gridded.where("whole is not null").select(*at, F.col("whole").alias("w"))
+    cores = gridded.select(*at, F.col("core").alias("w"))
+    whole_twice, cores_twice = keep_rows(_recurring(whole, "w")), keep_rows(_recurring(cores, "w"))
+    on = _among(whole, whole_twice, "w", total).select(*at)
+    met = keep_rows(_among(cores, cores_twice, "w", total).select(*at, "w", F.lit(False).alias("on")).unionByName(on.select(*at, F.lit(None).cast("binary").alias("w"), F.lit(True).alias("on"))))
+    drop(gridded)
+    # Grid windows that recur on both sides cover all windows between them already; elsewhere the core's records look closer.
+    marks = met.repartition("rid", "tid").groupBy(*at).agg(F.max("w").alias("w"), F.max("on").alias("on"))
+    before = F.max(F.struct("q", "on")).over(Window.partitionBy("rid", "tid").orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    closer = marks.withColumn("b", before).where("w is not null and not (on and coalesce(b.on and b.q = q - " + str(step) + ", false))").select("w").distinct()
+    closer = keep_rows(closer.join(cores_twice, "w"))
+    want = _among(met.where("not on").select(*at, "w"), closer, "w", total).groupBy("rid", "tid").agg(F.collect_set("q").alias("want"))
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, a in _shards(b, phrase_chars):
-                rows = []
-                for r, t, want in zip(part.rid, part.text, part.want, strict=True):
-                    fine = _fine(t, _starts(t, a, min_chars, phrase_chars, step), set(map(bytes, want)), min_chars, core, step)
-                    rows += [(r, x) for x in {_window(t, q, min_chars) for q in fine}]
-                yield pd.DataFrame(rows, columns=["rid", "w"])
+            rows = []
+            for r, i, t, qs in zip(b.rid, b.tid, b.text, b.want, strict=True):
+                rows += [(r, i, q, _window(t, q, min_chars)) for q in _fine(len(t), qs, min_chars, step)]
+            yield pd.DataFrame(rows, columns=["rid", "tid", "q", "w"]).astype({"q": "int32"})
+
+    fine = keep_rows(texts.join(want, ["rid", "tid"]).mapInPandas(between, "rid bigint, tid bigint, q int, w binary"))
+    fine_twice = keep_rows(_recurring(fine, "w"))
+    starts = met.where("on").select(*at).unionByName(_among(fine, fine_twice, "w", fine.count()).select(*at))
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, a in _shards(b, phrase_chars):
-                rows = []
-                for r, t, hit, want, more in zip(part.rid, part.text, part.hit, part.want, part.more, strict=True):
-                    hit = set(map(bytes, hit))
-                    starts = _starts(t, a, min_chars, phrase_chars, step)
-                    keep = [q for q in starts if q + min_chars <= len(t) and _window(t, q, min_chars) in hit]
-                    if more is not None and len(more):
-                        fine = set(map(bytes, more))
-                        keep += [q for q in _fine(t, starts, set(map(bytes, want)), min_chars, core, step) if _window(t, q, min_chars) in fine]
-                    spans: list[list[int]] = []
-                    for q in sorted(keep):
-                        if spans and q <= spans[-1][1]:
-                            spans[-1][1] = q + min_chars
-                        else:
-                            spans.append([q, q + min_chars])
-                    rows.append((r, len(t), sum(e - s for s, e in spans), spans))
-                yield pd.DataFrame(rows, columns=["rid", "n_chars", "shared_chars", "spans"])
-
-    gridded = keep_rows(met.mapInPandas(grid, "rid bigint, w binary"))
-    hits = gridded.join(_recurring(gridded, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("hit"))
-    hit = met.join(hits, "rid")
-    hit = keep_rows(hit)
-    if checkpoint:
-        release(gridded)
-    # Cores for which some record must look closer; every record that holds one then looks.
-    close = hit.mapInPandas(needs, "w binary").distinct()
-    want = hit.select("rid", F.explode("hit").alias("w")).join(close, "w").groupBy("rid").agg(F.collect_set("w").alias("want"))
-    want = keep_rows(want)
-    fine = hit.select("rid", "text", "pos").join(want, "rid").mapInPandas(between, "rid bigint, w binary")
-    more = fine.join(_recurring(fine, "w"), "w").groupBy("rid").agg(F.collect_set("w").alias("more"))
-    covered = hit.join(want, "rid", "left").join(more, "rid", "left").mapInPandas(cover, "rid bigint, n_chars bigint, shared_chars bigint, spans array<array<bigint>>")
-    # A record of several rows with one id keeps the row that is shared most, as one row per id and length.
-    best = covered.groupBy("rid", "n_chars").agg(F.max_by(F.struct("shared_chars", "spans"), "shared_chars").alias("s"))
+            rows = []
+            for r, i, qs in zip(b.rid, b.tid, b.qs, strict=True):
+                spans: list[list[int]] = []
+                for q in sorted(qs.tolist()):
+                    if spans and q <= spans[-1][1]:
+                        spans[-1][1] = q + min_chars
+                    else:
+                        spans.append([q, q + min_chars])
+                rows.append((r, i, sum(e - s for s, e in spans), spans))
+            yield pd.DataFrame(rows, columns=["rid", "tid", "shared_chars", "spans"])
+
+    covered = starts.groupBy("rid", "tid").agg(F.collect_set("q").alias("qs")).mapInPandas(cover, "rid bigint, tid bigint, shared_chars bigint, spans array<array<bigint>>")
     empty = F.array().cast("array<array<bigint>>")
     return (
-        base.select("rid", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
-        .join(best, ["rid", "n_chars"], "left")
+        base.select("rid", F.xxhash64("text").alias("tid"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+        .join(covered, ["rid", "tid"], "left")
         .select(
             F.col("rid").alias("record_id"),
             "n_chars",
-            F.coalesce("s.shared_chars", F.lit(0).cast("bigint")).alias("shared_chars"),
-            F.when(F.col("n_chars") > 0, F.coalesce(F.col("s.shared_chars"), F.lit(0)) / F.col("n_chars")).otherwise(F.lit(0.0)).alias("shared_share"),
-            F.coalesce("s.spans", empty).alias("spans"),
+            F.coalesce("shared_chars", F.lit(0).cast("bigint")).alias("shared_chars"),
+            F.when(F.col("n_chars") > 0, F.coalesce(F.col("shared_chars"), F.lit(0)) / F.col("n_chars")).otherwise(F.lit(0.0)).alias("shared_share"),
+            F.coalesce("spans", empty).alias("spans"),
         )
     )
 
 
-def _fine(text: str, starts: list[int], want: set[bytes], min_chars: int, core: int, step: int) -> list[int]:
-    """Starts between grid starts whose windows hold a wanted core: those up to ``step - 1`` before it."""
+def _fine(n: int, starts: list[int], min_chars: int, step: int) -> list[int]:
+    """Starts between grid starts of a text of ``n`` characters whose windows hold a wanted core: those up to ``step - 1`` before it."""
     out: set[int] = set()
-    last = len(text) - min_chars
-    for q in starts:
-        if _window(text, q, core) in want:
-            out.update(range(max(0, q - step + 1), min(q, last + 1)))
+    for q in map(int, starts):
+        out.update(range(max(0, q - step + 1), min(q, n - min_chars + 1)))
     return sorted(out)
