@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text (winnowing).
 
 Both sides keep the minimal ``k``-gram hash of every window of ``w`` word k-grams;
-any run of ``k + w - 1`` equal words shares a kept hash. Fingerprints are joined,
-hits are gathered per (document, item, diagonal), and diagonals with two hits or
-more are extended over the words of both texts. A passage of 25 words of which
-one in ten is replaced keeps at least two hits with the default k = 5, w = 3.
+any run of ``k + w - 1`` equal words shares a kept hash. Fingerprints are joined, hits
+are gathered per document as the items and diagonals they lie on, and every such diagonal is
+extended over the words of both texts. A passage of 25 words of which one in ten is
+replaced keeps at least one hit with the default k = 5, w = 3. A document's text travels
+once, with all its items, so a fingerprint that many items share (such as a common
+opening) costs a look at words already at hand and no further copies of texts.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.spans import sliding_min
+from quillspan.session import stored
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&[a-z]{2,8};")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&[a-z]{2,8};")
 _LEAD = re.compile(r"(?m)^[ \t]*(?:(?:[>|*+#-]+|\d{1,3}[.)])[ \t]+)+")
 _MARK = re.compile(r"[^\w\s]+|_+")
 
@@ -77,15 +80,16 @@ def longest_match(a: list[str], b: list[str], diagonal: int, min_words: int, one
 
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str,
-    min_words: int = 25, one_in: int = 10, k: int = 5, w: int = 3, broadcast_rows: int = 500_000,
+    min_words: int = 25, one_in: int = 10, k: int = 5, w: int = 3, broadcast_rows: int = 500_000, broadcast_bytes: int = 32_000_000, salts: int = 16,
 ) -> DataFrame:
     """Which documents contain passages of which items.
 
     One row per (``doc_id``, ``item_id``) with the longest passage: ``doc_word``,
     ``item_word`` (word offsets), ``n_words``, ``n_replaced`` and
     ``item_share`` (passage over the item's words). The items' fingerprints are
-    broadcast only if they count at most ``broadcast_rows``, else shuffled; the same
-    rows result. Null and empty texts give no rows, nor do empty tables; a repeated
+    broadcast only if they count at most ``broadcast_rows`` (24 bytes each), else shuffled, each to
+    ``salts`` places, so that a fingerprint of very many documents is met by as many tasks; the items' texts only if they take
+    at most ``broadcast_bytes``, else joined by item; the same rows result. Null and empty texts give no rows, nor do empty tables; a repeated
     item or document id counts as each of its rows.
     """
 
@@ -104,31 +108,51 @@ def leaked_items(
         src = df.select(F.col(idc).cast("bigint").alias("i"), F.col(txt).alias("t")).where("t is not null and i is not null")
         return src.mapInPandas(run, "i bigint, p bigint, h bigint").toDF(f"{name}_id", f"{name}_pos", "h")
 
-    right = prints(item_id, item_text, items, "item")
-    few = right.limit(broadcast_rows + 1).count() <= broadcast_rows
-    hits = prints(doc_id, doc_text, docs, "doc").join(F.broadcast(right) if few else right, "h")
+    right = stored(prints(item_id, item_text, items, "item"))  # counted and joined
+    left = prints(doc_id, doc_text, docs, "doc")
+    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hits = left.join(F.broadcast(right), "h")
+    else:
+        left = left.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        hits = left.join(right.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["h", "s"])
     diagonals = (
         hits.select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("d")).distinct()
         .groupBy("doc_id", "item_id").agg(F.collect_list("d").alias("ds"))
     )
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("dt")).where("dt is not null")
     it = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("it")).where("it is not null")
-    it = F.broadcast(it) if few else it
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, seen = [], {}
-            for di, ii, ds, dt, itx in zip(b.doc_id, b.item_id, b.ds, b.dt, b["it"], strict=True):
-                a = words(dt)
-                bw = seen.get(itx) or seen.setdefault(itx, words(itx))
-                best = max((m for m in (longest_match(a, bw, int(x), min_words, one_in) for x in ds) if m), key=lambda m: m[1], default=None)
-                d0 = next((int(x) for x in ds if best and longest_match(a, bw, int(x), min_words, one_in) == best), 0)
-                if best:
-                    rows.append((di, ii, best[0], best[0] - d0, best[1], best[2], best[1] / len(bw)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_replaced", "item_share"])
-
-    found = diagonals.join(d, "doc_id").join(it, "item_id").mapInPandas(
-        extend, "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint, n_replaced bigint, item_share double"
-    )
+    schema = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint, n_replaced bigint, item_share double"
+
+    def passage(di: int, a: list[str], ii: int, bw: list[str], ds: list[int]) -> tuple | None:
+        found = [(m, int(x)) for x in ds if (m := longest_match(a, bw, int(x), min_words, one_in))]
+        if not found:
+            return None
+        (at, n, replaced), x = max(found, key=lambda f: (f[0][1], -f[0][0], -f[1]))
+        return di, ii, at, at - x, n, replaced, n / len(bw)
+
+    if (it.agg(F.sum(F.octet_length("it"))).first()[0] or 0) <= broadcast_bytes:
+        known: dict[int, list[list[str]]] = {}
+        for i, t in it.toLocalIterator():  # its size has just been checked
+            known.setdefault(i, []).append(words(t))
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+
+        def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = shared.value
+            for b in batches:
+                rows = []
+                for di, dt, near in zip(b.doc_id, b["dt"], b.near, strict=True):
+                    a = words(dt)
+                    rows += [p for x in near for bw in of[x["item_id"]] if (p := passage(di, a, x["item_id"], bw, x["ds"]))]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+        found = diagonals.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "ds")).alias("near")).join(d, "doc_id").mapInPandas(extend, schema)
+    else:
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [passage(di, words(dt), ii, words(t), ds) for di, ii, ds, dt, t in zip(b.doc_id, b.item_id, b.ds, b["dt"], b["it"], strict=True)]
+                yield pd.DataFrame([r for r in rows if r], columns=[c.split()[0] for c in schema.split(", ")])
+
+        found = diagonals.join(it, "item_id").join(d, "doc_id").mapInPandas(meet, schema)
     best = F.max_by(F.struct("doc_word", "item_word", "n_words", "n_replaced", "item_share"), F.struct("n_words", -F.col("doc_word"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

@@ -76,13 +76,24 @@ def test_leaks(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as n")
     it = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, " ".join(words(rng, 60)))], "item_id bigint, text string")
-    for limit in (500_000, 1):
-        got = {(r.doc_id, r.item_id): (r.n_words, r.n_replaced) for r in leaks.leaked_items(d, it, "doc_id", "text", "item_id", "text", broadcast_rows=limit).collect()}
+    for limit, size in ((500_000, 32_000_000), (1, 32_000_000), (1, 0), (500_000, 0)):
+        got = {(r.doc_id, r.item_id): (r.n_words, r.n_replaced) for r in leaks.leaked_items(d, it, "doc_id", "text", "item_id", "text", broadcast_rows=limit, broadcast_bytes=size).collect()}
         assert set(got) == {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 1)}
         assert got[(9, 1)] == (80, 0) and got[(3, 1)][1] == 3
     assert leaks.leaked_items(d.limit(0), it, "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_a_fingerprint_of_a_third_of_all_documents(spark):
+    rng = random.Random(4)
+    opening = words(rng, 8)
+    items = [(i, " ".join(opening + words(rng, 40))) for i in range(12)]
+    docs = [(i, " ".join(words(rng, 20) + (opening if i % 3 == 0 else []) + words(rng, 20))) for i in range(300)] + [(1000, items[5][1])]
+    d, it = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, text string")
+    for rows, size in ((500_000, 32_000_000), (1, 0)):
+        got = leaks.leaked_items(d, it, "doc_id", "text", "item_id", "text", broadcast_rows=rows, broadcast_bytes=size)
+        assert [(r.doc_id, r.item_id) for r in got.collect()] == [(1000, 5)]
+
+
 def test_longest_match_equals_brute_force():
     rng = random.Random(6)
     for _ in range(200):
