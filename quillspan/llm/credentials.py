@@ -62,14 +62,19 @@ LITERAL = re.compile(
 _NEXT = re.compile(r"['\"`]\s*(?:\+|\\)?\s*(?:\r?\n)?[ \t]*(?:\+[ \t]*)?[rbfuRBFU]?['\"`]([^'\"`\n\\]*)(?=['\"`])")
 _MORE = re.compile(r"[ \t]*(?:\+|\\?\r?\n[ \t]*[+'\"`])")
 # Values that a telling identifier names are candidates whatever their characters.
-_HINT = re.compile(r"(?i)pass|pwd|secret|token|api[_-]?key|auth|credential|hmac|signing|private[_-]?key|access[_-]?key|jwt|bearer|master[_-]?key|encryption[_-]?key|licen[sc]e[_-]?key")
+# Fixed values, in lower case: what a telling identifier holds.
+HINTS = (
+    "pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "credential", "hmac", "signing", "privatekey", "private_key", "private-key", "accesskey", "access_key", "access-key",
+    "jwt", "bearer", "masterkey", "master_key", "master-key", "encryptionkey", "encryption_key", "encryption-key", "licensekey", "license_key", "license-key", "licencekey", "licence_key", "licence-key",
+)
+_HINT = re.compile("(?i)" + "|".join(HINTS))
 _NAMED = re.compile(
     r"[\w$-]*+(?:['\"`]\s*,|['\"`]?\]?\s*(?P<t>:\s*(?:string|str)\s*(?==))?(?::|\??=)(?![=>]))\s*(?:\(\s*)?[rbuRBU]?"
     r"(?:(?P<q>['\"`])(?P<v>(?:\\.|(?!(?P=q))[^\\\r\n])+)(?P=q)|(?<=[:=])[ \t]*(?P<u>[^\s'\"`,;{}()\[\]<>$]+)[ \t]*(?:\*/|-->)?[ \t]*\r?$)", re.M
 )
 _DIGIT = re.compile(r"\d")
 _ASSIGN = re.compile(r"[A-Za-z][\w.-]+=(?=[^\s=]{6})")
-_TARGET = re.compile(r"([\w$-]+)['\"`]?\]?\s*(?::|\??=)(?![=>])")
+_TARGET = re.compile(r"(?<![\w$-])([\w$-]++)['\"`]?\]?\s*(?::|\??=)(?![=>])")
 _ARGUMENT = re.compile(r"\(\s*['\"`]([\w.$-]+)['\"`]\s*,\s*\(?\s*(?=['\"`])")
 # What ends the reach of an identifier; comments and short literals are passed over.
 _BREAK = re.compile(r"/\*[\s\S]*?\*/|'[^'\n]*'|\"[^\"\n]*\"|([;{}]|\n[ \t\r]*(?=\n))")
@@ -102,13 +107,22 @@ class Candidate:
 
 
 class _Names:
-    """The identifiers that name values of a text, found once; lookups are by bisection."""
+    """The identifiers that name values of a text, found once and only if one is asked for; lookups are by bisection."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.targets = [(m.end(), m.start(), m.group(1)) for m in _TARGET.finditer(text)]
-        self.ends = [t[0] for t in self.targets]
-        self.arguments = {m.end(): m.group(1) for m in _ARGUMENT.finditer(text)}
+
+    @functools.cached_property
+    def targets(self) -> list[tuple[int, int, str]]:
+        return [(m.end(), m.start(), m.group(1)) for m in _TARGET.finditer(self.text)]
+
+    @functools.cached_property
+    def ends(self) -> list[int]:
+        return [t[0] for t in self.targets]
+
+    @functools.cached_property
+    def arguments(self) -> dict[int, str]:
+        return {m.end(): m.group(1) for m in _ARGUMENT.finditer(self.text)}
 
     @functools.cached_property
     def breaks(self) -> list[int]:
@@ -213,16 +227,16 @@ def candidates(text: str) -> list[Candidate]:
         kind = _issued(value) if len(spans) > 1 else None
         origin = "issued" if kind else "joined" if len(spans) > 1 else "literal" if v is not None else "assigned"
         add(Candidate(kind or "SECRET", span[0], value, key, spans, kind is not None, origin), span[0], spans[-1][1])
-    for h in _HINT.finditer(text):
-        m = _NAMED.match(text, h.end())
+    for begin, end in _hints(text):
+        m = _NAMED.match(text, end)
         if m and free(*(span := m.span("v") if m.group("q") else m.span("u"))):
             at = m.start("q") if m.group("q") else span[0]
             key = _key(at)
             if m.group("t"):  # the name stands before its type
-                start = h.start()
+                start = begin
                 while start and (text[start - 1].isalnum() or text[start - 1] in "_$-"):
                     start -= 1
-                name = text[start : h.end()] + re.compile(r"[\w$-]*").match(text, h.end()).group()
+                name = text[start:end] + re.compile(r"[\w$-]*").match(text, end).group()
                 key = "_".join(x.lower() for x in _PART.findall(name))
             value, spans = _joined(text, *span) if m.group("q") else (text[span[0] : span[1]], [span])
             if STRONG.search(key) and "${" not in value:
@@ -230,6 +244,24 @@ def candidates(text: str) -> list[Candidate]:
     return sorted(out, key=lambda c: c.at)
 
 
+def _hints(text: str) -> list[tuple[int, int]]:
+    """Where telling words stand, from left to right and without overlaps."""
+    low = text.lower()
+    if len(low) != len(text):  # some letters have longer lower-case forms
+        return [h.span() for h in _HINT.finditer(text)]
+    found = []
+    for h in HINTS:
+        at = low.find(h)
+        while at >= 0:
+            found.append((at, at + len(h)))
+            at = low.find(h, at + len(h))
+    out: list[tuple[int, int]] = []
+    for span in sorted(found):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    return out
+
+
 def _issued(value: str) -> str | None:
     """The format that a value put together from several literals has."""
     u = URL.match(value)
