@@ -90,9 +90,13 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_items(_t(spark, d, "paste_files"), "paste_id", "content")
 
 
+def p7_quality(spark: SparkSession, d: str) -> DataFrame:
+    return split.cut_quality(split.split_items(_t(spark, d, "paste_files"), "paste_id", "content", with_text=False))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    p = split.split_items(_t(spark, d, "paste_files"), "paste_id", "content", only_large=True, with_text=False)
-    return p.where("piece_no = 0").select(F.col("record_id").alias("paste_id"))
+    p = split.split_items(_t(spark, d, "paste_files"), "paste_id", "content", with_text=False)
+    return p.where("piece_no = 0 and n_pieces > 1").select(F.col("record_id").alias("paste_id"))
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -52,12 +52,40 @@ def test_pieces_end_at_lines_and_carry_them(spark):
     assert {r.record_id for r in rows} == {1, 4, 5}
     for r in rows:
         if r.record_id == 1:
-            assert r.boundary in ("valley", "end") and (r.piece.endswith("\n") or r.boundary == "end")
+            assert r.boundary in ("valley", "line", "end") and (r.piece.endswith("\n") or r.boundary == "end")
             assert r.start_line == t.count("\n", 0, r.start_char) + 1 and r.end_line == t.count("\n", 0, r.end_char - 1) + 1
     assert [r.boundary for r in rows if r.record_id == 5][:-1] == ["hard"] * 8
     assert split.split_items(df.limit(0), "id", "t", 600, 20).count() == 0
 
 
+def test_cuts_fall_between_topics():
+    rng = random.Random(12)
+    hit = n = 0
+    for _ in range(20):
+        text, borders = "", set()
+        for _ in range(14):
+            topic = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+            text += "".join("  " + " ".join(rng.choice(topic) for _ in range(5)) + "\n" for _ in range(rng.randint(12, 20)))
+            borders.add(len(text))
+        for _, end, kind, depth in split.cuts(text, 1600, 50)[:-1]:
+            n += 1
+            hit += end in borders
+            assert kind == "valley" and depth > 0.1
+    assert n > 100 and hit / n > 0.95
+
+
+def test_cohesion_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x", "Alpha"]) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 25))]
+        block = rng.randint(1, 6)
+        count = lambda part: Counter(w for x in part for w in x.lower().split() if len(w) > 2)
+        for i, got in enumerate(split._similarity(lines, block)):
+            a, b = count(lines[max(0, i + 1 - block) : i + 1]), count(lines[i + 1 : i + 1 + block])
+            norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            assert abs(got - (sum(a[w] * b[w] for w in a) / norm if norm else 0)) < 1e-9
+
+
 def words(rng, n):
     return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n)]
 
