@@ -79,7 +79,7 @@ def round_pairs(rows: list[list], seed: int) -> tuple[list[list], list | None]:
     return done, left
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, broadcast_sources: int = 100_000) -> DataFrame:
     """Copies of each document in a mixture with the sources' target shares.
 
     ``sized``: doc_id, source, n_tokens; ``targets``: source, target_share, max_repeats
@@ -90,17 +90,20 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     than ``max_repeats``. Documents of unlisted or null sources, of 0 or null tokens,
     and targets of null or zero share take no part. Empty tables give no rows. Rows that
     repeat an id are documents of their own. If ``total`` is more than the repeats allow,
-    a source stops at its repeats and ``mix_report`` shows what it reached.
+    a source stops at its repeats and ``mix_report`` shows what it reached. The targets
+    are broadcast only if they count at most ``broadcast_sources``.
     """
     t = targets.where("target_share > 0 and max_repeats > 0 and source is not null").groupBy("source").agg(F.first("target_share").alias("share"), F.first("max_repeats").alias("cap"))
-    d = sized.select("doc_id", "source", "n_tokens").where("n_tokens > 0 and source is not null").join(F.broadcast(t), "source")
+    t = cut(t)
+    small = F.broadcast if t.count() <= broadcast_sources else lambda x: x
+    d = sized.select("doc_id", "source", "n_tokens").where("n_tokens > 0 and source is not null").join(small(t), "source")
     d = cut(d)
     size = d.groupBy("source", "share", "cap").agg(F.sum("n_tokens").alias("size"))
     total_row = size.agg(F.min(F.col("cap") * F.col("size") / F.col("share")).alias("most"))
     rate = size.crossJoin(F.broadcast(total_row)).select(  # one row
         "source", "cap", F.least(F.col("share") * (F.lit(float(total)) if total else F.col("most")) / F.col("size"), F.col("cap").cast("double")).alias("r")
     )
-    d = d.drop("share", "cap").join(F.broadcast(rate), "source")
+    d = d.drop("share", "cap").join(small(rate), "source")
     # max_repeats * size / share * share / size need not be max_repeats again in floating point.
     d = d.withColumn("r", F.when(F.abs(F.col("r") - F.round("r")) < 1e-9, F.round("r")).otherwise(F.col("r")))
     d = d.select("doc_id", "source", "n_tokens", F.floor("r").cast("bigint").alias("base"), (F.col("r") - F.floor("r")).alias("p"))
@@ -148,15 +151,20 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
 
 
 def mix_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: ``target_share``, ``actual_share``, ``n_docs``, ``n_tokens`` used, ``most_copies``, ``mean_copies``."""
+    """Per target source: ``target_share``, ``actual_share``, ``share_error``, ``n_docs``, ``n_tokens`` used, ``most_copies``, ``mean_copies``.
+
+    ``error_bound`` is the largest document of all sources over the whole: where no source stops
+    at its repeats, rounding moves a source by less than one document.
+    """
     m = mixture.groupBy("source").agg(
-        F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count_if(F.col("copies") > 0).alias("n_docs"), F.max("copies").alias("most_copies"), F.avg("copies").alias("mean_copies")
-    )
-    whole = m.agg(F.sum("n_tokens").alias("whole"))
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count_if(F.col("copies") > 0).alias("n_docs"), F.max("copies").alias("most_copies"), F.avg("copies").alias("mean_copies"), F.max("n_tokens").alias("largest"),
+    )
+    whole = m.agg(F.sum("n_tokens").alias("whole"), F.max("largest").alias("largest_doc"))
+    actual = F.coalesce("n_tokens", F.lit(0)) / F.col("whole")
     return (
         targets.join(m, "source", "left").crossJoin(F.broadcast(whole))  # one row
         .select(
-            "source", "target_share", (F.coalesce("n_tokens", F.lit(0)) / F.col("whole")).alias("actual_share"),
+            "source", "target_share", actual.alias("actual_share"), (actual - F.col("target_share")).alias("share_error"), (F.col("largest_doc") / F.col("whole")).alias("error_bound"),
             *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_docs", "n_tokens", "most_copies", "mean_copies")),
         )
     )

@@ -183,6 +183,24 @@ def test_mixture_meets_its_shares(spark):
     assert mixing.mix(s.limit(0), t).count() == 0
 
 
+def test_shares_of_the_tables_are_met_to_a_document(spark):
+    from quillspan.llm import queries
+
+    rows = queries.p9_shares(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 13 and abs(sum(r.actual_share for r in rows) - 1) < 1e-9
+    assert all(abs(r.share_error) <= 2 * r.error_bound for r in rows), rows
+    caps = {r.source: r.max_repeats for r in spark.read.parquet("/root/testdata/sf0.01/mix_targets.parquet").collect()}
+    assert all(r.most_copies <= caps[r.source] for r in rows)
+
+
+def test_many_sources_are_not_broadcast(spark):
+    sized = spark.createDataFrame([(i, "s%d" % (i % 5), 10 + i % 7) for i in range(500)], "doc_id bigint, source string, n_tokens bigint")
+    t = spark.createDataFrame([("s%d" % i, 0.2, 2) for i in range(5)], "source string, target_share double, max_repeats int")
+    key = lambda df: sorted((r.doc_id, r.copies) for r in df.collect())
+    a, b = key(mixing.mix(sized.coalesce(1), t)), key(mixing.mix(sized.coalesce(1), t, broadcast_sources=1))
+    assert len(a) == len(b) == 500 and abs(sum(c for _, c in a) - sum(c for _, c in b)) < 20
+
+
 def test_a_move_keeps_tokens():
     rng = random.Random(2)
     for _ in range(200):
