@@ -113,8 +113,21 @@ def _starts(text: str, automaton, min_chars: int, phrase_chars: int, step: int)
     return sorted(q for q in out if q <= n - (min_chars - step + 1))
 
 
-def _window(text: str, at: int, n: int) -> bytes:
-    return xxhash.xxh3_128_digest(text[at : at + n].encode("utf-8", "surrogatepass"))
+def _windows(text: str, starts: list[int], n: int) -> bytes:
+    """The 128-bit hashes of the windows of ``n`` characters at ``starts``, one after the other."""
+    return b"".join([xxhash.xxh3_128_digest(text[at : at + n].encode("utf-8", "surrogatepass")) for at in starts])
+
+
+def _hash_rows(parts: list[tuple[int, int, list[int], int, bytes]]) -> pd.DataFrame:
+    """Rows of (record, text, starts, kind, hashes); ``at`` packs the text's lower half and the start into one number."""
+    size = [len(qs) for _, _, qs, _, _ in parts]
+    w = np.frombuffer(b"".join(x[4] for x in parts), dtype=np.int64).reshape(-1, 2)
+    q = np.fromiter((q for x in parts for q in x[2]), np.int64, sum(size))
+    text = np.repeat(np.array([x[1] for x in parts], np.int64), size) << 32
+    return pd.DataFrame({"rid": np.repeat(np.array([x[0] for x in parts], np.int64), size), "at": text | q, "kind": np.repeat(np.array([x[3] for x in parts], np.int8), size), "w1": w[:, 0], "w2": w[:, 1]})
+
+
+_HASH_ROWS = "rid bigint, at bigint, kind tinyint, w1 bigint, w2 bigint"
 
 
 def _shards(b: pd.DataFrame, k: int, most: int = 10_000) -> Iterator[tuple[pd.DataFrame, ahocorasick.Automaton]]:
@@ -134,23 +147,23 @@ def _shards(b: pd.DataFrame, k: int, most: int = 10_000) -> Iterator[tuple[pd.Da
         held += n
 
 
-def _recurring(rows: DataFrame, key: str) -> DataFrame:
+def _recurring(rows: DataFrame, key: list[str]) -> DataFrame:
     """The keys that stand in two records, and in how many rows (``n``)."""
-    return rows.groupBy(key).agg(F.min("rid").alias("_a"), F.max("rid").alias("_b"), F.count("*").alias("n")).where("_a <> _b").select(key, "n")
+    return rows.groupBy(*key).agg(F.min("rid").alias("_a"), F.max("rid").alias("_b"), F.count("*").alias("n")).where("_a <> _b").select(*key, "n")
 
 
-def _among(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+def _among(rows: DataFrame, keys: DataFrame, key: list[str], total: int) -> DataFrame:
     """The rows whose key is among ``keys`` (key, n), of ``total`` rows in all.
 
     Keys of a thousandth of the rows each are at most a thousand, whatever the data, so
     they are broadcast and their rows stay where they are; no other key weighs much.
     """
     much = total // 1000 + 1
-    hot = keys.where(F.col("n") >= much).select(key)
+    hot = keys.where(F.col("n") >= much).select(*key)
     if not hot.head(1):
-        return rows.join(keys.select(key), key, "left_semi")
+        return rows.join(keys.select(*key), key, "left_semi")
     hot = F.broadcast(hot)
-    rest = rows.join(hot, key, "left_anti").join(keys.where(F.col("n") < much).select(key), key, "left_semi")
+    rest = rows.join(hot, key, "left_anti").join(keys.where(F.col("n") < much).select(*key), key, "left_semi")
     return rows.join(hot, key, "left_semi").unionByName(rest)
 
 
@@ -185,10 +198,11 @@ def shared_spans(
 
     keep_rows = stored if checkpoint else lambda df: df
     drop = release if checkpoint else lambda df: None
-    texts = base.withColumn("tid", F.xxhash64("text")).where(F.length("text") >= min_chars)
+    # Rows of one id are one record: their texts are met one by one, under the same id, and told apart by a number of theirs.
+    texts = base.withColumn("tid", F.pmod(F.xxhash64("text"), F.lit(1 << 31))).where(F.length("text") >= min_chars)
     picked = keep_rows(texts.mapInPandas(phrases, "rid bigint, tid bigint, h bigint, pos int"))
-    twice = keep_rows(_recurring(picked, "h"))
-    confirmed = _among(picked, twice, "h", picked.count()).groupBy("rid", "tid").agg(F.collect_list("pos").alias("pos"))
+    twice = keep_rows(_recurring(picked, ["h"]))
+    confirmed = _among(picked, twice, ["h"], picked.count()).groupBy("rid", "tid").agg(F.collect_list("pos").alias("pos"))
 
     core = min_chars - step + 1  # what all windows that start up to a step before a grid start have in common
 
@@ -197,40 +211,41 @@ def shared_spans(
             for part, a in _shards(b, phrase_chars):
                 rows = []
                 for r, i, t in zip(part.rid, part.tid, part.text, strict=True):
-                    n = len(t)
-                    rows += [(r, i, q, _window(t, q, min_chars) if q + min_chars <= n else None, _window(t, q, core)) for q in _starts(t, a, min_chars, phrase_chars, step)]
-                yield pd.DataFrame(rows, columns=["rid", "tid", "q", "whole", "core"]).astype({"q": "int32"})
+                    qs = _starts(t, a, min_chars, phrase_chars, step)
+                    whole = [q for q in qs if q + min_chars <= len(t)]
+                    rows += [(r, i, whole, 0, _windows(t, whole, min_chars)), (r, i, qs, 1, _windows(t, qs, core))]
+                yield _hash_rows(rows)
 
-    # Rows of one id are one record: their texts are met one by one, under the same id.
-    once = texts.join(confirmed, ["rid", "tid"])
-    gridded = keep_rows(once.mapInPandas(grid, "rid bigint, tid bigint, q int, whole binary, core binary"))
+    # kind 0: whole windows, kind 1: cores
+    gridded = keep_rows(texts.join(confirmed, ["rid", "tid"]).mapInPandas(grid, _HASH_ROWS))
     drop(picked)
     drop(twice)
-    total = gridded.count()
-    at = ["rid", "tid", "q"]
-    whole = gridded.where("whole is not null").select(*at, F.col("whole").alias("w"))
-    cores = gridded.select(*at, F.col("core").alias("w"))
-    whole_twice, cores_twice = keep_rows(_recurring(whole, "w")), keep_rows(_recurring(cores, "w"))
-    on = _among(whole, whole_twice, "w", total).select(*at)
-    met = keep_rows(_among(cores, cores_twice, "w", total).select(*at, "w", F.lit(False).alias("on")).unionByName(on.select(*at, F.lit(None).cast("binary").alias("w"), F.lit(True).alias("on"))))
+    w = ["w1", "w2"]
+    again = keep_rows(_recurring(gridded, w))
+    met = keep_rows(_among(gridded, again, w, total := gridded.count()))
     drop(gridded)
     # Grid windows that recur on both sides cover all windows between them already; elsewhere the core's records look closer.
-    marks = met.repartition("rid", "tid").groupBy(*at).agg(F.max("w").alias("w"), F.max("on").alias("on"))
-    before = F.max(F.struct("q", "on")).over(Window.partitionBy("rid", "tid").orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
-    closer = marks.withColumn("b", before).where("w is not null and not (on and coalesce(b.on and b.q = q - " + str(step) + ", false))").select("w").distinct()
-    closer = keep_rows(closer.join(cores_twice, "w"))
-    want = _among(met.where("not on").select(*at, "w"), closer, "w", total).groupBy("rid", "tid").agg(F.collect_set("q").alias("want"))
+    tid, q = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    marks = met.repartition("rid").groupBy("rid", tid.alias("tid"), q.alias("q")).agg(F.max(F.col("kind") == 0).alias("on"), F.max(F.when(F.col("kind") == 1, F.struct(*w))).alias("w"))
+    side = Window.partitionBy("rid", "tid").orderBy("q")
+    covered = F.col("on") & F.coalesce((F.lag("q").over(side) == F.col("q") - step) & F.lag("on").over(side), F.lit(False))
+    closer = marks.withColumn("covered", covered).where("w is not null and not covered").select("w.*").distinct()
+    closer = keep_rows(closer.join(again, w))
+    want = _among(met.where("kind = 1"), closer, w, total).groupBy("rid", tid.alias("tid")).agg(F.collect_set(q).alias("want"))
+    drop(again)
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r, i, t, qs in zip(b.rid, b.tid, b.text, b.want, strict=True):
-                rows += [(r, i, q, _window(t, q, min_chars)) for q in _fine(len(t), qs, min_chars, step)]
-            yield pd.DataFrame(rows, columns=["rid", "tid", "q", "w"]).astype({"q": "int32"})
+                fine = _fine(len(t), qs, min_chars, step)
+                rows.append((r, i, fine, 0, _windows(t, fine, min_chars)))
+            yield _hash_rows(rows)
 
-    fine = keep_rows(texts.join(want, ["rid", "tid"]).mapInPandas(between, "rid bigint, tid bigint, q int, w binary"))
-    fine_twice = keep_rows(_recurring(fine, "w"))
-    starts = met.where("on").select(*at).unionByName(_among(fine, fine_twice, "w", fine.count()).select(*at))
+    fine = keep_rows(texts.join(want, ["rid", "tid"]).mapInPandas(between, _HASH_ROWS))
+    fine_again = keep_rows(_recurring(fine, w))
+    place = ["rid", tid.alias("tid"), q.cast("int").alias("q")]
+    starts = met.where("kind = 0").select(*place).unionByName(_among(fine, fine_again, w, fine.count()).select(*place))
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -245,11 +260,11 @@ def shared_spans(
                 rows.append((r, i, sum(e - s for s, e in spans), spans))
             yield pd.DataFrame(rows, columns=["rid", "tid", "shared_chars", "spans"])
 
-    covered = starts.groupBy("rid", "tid").agg(F.collect_set("q").alias("qs")).mapInPandas(cover, "rid bigint, tid bigint, shared_chars bigint, spans array<array<bigint>>")
+    found = starts.groupBy("rid", "tid").agg(F.collect_set("q").alias("qs")).mapInPandas(cover, "rid bigint, tid bigint, shared_chars bigint, spans array<array<bigint>>")
     empty = F.array().cast("array<array<bigint>>")
     return (
-        base.select("rid", F.xxhash64("text").alias("tid"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
-        .join(covered, ["rid", "tid"], "left")
+        base.select("rid", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("tid"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+        .join(found, ["rid", "tid"], "left")
         .select(
             F.col("rid").alias("record_id"),
             "n_chars",
