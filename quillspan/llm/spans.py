@@ -227,7 +227,7 @@ def shared_spans(
     # Grid windows that recur on both sides cover all windows between them already; elsewhere the core's records look closer.
     tid, q = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
     marks = met.repartition("rid").groupBy("rid", tid.alias("tid"), q.alias("q")).agg(F.max(F.col("kind") == 0).alias("on"), F.max(F.when(F.col("kind") == 1, F.struct(*w))).alias("w"))
-    side = Window.partitionBy("rid", "tid").orderBy("q")
+    side = Window.partitionBy("rid", "tid", F.pmod("q", F.lit(step))).orderBy("q")  # grids of several phrases interleave
     covered = F.col("on") & F.coalesce((F.lag("q").over(side) == F.col("q") - step) & F.lag("on").over(side), F.lit(False))
     closer = marks.withColumn("covered", covered).where("w is not null and not covered").select("w.*").distinct()
     closer = keep_rows(closer.join(again, w))
