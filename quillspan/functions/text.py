@@ -60,6 +60,11 @@ def tokens_to_bytes(n: Column | str) -> Column:
     return (_c(n) * 4).cast("bigint")
 
 
+def json_size(value: Column | str) -> Column:
+    """Bytes of a struct, array or map written as JSON, nulls included."""
+    return F.octet_length(F.to_json(_c(value), {"ignoreNullFields": "false"})).cast("bigint")
+
+
 def newlines(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), "\r\n?", "\n")
 
@@ -104,25 +109,28 @@ def over_words(w: Column, words: int, f) -> Column:
     return F.when(w.isNotNull(), F.coalesce(got, F.filter(F.transform(F.array(F.lit(1)), lambda i: f(w, i)), lambda _: F.lit(False))))
 
 
-# What is redacted, in order. Group 1, where there is one, is kept.
+# What is redacted, in order; of a pattern with a group, the group is kept.
 REDACTIONS = (
-    ("PRIVATE_KEY", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    ("PEM_BLOCK", r"-----BEGIN [A-Z0-9 ]+-----[^-]*(?:-----END [A-Z0-9 ]+-----)?"),
+    ("PRIVATE_KEY", r"(?i)(private_?key['\"]?\s*[:=]\s*['\"`]?)[A-Za-z0-9/+=_-]{8,}"),
     ("AWS_ACCESS_KEY", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("AWS_SECRET", r"(?i)(aws_?secret(?:_?access)?(?:_?key)?['\"]?\s*[:=]\s*['\"`]?)[A-Za-z0-9/+=]{20,}"),
     ("JWT", r"eyJ[A-Za-z0-9_=-]+\.eyJ[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+"),
-    ("DATABASE_URL", r"((?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp|mssql)://[^\s:@/'\"]*:)[^\s@/'\"<>]+@"),
+    ("DATABASE_URL", r"(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp|mssql)://[^\s:@/'\"]*:[^\s@/'\"<>]+@[^\s'\"<>`]*"),
     ("API_KEY", r"(?i)(api_?key['\"]?\s*[:=]\s*['\"`]?)[A-Za-z0-9_-]{16,}"),
     ("TOKEN", r"(?i)(token['\"]?\s*[:=]\s*['\"`])[A-Za-z0-9_-]{20,}"),
 )
 
 
+def _replacement(name: str, pattern: str) -> str:
+    return ("$1" if pattern.startswith("(?i)(") else "") + f"[REDACTED_{name}]"
+
+
 def redacted(text: Column | str) -> Column:
     """The text with secrets replaced by ``[REDACTED_<TYPE>]``; null stays null."""
     t = _c(text)
     for name, pattern in REDACTIONS:
-        at = "@" if pattern.endswith("@") else ""
-        keep = "$1" if "((?:p" in pattern or pattern.startswith("(?i)(") else ""
-        t = F.regexp_replace(t, pattern, f"{keep}[REDACTED_{name}]{at}")
+        t = F.regexp_replace(t, pattern, _replacement(name, pattern))
     return t
 
 
@@ -132,9 +140,7 @@ def redaction_types(text: Column | str) -> Column:
     found = []
     for name, pattern in REDACTIONS:
         found.append(F.when(t.rlike(pattern), F.lit(name)))
-        at = "@" if pattern.endswith("@") else ""
-        keep = "$1" if "((?:p" in pattern or pattern.startswith("(?i)(") else ""
-        t = F.regexp_replace(t, pattern, f"{keep}[REDACTED_{name}]{at}")
+        t = F.regexp_replace(t, pattern, _replacement(name, pattern))
     return F.array_compact(F.array(*found))
 
 

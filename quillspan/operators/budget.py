@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,9 @@ def artifact_value(artifact: str = "id", size: str = "size") -> Column:
     return F.lit(1000.0) / F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(1)) * factor
 
 
-def choose_artifacts(artifacts: DataFrame, key: str, total: int, each: int | None = None) -> DataFrame:
-    """Artifacts that fit, most valuable first, skipping those that do not; ``decision`` says why."""
-    a = artifacts.withColumn("value", artifact_value())
+def choose_artifacts(artifacts: DataFrame, key: str, total: int, each: int | None = None, value: Callable[[], Column] = artifact_value) -> DataFrame:
+    """Artifacts that fit, most valuable first, skipping those that do not; ``decision`` says why. ``value`` scores an artifact by its ``id`` and ``size``."""
+    a = artifacts.withColumn("value", value())
     big = F.col("size") > (each or total)
     fit = first_fit(a.where(~F.coalesce(big, F.lit(False))), key, [F.desc("value"), F.col("id")], {"size": total})
     fit = fit.withColumn("decision", F.when(F.col("included"), "kept").otherwise("over total budget"))

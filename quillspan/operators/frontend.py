@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from quillspan.functions import paths
 
 # Compiler options a configuration is compared by.
-OPTIONS = ("target", "module", "moduleResolution", "strict", "declaration", "composite", "incremental", "esModuleInterop", "skipLibCheck", "jsx", "baseUrl", "outDir")
+OPTIONS = (
+    "strict", "target", "module", "moduleResolution", "verbatimModuleSyntax", "declaration", "declarationMap", "sourceMap", "esModuleInterop", "allowSyntheticDefaultImports", "noUncheckedIndexedAccess", "exactOptionalPropertyTypes",
+)
+# Names of the compiler's enumerations, by number and by what a configuration may say in lower case.
+ENUMS = {
+    "target": {"0": "ES3", "1": "ES5", "2": "ES2015", "3": "ES2016", "4": "ES2017", "5": "ES2018", "6": "ES2019", "7": "ES2020", "8": "ES2021", "9": "ES2022", "10": "ES2023", "11": "ES2024", "99": "ESNext", "es6": "ES2015"},
+    "module": {"0": "None", "1": "CommonJS", "2": "AMD", "3": "UMD", "4": "System", "5": "ES2015", "6": "ES2020", "7": "ES2022", "99": "ESNext", "100": "Node16", "199": "NodeNext", "200": "Preserve", "es6": "ES2015"},
+    "moduleResolution": {"1": "Classic", "2": "Node10", "3": "Node16", "99": "NodeNext", "100": "Bundler", "node": "Node10"},
+}
 _ID = r"[A-Za-z_$][\w$]*"
 IMPORT = r"(?m)^[ \t]*(import\s+(?:type\s+)?(?:[\w$*{},\s]+?\s+from\s+)?['\"][^'\"\n]+['\"])"
 REEXPORT = r"(?m)^[ \t]*(export\s+(?:type\s+)?\{[^}]*\}\s*from\s*['\"][^'\"\n]+['\"])"
@@ -85,25 +93,57 @@ def doc_tags(docs: DataFrame, keys: list[str], doc_col: str = "doc") -> DataFram
     return d.select(*keys, F.regexp_extract("t", r"^@([A-Za-z]+)", 1).alias("tag"), clean.alias("text"))
 
 
-def compiler_options(configs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``configs`` (repo, path, text) with a name and the compared options as a map; comments and trailing commas are allowed."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text_col), r"(?s)/\*.*?\*/|(?m)^\s*//[^\n]*$", ""), r",(\s*[}\]])", "$1")
-    entry = lambda o: F.struct(F.lit(o).alias("key"), F.get_json_object(plain, f"$.compilerOptions.{o}").alias("value"))
+def _option(name: str, value: Column) -> Column:
+    """An option's value as text; enumerations get their proper names, also from numbers and lower case."""
+    if name not in ENUMS:
+        return value
+    names = ENUMS[name] | {v.lower(): v for v in ENUMS[name].values()}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.lower(value)), value)
+
+
+def compiler_options(configs: DataFrame, text_col: str = "text", packages: DataFrame | None = None) -> DataFrame:
+    """``repo``, ``path``, ``name`` and the compared options as a map of each configuration (repo, path, text).
+
+    Comments and trailing commas are allowed. The root's name is ``root``; others are called
+    by the name of the package (``packages``: repo, dir, package) in their directory, else by its path.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.col(text_col), r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")|/\*.*?\*/|//[^\n]*', "$1"), r",(\s*[}\]])", "$1")
+    entry = lambda o: F.struct(F.lit(o).alias("key"), _option(o, F.get_json_object(plain, f"$.compilerOptions.{o}")).alias("value"))
     options = F.map_from_entries(F.filter(F.array(*[entry(o) for o in OPTIONS]), lambda e: e["value"].isNotNull()))
-    d = paths.directory("path")
-    return configs.select("repo", "path", F.when(d == "", "root").otherwise(F.translate(d, "/", "-")).alias("name"), options.alias("options"))
+    c = configs.select("repo", "path", paths.directory("path").alias("dir"), options.alias("options"))
+    if packages is None:
+        c = c.withColumn("package", F.lit(None).cast("string"))
+    else:
+        c = c.join(packages.groupBy("repo", "dir").agg(F.min("package").alias("package")), ["repo", "dir"], "left")
+    return c.select("repo", "path", F.when(F.col("dir") == "", "root").otherwise(F.coalesce("package", F.translate("dir", "/", "-"))).alias("name"), "options")
 
 
 def option_delta(options: DataFrame) -> DataFrame:
-    """Options in which a configuration differs from its repository's root one: repo, name, option, value, root_value."""
+    """Options in which a configuration differs from its repository's root one: repo, name, option, value, root_value; what only the root sets has a null value."""
     flat = options.select("repo", "name", F.explode("options").alias("option", "value"))
     root = flat.where("name = 'root'").select("repo", "option", F.col("value").alias("root_value"))
-    return flat.where("name <> 'root'").join(root, ["repo", "option"], "left").where(~F.col("value").eqNullSafe(F.col("root_value"))).select("repo", "name", "option", "value", "root_value")
+    others = options.where("name <> 'root'").select("repo", "name").distinct()
+    either = flat.where("name <> 'root'").select("repo", "name", "option").union(others.join(root, "repo").select("repo", "name", "option")).distinct()
+    d = either.join(flat, ["repo", "name", "option"], "left").join(root, ["repo", "option"], "left")
+    return d.where(~F.col("value").eqNullSafe(F.col("root_value"))).select("repo", "name", "option", "value", "root_value")
 
 
 def config_summary(options: DataFrame) -> DataFrame:
-    """One row: configurations, strict ones, ones with modern modules, and with declarations."""
-    v = lambda o: F.lower(F.try_element_at("options", F.lit(o)))
-    return options.agg(
-        F.count("*").alias("n_configs"), F.count_if(v("strict") == "true").alias("n_strict"), F.count_if(v("module").isin("esnext", "es2022", "es2020")).alias("n_esm"), F.count_if(v("declaration") == "true").alias("n_declaration")
+    """One row: configurations, strict ones, ones with modern modules, with declarations, and how often each target and module occurs (sorted ``value=n``)."""
+    v = lambda o: F.try_element_at("options", F.lit(o))
+    one = options.agg(
+        F.count("*").alias("n_configs"), F.count_if(v("strict") == "true").alias("n_strict"), F.count_if(v("module").isin("ESNext", "ES2022", "ES2020")).alias("n_esm"), F.count_if(v("declaration") == "true").alias("n_declaration")
     )
+    for o in ("target", "module"):
+        n = options.select(v(o).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+        one = one.crossJoin(n.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "v", "n"))), ",").alias(o + "s")))  # one row each
+    return one
+
+
+def find_configs(files: DataFrame, workspaces: DataFrame, names: tuple[str, ...] = ("tsconfig.json", "jsconfig.json")) -> DataFrame:
+    """``repo``, ``dir``, ``path``: of the root and of each workspace directory (repo, dir) the first configuration there is, in the order of ``names``."""
+    d = files.select("repo", "path", paths.directory("path").alias("dir"), paths.file_name("path").alias("name")).where(F.col("name").isin(*names))
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("name"))
+    first = d.groupBy("repo", "dir").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
+    wanted = workspaces.select("repo", "dir").union(files.select("repo", F.lit("").alias("dir"))).distinct()
+    return first.join(wanted, ["repo", "dir"], "left_semi")

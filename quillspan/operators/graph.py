@@ -7,6 +7,8 @@ repositories are worked on together, and a large one is spread by its nodes.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def totals(nodes: DataFrame, edges: DataFrame, internal: DataFrame) -> DataFrame
     return t.select("repo", z("n_nodes").alias("n_nodes"), z("n_edges").alias("n_edges"), z("n_internal").alias("n_internal"), (z("n_edges") - z("n_internal")).alias("n_external"))
 
 
-def components(internal: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def components(internal: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node: ``repo``, ``node``, ``component`` (its least node).
 
     Each pass trims nodes that lie on no cycle, spreads the least reachable-from label
@@ -79,7 +81,7 @@ def components(internal: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """
     left = cut(internal.where("src <> dst").select("repo", "src", "dst").distinct())
     found = None
-    for _ in range(most_rounds):
+    while True:  # each pass takes at least one node out, so this ends
         while True:  # trim
             n = left.count()
             src, dst = left.select("repo", F.col("src").alias("dst")).distinct(), left.select("repo", F.col("dst").alias("src")).distinct()
@@ -120,19 +122,28 @@ def components(internal: DataFrame, most_rounds: int = 1000) -> DataFrame:
 
 
 def bfs(internal: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """``repo``, ``node``, ``distance``: nodes reached from the seeds (``repo``, ``node``), within ``depth`` steps."""
-    seen = cut(seeds.select("repo", "node").distinct().withColumn("distance", F.lit(0).cast("bigint")))
-    front = seen
+    """``repo``, ``node``, ``distance``: nodes reached from the seeds (``repo``, ``node``), within ``depth`` steps.
+
+    Each round writes only what it found, and is read again with the rounds before it.
+    """
+    rounds = [cut(seeds.select("repo", "node").distinct().withColumn("distance", F.lit(0).cast("bigint")))]
     edges = cut(internal.select("repo", "src", "dst"))
     d = 0
     while depth is None or d < depth:
         d += 1
-        step = edges.join(front.select("repo", F.col("node").alias("src")), ["repo", "src"]).select("repo", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["repo", "node"], "left_anti").withColumn("distance", F.lit(d).cast("bigint")))
+        step = edges.join(rounds[-1].select("repo", F.col("node").alias("src")), ["repo", "src"]).select("repo", F.col("dst").alias("node")).distinct()
+        front = cut(step.join(together(rounds), ["repo", "node"], "left_anti").withColumn("distance", F.lit(d).cast("bigint")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        rounds.append(front)
+    return together(rounds)
+
+
+def together(rounds: list[DataFrame], most: int = 32) -> DataFrame:
+    """The rounds of a loop as one table; of many, the earlier ones are merged in place, so that plans stay small."""
+    if len(rounds) > most:
+        rounds[:-1] = [cut(functools.reduce(DataFrame.unionByName, rounds[:-1]))]
+    return functools.reduce(DataFrame.unionByName, rounds)
 
 
 def reexport_hubs(edges: DataFrame, least: int = 5, kind: str = "kind") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import paths
+from quillspan.session import stored
 
 
 def importance(path: str = "path", size: str = "bytes", kind: Column | None = None, bucket: Column | None = None) -> Column:
@@ -84,10 +85,26 @@ def first_fit(df: DataFrame, key: str, order: list[Column], sizes: dict[str, int
     return done.unionByName(df.where(never).withColumn(kept, F.lit(False)))
 
 
+def running_total(df: DataFrame, key: str, order: list[Column], size: Column, total: str = "total", place: str = "place") -> DataFrame:
+    """``df`` with the sum of ``size`` and the number of rows up to each row, per key and in order.
+
+    Rows are spread over ranges of (key, order), so a key of any size is added up by many tasks: each range has
+    its own sums, and what came before in a key is the sums of its earlier ranges, one small row per range and key.
+    Rows that are equal in ``order`` must be broken by the caller.
+    """
+    d = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("bigint"))
+    d = stored(d.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()))
+    sums = d.groupBy("_range", F.col(key).alias("_key")).agg(F.sum("_size").alias("s"), F.count("*").alias("k"))
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select(F.col("_range").alias("_r"), "_key", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
+    w = Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_s": F.sum("_size").over(w), "_k": F.row_number().over(w)})
+    j = d.join(offset, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")))
+    return j.select(*df.columns, (F.col("_s") + F.col("s0")).alias(total), (F.col("_k") + F.col("k0")).cast("bigint").alias(place))
+
+
 def stop_at_overflow(df: DataFrame, key: str, order: list[Column], size: str, most: int, most_rows: int | None = None, kept: str = "included") -> DataFrame:
-    """Marks, per key and in order, the rows before the first that would overflow the budget (or the row limit)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.sum(F.coalesce(F.col(size), F.lit(0))).over(w) <= most
-    if most_rows is not None:
-        ok = ok & (F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= most_rows)
-    return df.withColumn(kept, ok)
+    """Marks, per key and in order, the rows before the first that would overflow the budget (or the row limit). Sizes are not negative; a null one counts as 0."""
+    d = running_total(df, key, order, F.col(size), "_total", "_place")
+    ok = F.col("_total") <= most
+    return d.withColumn(kept, ok & (F.col("_place") <= most_rows) if most_rows is not None else ok).drop("_total", "_place")

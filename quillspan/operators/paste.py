@@ -55,53 +55,69 @@ def non_source_excerpt(text: Column | str, whole: int = 50, head: int = 30) -> C
     """A text of at most ``whole`` lines as it is, else its first ``head`` lines and a mark."""
     t = F.col(text) if isinstance(text, str) else text
     lines = F.split(t, "\n")
-    n = F.size(lines)
-    return F.when(n <= whole, t).otherwise(F.concat(F.array_join(F.slice(lines, 1, head), "\n"), F.lit("\n... ("), (n - head).cast("string"), F.lit(" more lines)")))
+    return F.when(F.size(lines) <= whole, t).otherwise(F.concat(F.array_join(F.slice(lines, 1, head), "\n"), F.lit(f"\n\n... (content truncated after {head} lines)")))
 
 
-_DECLARES = re.compile(
-    r"^\s*(?:export\b|import\b|(?:abstract\s+)?class\b|interface\b|type\s+\w|enum\b|(?:async\s+)?function\b|(?:const|let|var)\s+\w|namespace\b|declare\b|"
-    r"(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)+\w|constructor\s*\()"
-)
-_MASK = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/", re.S)
+_REGION = re.compile(r"(?:export )?(interface|type|class) ")
+_ALWAYS = re.compile(r"import|//|/\*|\*|export(?!.*(?:function|const))")
+_FUNCTION = re.compile(r"(?:export )?(?:async )?function ")
+_VALUE = re.compile(r"(?:export )?(?:const|let) (?=.*:)")
 
 
 def signature_lines(text: str) -> str:
-    """Declarations without bodies: imports, types whole, and the first lines of functions, classes and members."""
+    """What a module declares, by the shape of its lines: imports, exports, comments, interfaces and types whole, functions up to their body, members of classes.
+
+    A line is judged by its first words and by the region (interface, type, class) it lies in; a region ends
+    where braces balance. Braces in strings and comments count, and a type of one line keeps what follows
+    up to the next balance.
+    """
     out: list[str] = []
-    masked = _MASK.sub(lambda m: "\n" * m.group().count("\n"), text).split("\n")
-    lines = text.split("\n")
-    keep_whole = depth = 0
-    for raw, code in zip(lines, masked, strict=False):
-        opened, closed = code.count("{"), code.count("}")
-        if keep_whole:
-            out.append(raw)
-            keep_whole += opened - closed
-            depth += opened - closed
-            continue
-        if depth <= 1 and _DECLARES.match(code):
-            whole = re.match(r"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|type|enum)\b", code)
-            if whole and opened > closed:
-                out.append(raw)
-                keep_whole = opened - closed
-            elif opened > closed:
-                out.append(raw.rstrip() + " ... }" if not re.search(r"\bclass\b|\bnamespace\b", code) else raw)
+    regions: set[str] = set()
+    depth, body = 0, False
+    for line in text.split("\n"):
+        t = line.strip()
+        opens = _REGION.match(t)
+        if opens:
+            regions.add(opens.group(1))
+            depth, body = 0, False
+        brace = line.find("{")
+        if _ALWAYS.match(t) or regions & {"interface", "type"}:
+            out.append(line)
+        elif _FUNCTION.match(t):
+            out.append(line if brace < 0 else line[:brace].rstrip() + ";")
+            body = body or brace >= 0
+        elif _VALUE.match(t):
+            arrow = line.find("=>")
+            if arrow >= 0:
+                out.append(line[: arrow + 2].rstrip() + " { /* ... */ }")
+            elif brace >= 0:
+                continue  # an object literal is left out, braces and all
+            else:
+                out.append(line)
+        elif "class" in regions and not body and t:
+            if "(" in t and ")" in t and brace >= 0:
+                out.append(line[:brace].rstrip() + " { /* ... */ }")
+                body = True
             else:
-                out.append(raw)
-        elif depth <= 1 and opened < closed and code.strip() in ("}", "};"):
-            out.append(raw) if depth == 1 and out and not out[-1].endswith("... }") else None
-        depth = max(0, depth + opened - closed)
+                out.append(line)
+        for c in t:
+            depth += (c == "{") - (c == "}")
+            if c == "}" and depth == 0:
+                regions.clear()
+                body = False
+            elif c == "}" and depth == 1 and "class" in regions:
+                body = False
     return "\n".join(out)
 
 
 def signatures(files: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
     """``id``, ``signatures``: declarations of TypeScript and JavaScript files, an excerpt of all others. Null texts give null."""
     f = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("t"))
-    source = paths.extension("path").isin("ts", "tsx", "js", "jsx", "mjs") & F.col("t").isNotNull()
+    source = paths.extension("path").isin("ts", "tsx", "js", "jsx") & F.col("t").isNotNull()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "signatures": [signature_lines(t.replace("\r\n", "\n")) for t in b["t"]]})
+            yield pd.DataFrame({"id": b["id"], "signatures": [signature_lines(t) for t in b["t"]]})
 
     schema = f"id {f.schema['id'].dataType.simpleString()}, signatures string"
     a = f.where(F.coalesce(source, F.lit(False))).select("id", "t").mapInPandas(run, schema)

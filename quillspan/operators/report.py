@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def suggested_cuts(deg: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``repo``, ``node``, ``cut`` and ``impact``: files that import too much, and hubs that only re-export."""
-    wide = deg.where("out_degree > 15").select("repo", "node", F.lit("split-imports").alias("cut"), F.lit("high").alias("impact"))
-    barrel = hubs.where("ratio > 0.8 and reexports > 10").select("repo", "node", F.lit("reduce-reexports").alias("cut"), F.lit("medium").alias("impact"))
+def suggested_cuts(deg: DataFrame, hubs: DataFrame, fan_out: int = 15, ratio: float = 0.8, reexports: int = 10) -> DataFrame:
+    """``repo``, ``node``, ``cut`` and ``impact``: files that import more than ``fan_out`` others, and hubs that do little but re-export."""
+    wide = deg.where(F.col("out_degree") > fan_out).select("repo", "node", F.lit("split-imports").alias("cut"), F.lit("high").alias("impact"))
+    barrel = hubs.where((F.col("ratio") > ratio) & (F.col("reexports") > reexports)).select("repo", "node", F.lit("reduce-reexports").alias("cut"), F.lit("medium").alias("impact"))
     return wide.unionByName(barrel)
 
 

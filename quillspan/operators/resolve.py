@@ -32,7 +32,7 @@ def resolve(edges: DataFrame, files: DataFrame, aliases: dict[str, str] | None =
     ask = edges.select("repo", paths.directory("src").alias("dir"), "specifier").where("specifier is not null").distinct()
     target = F.when(paths.is_relative(spec), joined_path("dir", "specifier"))
     for prefix, directory in (aliases or {}).items():
-        target = target.when(spec.startswith(prefix), F.concat(F.lit(directory), F.substring(spec, len(prefix) + 1, 100_000)))
+        target = target.when(spec.startswith(prefix), F.concat(F.lit(directory), F.expr(f"substring(specifier, {len(prefix) + 1})")))
     ask = ask.withColumn("base", target).where("base is not null")
     plain = F.array(*[F.struct(F.lit(i).alias("p"), F.concat(F.col("base"), F.lit(s)).alias("path")) for i, s in enumerate(SUFFIXES)])
     stem = F.regexp_replace("base", r"\.m?js$", "")

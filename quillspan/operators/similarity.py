@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
+from quillspan.operators.graph import together
 from quillspan.session import cut
 
 
@@ -44,10 +45,14 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
     ranked = flat.join(freq.where("df > 1"), "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"), F.count("*").alias("shared"))
     # Shingles of one text only come first in the order and match nothing; they take their places in the prefix.
-    prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), F.greatest(keep - (F.col("n") - F.col("shared")).cast("int"), F.lit(0)))).alias("x")).select("id", "n", F.col("x.h").alias("h"))
-    a, b = prefix.toDF("a", "na", "h"), prefix.toDF("b", "nb", "h")
+    alone = F.col("n") - F.col("shared").cast("int")
+    prefix = ranked.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), F.greatest(keep - alone, F.lit(0)))).alias("i", "x")).select("id", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("x.h").alias("h"))
+    a, b = prefix.toDF("a", "na", "la", "h"), prefix.toDF("b", "nb", "lb", "h")
     near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "h").where(near).select("a", "b").distinct()
+    # From the first shared shingle on, two sets share at most what is left of the smaller rest: pairs that cannot reach
+    # the threshold are dropped before any set travels.
+    met = a.join(b, "h").where(near).groupBy("a", "b").agg(F.max(F.least("la", "lb")).alias("most"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = met.where(F.col("most") >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)).select("a", "b")
     sets = one.select("id", "shingles")
     full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -74,8 +79,9 @@ def greedy_clusters(pairs: DataFrame) -> DataFrame:
     """
     edges = cut(pairs.select("a", "b", "similarity"))
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    state = cut(nodes.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti").withColumn("leads", F.lit(True)))
+    rounds = [cut(nodes.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti").withColumn("leads", F.lit(True)))]
     while True:
+        state = together(rounds)
         left = nodes.join(state, "id", "left_anti")
         before = edges.join(left.select(F.col("id").alias("b")), "b").join(state.toDF("a", "leads"), "a", "left")
         facts = before.groupBy("b").agg(F.max(F.coalesce("leads", F.lit(False))).alias("claimed"), F.count_if(F.col("leads").isNull()).alias("open"))
@@ -83,7 +89,7 @@ def greedy_clusters(pairs: DataFrame) -> DataFrame:
         new = cut(new)
         if new.isEmpty():
             break
-        state = cut(state.unionByName(new))
+        rounds.append(new)
     lead = state.where("leads").select(F.col("id").alias("a"))
     member = state.where("not leads").select(F.col("id").alias("b"))
     return edges.join(lead, "a").join(member, "b").groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("s")).select(F.col("b").alias("id"), F.col("s.a").alias("leader"), F.col("s.similarity").alias("similarity"))

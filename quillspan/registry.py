@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 
 from quillspan.functions.symbols import EDGE_WEIGHTS
 from quillspan.operators.budget import artifact_value
-from quillspan.operators.emit import FORMATTERS
+from quillspan.operators.emit import FORMATTERS, EngineError
 
 # Which collectors a preset runs.
 ALL = ("files-manifest", "topology", "import-graph", "exports", "schema-index", "ts-config", "type-metrics", "duplication")
@@ -42,8 +42,12 @@ class Registry:
             self.presets[p] = tuple(dict.fromkeys((*self.presets.get(p, ()), collector.name)))
 
     def for_preset(self, preset: str) -> list[Collector]:
-        """The registered collectors of a preset; an unknown preset runs the default ones."""
-        return [self.collectors[n] for n in self.presets.get(preset, self.presets["default"]) if n in self.collectors]
+        """The collectors of a preset; an unknown preset runs the default ones. One that a preset names but nobody registered is an error."""
+        names = self.presets.get(preset, self.presets["default"])
+        missing = [n for n in names if n not in self.collectors]
+        if missing:
+            raise EngineError("E201", f"no collector is registered as {', '.join(missing)}")
+        return [self.collectors[n] for n in names]
 
 
 def choose_preset(languages: set[str], tool: str | None) -> tuple[str, float]:

@@ -52,12 +52,15 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where that setting and the context's own directory are both unset (as in
-    tests on one machine) is a temporary folder made.
+    Only where that setting and the context's own directory are both unset on a master of
+    one machine (as in tests) is a temporary folder made; elsewhere that is an error,
+    since other hosts could not read it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillspan-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ DEFAULT_IGNORES = (
 )
 
 
+_HIDDEN = re.compile(r"\.|_(?!common_metadata|metadata)[^=]*$")  # names that a scan passes over
+
+
 def ignore_rules(lines: list[str] = (), defaults: bool = True) -> list[tuple[str, bool]]:
     """(regular expression, ignored) in order, of the defaults and the lines of an ignore file."""
     out = []
@@ -44,14 +51,17 @@ def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignore_l
     Ignored, excluded and binary files are left out. Empty files have loc 0; text is null
     where bytes are not UTF-8.
     """
-    base = os.path.abspath(root).rstrip("/")
+    base = root.rstrip("/") if "://" in root else os.path.abspath(root).rstrip("/")
+    rules = ignore_rules(list(ignore_lines))
+    empty, hidden = _unlisted(spark, base, rules)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + _quote(base) + "/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(re.sub(r"^file:/+", "/", base)) + "/", "")
     f = raw.select(rel.alias("path"), F.col("length").alias("bytes"), "content")
-    empty = _empty_files(base)
+    if hidden:
+        f = f.unionByName(_fetched(spark, base, hidden))
     if empty:
         f = f.unionByName(spark.createDataFrame([(p, 0, bytearray()) for p in empty], "path string, bytes bigint, content binary"))
-    f = f.where(~ignored("path", ignore_rules(list(ignore_lines)))).where(~paths.is_binary_name("path"))
+    f = f.where(~ignored("path", rules)).where(~paths.is_binary_name("path"))
     for g in excludes:
         f = f.where(~F.col("path").rlike("(?i)" + paths.glob_to_regex(g)))
     f = f.where(F.position(F.lit(b"\x00"), F.substring("content", 1, 8000)) == 0)
@@ -60,18 +70,57 @@ def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), ignore_l
     return f.select("path", "bytes", tx.content_hash("content", "bytes", max_hash_mb * 1024 * 1024, hash_files).alias("sha256"), tx.line_count("text").alias("loc"), paths.file_kind("path").alias("kind"), paths.visibility("path").alias("bucket"), "text")
 
 
-def _empty_files(root: str) -> list[str]:
-    """Empty files below a local directory: the scan itself never delivers files without bytes."""
-    found = []
-    for folder, _, names in os.walk(root):
-        found += [os.path.relpath(p, root) for p in (os.path.join(folder, n) for n in names) if os.path.isfile(p) and not os.path.getsize(p)]
-    return sorted(found)
-
+def _unlisted(spark: SparkSession, root: str, rules: list[tuple[str, bool]]) -> tuple[list[str], list[str]]:
+    """(empty, hidden): files below a folder of any file system that a scan of it does not deliver.
 
-def _quote(s: str) -> str:
-    import re
-
-    return re.escape(s)
+    Those without bytes, and those below a name with a leading dot or underscore, but for the ignored ones. Only names are listed,
+    as the scan does itself.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return [], []
+    base = fs.makeQualified(path).toUri().getPath().rstrip("/")
+    compiled = [(re.compile(p), yes) for p, yes in rules]
+    empty, hidden, it = [], [], fs.listFiles(path, True)
+    while it.hasNext():
+        f = it.next()
+        name = f.getPath().toUri().getPath()[len(base) + 1 :]
+        if f.getLen() == 0:
+            empty.append(name)
+        elif any(_HIDDEN.match(x) for x in name.split("/")) and not next((yes for p, yes in reversed(compiled) if p.search(name)), False):
+            hidden.append(name)
+    return sorted(empty), sorted(hidden)
+
+
+def _fetched(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The named files below a folder, opened by the tasks; for names that a scan passes over."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
+        for b in batches:
+            for name in b.path:  # one at a time: contents may be large
+                with files.open_input_stream(f"{base}/{name}") as f:
+                    content = f.read()
+                yield pd.DataFrame({"path": [name], "bytes": [len(content)], "content": [content]})
+
+    parts = max(1, min(len(names) // 100, 10_000))
+    return spark.createDataFrame([(n,) for n in names], "path string").repartition(parts).mapInPandas(read, "path string, bytes bigint, content binary")
+
+
+def ignore_lines(spark: SparkSession, root: str, name: str = ".gitignore", most_bytes: int = 10_000_000) -> list[str]:
+    """The lines of a root's ignore file; none where there is no such file. One of more than ``most_bytes`` is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    if fs.getFileStatus(path).getLen() > most_bytes:
+        raise ValueError("an ignore file is too long")
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 def duplication_sources(files: DataFrame, path: str = "path") -> DataFrame:
@@ -93,8 +142,9 @@ def package_json(files: DataFrame, text: str = "text") -> DataFrame:
     names = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
     deps = F.array_sort(F.array_distinct(F.concat(names(j["dependencies"]), names(j["devDependencies"]), names(j["peerDependencies"]))))
     keys = lambda p: F.json_object_keys(F.get_json_object(text, p))
+    made = {"name", "private", "type", "main", "module", "dependencies", "bin_names", "export_keys", text}  # take the place of columns of these names
     return files.where(paths.file_name("path") == "package.json").select(
-        *[c for c in files.columns if c != text], *[j[c].alias(c) for c in ("name", "private", "type", "main", "module")], deps.alias("dependencies"), keys("$.bin").alias("bin_names"), keys("$.exports").alias("export_keys")
+        *[c for c in files.columns if c not in made], *[j[c].alias(c) for c in ("name", "private", "type", "main", "module")], deps.alias("dependencies"), keys("$.bin").alias("bin_names"), keys("$.exports").alias("export_keys")
     )
 
 
@@ -104,6 +154,18 @@ def workspace_patterns(text: str):
     return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]*['\"]?([^'\"#\r\n]+?)['\"]?[ \t]*(?:#[^\n]*)?\r?$"), F.lit(1)), lambda x: F.trim(x))
 
 
+def workspaces(root_files: DataFrame) -> DataFrame:
+    """``repo``, ``pattern``: of the pnpm workspace file, or where there is none, of ``workspaces`` in package.json (a list, or an object with ``packages``).
+
+    ``root_files``: repo, name, text.
+    """
+    w = root_files.where("name = 'pnpm-workspace.yaml'").select("repo", F.explode(workspace_patterns("text")).alias("pattern"))
+    listed = F.coalesce(F.from_json(F.get_json_object("text", "$.workspaces.packages"), "array<string>"), F.from_json(F.get_json_object("text", "$.workspaces"), "array<string>"))
+    p = root_files.where("name = 'package.json'").select("repo", F.explode(listed).alias("pattern")).where("pattern is not null")
+    own = root_files.where("name = 'pnpm-workspace.yaml'").select("repo").distinct()
+    return w.unionByName(p.join(own, "repo", "left_anti")).distinct()
+
+
 def expand_workspaces(directories: DataFrame, patterns: DataFrame) -> DataFrame:
     """``repo``, ``dir`` of the package directories that a pattern (``.``, a path, or a path with a trailing ``/*``) names."""
     d = directories.select("repo", "dir").distinct().withColumn("parent", F.regexp_replace("dir", r"/?[^/]*$", ""))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import budget, emit, graph, manifest, paste, report, resolve, scoped, similarity, validate
+from quillspan.operators import budget, emit, frontend, graph, manifest, paste, report, resolve, scoped, similarity, validate
 from quillspan.operators import catalog as cat
 
 
@@ -152,12 +152,17 @@ def test_blocks_and_docs():
 
 
 def test_signatures_drop_bodies(spark):
-    t = "import a from 'b';\nexport function f(x) {\n  const y = 1;\n  return y;\n}\nexport interface I {\n  a: string;\n}\nclass C {\n  go(): void {\n    run();\n  }\n}\n"
-    s = paste.signature_lines(t)
-    assert "return y" not in s and "run()" not in s and "a: string;" in s and "export function f(x) { ... }" in s
+    t = (
+        "import a from 'b';\n// says\nexport function f(x) {\n  const y = 1;\n  return y;\n}\nexport interface I {\n  a: string;\n}\nexport class C {\n  private n: number;\n  go(): void {\n    run();\n  }\n  stop(): void;\n}\n"
+        "export const g: (x: A) => B = (x) => {\n};\nconst h: A = {\n};\nlet k: number;\nexport { a };\nasync function z()\nlost();\n"
+    )
+    assert paste.signature_lines(t).split("\n") == [
+        "import a from 'b';", "// says", "export function f(x);", "export interface I {", "  a: string;", "}", "export class C {", "  private n: number;", "  go(): void { /* ... */ }", "  stop(): void;", "}",
+        "export const g: (x: A) => { /* ... */ }", "let k: number;", "export { a };", "async function z()",
+    ]
     df = spark.createDataFrame([(1, "a.ts", t), (2, "a.md", "x\n" * 60), (3, "a.ts", None)], "id int, path string, content string")
     got = {r.id: r.signatures for r in paste.signatures(df, "id", "path", "content").collect()}
-    assert got[2].endswith("(31 more lines)") and got[3] is None
+    assert got[2] == "x\n" * 29 + "x\n\n... (content truncated after 30 lines)" and got[3] is None
 
 
 def test_paste_reasons_and_render(spark):
@@ -179,7 +184,7 @@ def test_exports(spark):
     t = "export const a = 1;\nexport { b as c, type D } from './x';\nexport default function main() {}\nexport * as ns from 'y';"
     df = spark.createDataFrame([("p", t)], "path string, content string")
     assert rows(cat.exports(df, ["path"], "content").select("name", "kind")) == [("D", "reexport"), ("a", "var"), ("c", "reexport"), ("default", "default"), ("main", "function"), ("ns", "reexport")]
-    assert df.select(cat.export_names("content").alias("n")).first().n == ["D", "a", "b", "default", "main"]
+    assert df.select(cat.export_names("content").alias("n")).first().n == ["a", "b", "default"]  # names are listed by the plain patterns
 
 
 def test_artifact_budget_and_variants(spark):
@@ -202,7 +207,9 @@ def test_validation(spark):
 
 def test_canonical_json(spark, tmp_path):
     df = spark.createDataFrame([(1, None, {"z": 1, "a": 2})], "b int, c string, a map<string,int>")
-    assert emit.canonical_json(df).first().json == '{"a":{"a":2,"z":1},"b":1}'
+    assert emit.canonical_json(df).first().json == '{"a":{"a":2,"z":1},"b":1,"c":null}'
+    deep = spark.sql("select named_struct('z', array(named_struct('y', 1, 'x', null)), 'a', map('k', named_struct('q', 1, 'p', array(map('d', 2, 'c', cast(null as int)))))) v, cast(null as struct<b:int,a:int>) n")
+    assert emit.canonical_json(deep).first().json == '{"n":null,"v":{"a":{"k":{"p":[{"c":null,"d":2}],"q":1}},"z":[{"x":null,"y":1}]}}'
     emit.write_ndjson(df, str(tmp_path / "x"))
     assert spark.read.text(str(tmp_path / "x")).count() == 1
     assert len(emit.scope_directory("o", seed="a").rsplit("/", 1)[1]) == 16
@@ -213,3 +220,82 @@ def test_detections(spark):
     assert {x.language for x in cat.detect_languages(r).collect()} == {"typescript", "go"}
     l = spark.createDataFrame([("r", "package-lock.json"), ("r", "yarn.lock")], "repo string, name string")
     assert cat.detect_tool(l, cat.LOCKFILES).first().tool == "yarn"
+
+
+def test_formatters_errors_and_totals(spark, tmp_path, capsys):
+    df = spark.createDataFrame([("b", "two\nlines"), ("a", None)], "id string, text string")
+    lines = [r.text for r in emit.FORMATTERS["paste"][1](df).orderBy("rank", "position").collect()]
+    assert lines[1:] == ["==== ARTIFACT: a ====\n", "==== ARTIFACT: b ====\ntwo\nlines", "==== END ===="] and "Files: 2" in lines[0]
+    assert emit.FORMATTERS["json"][1](df).first().text == '[{"id":"a","text":null},{"id":"b","text":"two\\nlines"}]'
+    assert emit.show(df) == 2 and capsys.readouterr().out.splitlines()[0] == '{"id":"a","text":null}'
+    errors = [emit.EngineError("E102", "path"), emit.EngineError("E202", "late"), emit.EngineError("X", "?")]
+    assert [(e.category, e.exit_code) for e in errors] == [("FileSystem", 3), ("Collector", 5), ("Unknown", 1)] and emit.worst_exit(errors) == 5 and emit.worst_exit([]) == 0
+    assert emit.error_report(errors).startswith("Collector: [E202] late\nFileSystem:")
+    t = emit.artifact_totals(spark.createDataFrame([("a", "xé"), ("b", "y")], "id string, text string")).first()
+    assert tuple(t) == (2, 6, 2, 1, 2)
+    assert emit.artifact_totals(df.limit(0)).first().total_bytes == 0
+    emit.write_variants({"topology": df}, str(tmp_path / "v"), {"full": ("topology",), "short": ("none",)})
+    import json
+
+    index = json.loads((tmp_path / "v" / "index.json").read_text())
+    assert index["tokens"]["full"]["n_artifacts"] == 1 and len(index["paths"]) == 1
+
+
+def test_running_totals_over_ranges(spark):
+    rng = random.Random(9)
+    data = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.choice([None, 1, 5, 9])) for i in range(2000)]
+    df = spark.createDataFrame(data, "k string, i int, n bigint").repartition(7)
+    got = {r.i: (r.total, r.place) for r in manifest.running_total(df, "k", [F.desc("i")], F.col("n")).collect()}
+    sums = {}
+    for k, i, n in sorted(data, key=lambda x: -x[1]):
+        t, p = sums.get(k, (0, 0))
+        sums[k] = (t + (n or 0), p + 1)
+        assert got[i] == sums[k]
+    stop = {r.i for r in manifest.stop_at_overflow(df, "k", [F.desc("i")], "n", 100, 15).where("included").collect()}
+    assert stop == {i for k, i, n in data if got[i][0] <= 100 and got[i][1] <= 15}
+    assert manifest.running_total(df.limit(0), "k", [F.col("i")], F.col("n")).count() == 0
+
+
+def test_languages_presets_and_configs(spark):
+    p = '{"type":"module","workspaces":{"packages":["packages/*"]},"devDependencies":{"typescript":"5","@types/node":"1"}}'
+    files = [("a", "package.json", p), ("a", "tsconfig.json", '{"compilerOptions":{"strict":true,"module":"ESNext"}}'), ("a", "yarn.lock", ""), ("b", "Cargo.toml", ""), ("c", "package.json", "{"), ("c", "rush.json", "{}"), ("d", "setup.py", None)]
+    r = spark.createDataFrame(files, "repo string, name string, text string")
+    lang, mono = cat.detect_languages(r), cat.detect_monorepos(r)
+    assert rows(lang) == [("a", "typescript", 0.95), ("b", "rust", 0.95)] and rows(mono) == [("a", "yarn-workspaces", 0.85), ("c", "rush", 0.9)]
+    assert rows(cat.choose_presets(lang, mono)) == [("a", "ts-npm", 0.85), ("b", "rust-cargo", 0.8), ("c", "default", 0.0)]
+    c = spark.createDataFrame([("r", "tsconfig.json", '{/* x */"compilerOptions": {"target": "es6", "strict": true, "module": 99,},}'), ("r", "a/b/tsconfig.json", '{"compilerOptions": {"strict": true, // no\n "module": "commonjs"}}'), ("r", "a/c/tsconfig.json", "nonsense")], "repo string, path string, text string")
+    o = frontend.compiler_options(c, packages=spark.createDataFrame([("r", "a/c", "@x/c")], "repo string, dir string, package string"))
+    assert {x.name: x.options for x in o.collect()} == {"root": {"target": "ES2015", "strict": "true", "module": "ESNext"}, "a-b": {"strict": "true", "module": "CommonJS"}, "@x/c": {}}
+    d = {(x.name, x.option): (x.value, x.root_value) for x in frontend.option_delta(o).collect()}
+    assert d == {("a-b", "module"): ("CommonJS", "ESNext"), ("a-b", "target"): (None, "ES2015"), ("@x/c", "module"): (None, "ESNext"), ("@x/c", "target"): (None, "ES2015"), ("@x/c", "strict"): (None, "true")}
+    s = frontend.config_summary(o).first()
+    assert (s.n_configs, s.n_strict, s.n_esm, s.modules, s.targets) == (3, 2, 1, "CommonJS=1,ESNext=1", "ES2015=1")
+
+
+def test_assertions_are_no_renames(spark):
+    t = "import { a as b } from 'x';\nimport d, * as ns from 'y';\nexport { c as d };\nlet x = y as string;\nlet z = [1] as const;\nlet w = <Foo>y;\nconst f = <T>(x: T) => x;\n// as Foo\nlet s = 'as Foo';\n"
+    m = cat.type_metrics(spark.createDataFrame([(1, t)], "id int, t string"), ["id"], "t").first()
+    assert (m.assertions, m.as_const) == (3, 1)
+    assert cat.type_ratios(cat.type_metrics(spark.createDataFrame([], "id int, t string"), ["id"], "t")).first().any_ratio == 0.0
+    e = spark.createDataFrame([("p", "// export const no = 1;\n/*\nexport const neither = 1;\n*/\nconst s = 'export const nor = 1';\n  export const yes = 1;\n")], "path string, content string")
+    assert [r.name for r in cat.exports(e, ["path"], "content").collect()] == ["yes"]
+
+
+def test_positions_prune_pairs_without_loss(spark):
+    rng = random.Random(13)
+    base = [rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(120)]
+    docs = []
+    for k in range(30):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(120)] = "z%d" % rng.randint(0, 999)
+        docs.append(" ".join(w))
+    p = similarity.fingerprints(spark.createDataFrame(list(enumerate(docs)), "id bigint, t string"), "id", "t")
+    sh = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in enumerate(docs)}
+    first = {}
+    for i, t in enumerate(docs):
+        first.setdefault(t, i)
+    reps = set(first.values())
+    for t in (0.8, 0.7):
+        want = {(i, j) for i in reps for j in reps if i < j and len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= t}
+        assert {(r.a, r.b) for r in similarity.similar_pairs(p, t).collect()} == want and want

@@ -15,3 +15,16 @@ def test_stored_rows_come_back_and_go(spark):
 
 def test_cut_keeps_rows(spark):
     assert cut(spark.range(5)).count() == 5
+
+
+def test_a_cluster_must_name_its_checkpoint_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quillspan import session
+
+    unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), _jsc=SimpleNamespace(sc=lambda: unset), master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))

@@ -41,3 +41,31 @@ def test_stream_drops_redeliveries(spark, tmp_path):
     q = stream.manifest_stream(stream.read_records(spark, str(tmp_path / "in"), schema)).writeStream.format("memory").queryName("m").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("m").count() == 1
+
+
+def test_ignore_files_and_workspaces(spark, tmp_path):
+    assert src.ignore_lines(spark, str(tmp_path)) == []
+    (tmp_path / ".gitignore").write_text("*.tmp2\n# no\n/secret/\n")
+    (tmp_path / "secret").mkdir()
+    (tmp_path / "secret" / "a.ts").write_text("x")
+    (tmp_path / "b.tmp2").write_text("x")
+    (tmp_path / "c.ts").write_text("")
+    for name in (".github/flow.yml", ".git/config", "_parts/__init__.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    lines = src.ignore_lines(spark, str(tmp_path))
+    assert lines == ["*.tmp2", "# no", "/secret/"]
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert {(r.path, r.loc) for r in src.read_tree(spark, root, ignore_lines=lines).collect()} == {("c.ts", 0), (".gitignore", 4), (".github/flow.yml", 1), ("_parts/__init__.py", 1)}
+    files = [("a", "pnpm-workspace.yaml", "packages:\n  - 'x/*'\n"), ("a", "package.json", '{"workspaces":["ignored"]}'), ("b", "package.json", '{"workspaces":["p/*","q"]}'), ("c", "package.json", '{"workspaces":{"packages":["r"]}}'), ("d", "package.json", "nonsense"), ("e", "package.json", None)]
+    r = spark.createDataFrame(files, "repo string, name string, text string")
+    assert sorted(map(tuple, src.workspaces(r).collect())) == [("a", "x/*"), ("b", "p/*"), ("b", "q"), ("c", "r")]
+
+
+def test_stored_packs_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text("x" * 10)
+    (tmp_path / "s.d.ts").write_text("y" * 6)
+    (tmp_path / "c.ts").write_text("z")
+    got = {r.path.rsplit("/", 1)[1]: (r.chars, r.conservative, r.optimistic) for r in src.stored_pack(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": (10, 4, 2), "s.d.ts": (6, 2, 2)}
+    assert src.git_state(str(tmp_path)) == {}
