@@ -26,6 +26,7 @@ from functools import cached_property
 
 # (offset, roles, limit) -> (cost, character, places of the edits) for each of the roles that the pair at the offset can take below the limit
 Inner = Callable[[int, set[str], float], list[tuple[float, str, list[int]]]]
+_MOST, _ENTRY = 48_000_000, 100  # what a memory of parsed bodies may hold in characters, and what an entry takes besides
 _ANYTHING = "\uffff"  # in front of it nothing is ruled out
 
 
@@ -77,6 +78,7 @@ class Grammar:
         self.pairs: dict[str, str] = {}  # role terminal -> what its bracket pair holds
         self.predicted: dict[tuple[str, str], list[int]] = {}
         self.memo: dict[tuple[str, str], bool] = {}
+        self.held = 0
 
     def _first(self, rhs: tuple[str, ...], first: dict[str, set[str]]) -> set[str]:
         out: set[str] = set()
@@ -202,8 +204,10 @@ class Grammar:
         key = (start, s)
         got = self.memo.get(key)
         if got is None:
-            if len(self.memo) > 400_000:
+            self.held += len(s) + _ENTRY
+            if self.held > _MOST:
                 self.memo.clear()
+                self.held = len(s)
             got = self.memo[key] = self.parse(start, s)[0] < 0
         return got
 
@@ -316,6 +320,7 @@ class Language:
     groups: dict[tuple[str, str], str] = field(default_factory=dict)
     symbols: dict[tuple[str, frozenset[str]], str] = field(default_factory=dict)
     bad: set[str] = field(default_factory=set)
+    held: int = 0
 
     def __post_init__(self) -> None:
         self.grammar.pairs |= {r: whole for roles in self.roles.values() for r, _, whole, _ in roles}
@@ -336,8 +341,6 @@ class Language:
                 parts = set(body.split(seps))
             if all(g.ok(part, p) for p in parts):
                 return True
-            if len(parts) == 1 and len(body) < 200:
-                return g.ok(whole, body)
         return g.ok(whole, body)
 
     def group(self, bracket: str, body: str) -> str:
@@ -346,8 +349,10 @@ class Language:
         got = self.groups.get(key)
         if got is None:
             can = frozenset(r for r, part, whole, seps in self.roles[bracket] if self.fits(body, part, whole, seps))
-            if len(self.groups) > 400_000:
+            self.held += len(body) + _ENTRY
+            if self.held > _MOST:
                 self.groups.clear()
+                self.held = len(body)
             if can:
                 got = self.symbol(bracket, can)
             else:  # goes on as if it could be anything; the fault is counted where it stands
@@ -381,6 +386,7 @@ def reduce(lang: Language, s: str) -> tuple[str, int]:
     """
     faults, at = 0, 0
     group, bad = lang.group, lang.bad
+    opened = dict.fromkeys(")]}", 0)
     stack: list[tuple[str, list[str]]] = []
     now: list[str] = []
     for m in _ANY.finditer(s):
@@ -391,16 +397,18 @@ def reduce(lang: Language, s: str) -> tuple[str, int]:
         c = s[i]
         if c in _CLOSER:
             stack.append((c, now))
+            opened[_CLOSER[c]] += 1
             now = []
             continue
-        if not stack or _CLOSER[stack[-1][0]] != c:
-            if not any(_CLOSER[o] == c for o, _ in stack[-50:]):
-                now.append(c)
-                continue
-            while _CLOSER[stack[-1][0]] != c:
-                o, before = stack.pop()
-                now = [*before, o, *now]
+        if not opened[c]:
+            now.append(c)
+            continue
+        while _CLOSER[stack[-1][0]] != c:
+            o, before = stack.pop()
+            opened[_CLOSER[o]] -= 1
+            now = [*before, o, *now]
         o, before = stack.pop()
+        opened[c] -= 1
         g = group(o, "".join(now))
         faults += g in bad
         now = before
@@ -502,19 +510,23 @@ def mend(lang: Language, s: str, top: tuple[str, str, str]) -> tuple[float, list
     pairs = _Pairs(lang)
     faulty = False
     stack: list[tuple[str, int, list[str], list[int]]] = []
+    opened = dict.fromkeys(")]}", 0)
     now: list[str] = []
     offsets: list[int] = []
     for i, c in enumerate(s):
         if c in _CLOSER:
             stack.append((c, i, now, offsets))
+            opened[_CLOSER[c]] += 1
             now, offsets = [], []
             continue
         if c in ")]}":
-            if any(_CLOSER[o] == c for o, *_ in stack[-50:]):
+            if opened[c]:
                 while _CLOSER[stack[-1][0]] != c:
                     o, at, before, where = stack.pop()
+                    opened[_CLOSER[o]] -= 1
                     now, offsets = [*before, o, *now], [*where, at, *offsets]
                 o, at, before, where = stack.pop()
+                opened[c] -= 1
                 body = "".join(now)
                 if faulty:
                     body, n, edits = _settle(lang, body, offsets, pairs, [r[1:] for r in lang.roles[o]])

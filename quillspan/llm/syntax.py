@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import functools
-import json
 import math
 import re
 from collections.abc import Iterator
@@ -676,27 +674,10 @@ def check(text: str, suffix: str) -> tuple[float, list[float]]:
     return cost + sum(n for n, _ in extra), places + [x for _, x in extra]
 
 
-def confirm(text: str, suffix: str) -> bool:
-    """The exact check after a fault was found, where the platform has a full parser for the language."""
-    try:
-        if suffix == "py":
-            ast.parse(text)
-        elif suffix == "json":
-            json.loads(text, parse_constant=_no_constant)
-        else:
-            return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return True
-    return False
-
-
-def _no_constant(_: str):
-    raise ValueError("not JSON")
-
-
 def cause(text: str, cost: float, places: list[float]) -> str:
     """What the places of the edits say: ``conflict``, ``truncated``, ``mismatch`` or ``local``."""
-    if _CONFLICT.search(text):
+    marks = [m.start() / len(text) for m in _CONFLICT.finditer(text)]
+    if any(abs(x - m) <= 0.1 for m in marks for x in places):  # edits where the marks stand
         return "conflict"
     if places and min(places) >= 0.97:
         return "truncated"
@@ -722,8 +703,6 @@ def unparsable(df: DataFrame, id_col: str = "paste_id", path_col: str = "path",
             for i, repo, path, text in b.itertuples(index=False):
                 suffix = SUFFIX.search(path).group(1)
                 cost, places = check(text, suffix)
-                if cost and not confirm(text, suffix):
-                    cost, places = 0, []
                 rows.append((i, repo, suffix, cost == 0, int(cost) if cost < math.inf else None, cause(text, cost, places) if cost else None, min(places) if places else None))
             yield pd.DataFrame(rows, columns=["paste_id", "repo", "language", "valid", "cost", "cause", "place"]).astype({"cost": "Int64"})
 

@@ -78,6 +78,30 @@ def test_broken_sources(suffix):
         assert syntax.check(t, suffix)[0] > 0, t
 
 
+def test_python_and_json_agree_with_full_parsers():
+    import ast
+    import json
+
+    import pandas as pd
+
+    def no_constant(_):
+        raise ValueError
+
+    d = pd.read_parquet("/root/testdata/sf0.01/paste_files.parquet", columns=["path", "content"])
+    n = 0
+    for path, text in zip(d.path, d.content, strict=True):
+        suffix = path.rsplit(".", 1)[-1]
+        if text and suffix in ("py", "json"):
+            try:
+                ast.parse(text) if suffix == "py" else json.loads(text, parse_constant=no_constant)
+                valid = True
+            except (SyntaxError, ValueError):
+                valid = False
+            assert (syntax.check(text, suffix)[0] == 0) == valid, path
+            n += 1
+    assert n > 100
+
+
 def test_causes_and_rates(spark):
     rows = [(1, "r", "a.ts", "let a = 1;\nfunction f() {\n  if (x) {\n"), (2, "r", "a.ts", "let a;\n<<<<<<< HEAD\nlet b;\n=======\nlet c;\n>>>>>>> q\n"), (3, "r", "b.TS", "let a"), (4, "r", "c.md", "x"), (5, None, "d.json", "{}"), (6, "r", "e.ts", None), (7, "r", "e.ts", ""), (8, "r", None, "x")]
     df = spark.createDataFrame(rows, "paste_id bigint, repo string, path string, content string").selectExpr("*", "1 as valid", "2 as i")
@@ -87,6 +111,21 @@ def test_causes_and_rates(spark):
     assert {(r.repo, r.language): r.rate for r in syntax.invalid_rates(c).collect()} == {("r", "ts"): 1.0, (None, "json"): 0.0}
 
 
+def test_conflicts_show_by_where_the_edits_stand():
+    marked = "let a;\n<<<<<<< HEAD\nlet b;\n=======\nlet c;\n>>>>>>> q\n"
+    assert syntax.cause(marked, *syntax.check(marked, "ts")) == "conflict"
+    quoted = "/*\n<<<<<<< HEAD\n*/\n" + "let y = z;\n" * 60 + "function f() {\n"
+    assert syntax.cause(quoted, *syntax.check(quoted, "ts")) == "truncated"
+
+
+def test_partners_are_sought_at_any_depth():
+    deep = "f(" * 400 + "[" + "{ a: " * 0 + "1" + ")" * 400 + ";"
+    assert syntax.check(deep, "js")[0] >= 1
+    assert syntax.check("(" * 300 + "a" + ")" * 300 + ";", "js") == (0, [])
+    stray = "g({\n" + "  h(\n" * 80 + "}\n);\n"
+    assert syntax.check(stray, "js")[0] >= 1
+
+
 def test_least_cost():
     assert syntax.check("foo(1;\n", "ts")[0] >= 1 and syntax.check("const a = b c;\n", "ts")[0] == 1
 
