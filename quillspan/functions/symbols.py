@@ -66,6 +66,11 @@ def stub(name: Column | str, kind: Column | str) -> Column:
     )
 
 
+def role_mark(is_seed: Column, is_leaf: Column) -> Column:
+    """The mark of a symbol in an index: a seed, one that leads nowhere, or any other."""
+    return F.when(is_seed, "🌱").when(is_leaf, "🍃").otherwise("🔗")
+
+
 def symbol_id(path: Column | str, symbol: Column | str, line: Column | str | None = None, column: Column | str | None = None) -> Column:
     base = F.concat(_c(path), F.lit("#"), _c(symbol))
     if line is None:

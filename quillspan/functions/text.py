@@ -135,13 +135,22 @@ def redacted(text: Column | str) -> Column:
 
 
 def redaction_types(text: Column | str) -> Column:
-    """Types found, in the order of the rules, each tested on the text the rules before have left."""
-    t = _c(text)
-    found = []
+    """Types found, in the order of the rules, each tested on the text the rules before have left.
+
+    Every step binds what the one before left, as a plain expression would be evaluated again for each use.
+    """
+
+    def step(state: Column, name: str, pattern: str) -> Column:
+        def after(s: Column) -> Column:
+            found = F.array_compact(F.array(F.when(s["t"].rlike(pattern), F.lit(name))))
+            return F.struct(F.regexp_replace(s["t"], pattern, _replacement(name, pattern)).alias("t"), F.concat(s["k"], found).alias("k"))
+
+        return F.get(F.transform(F.array(state), after), F.lit(0))
+
+    state = F.struct(_c(text).alias("t"), F.array().cast("array<string>").alias("k"))
     for name, pattern in REDACTIONS:
-        found.append(F.when(t.rlike(pattern), F.lit(name)))
-        t = F.regexp_replace(t, pattern, _replacement(name, pattern))
-    return F.array_compact(F.array(*found))
+        state = step(state, name, pattern)
+    return state["k"]
 
 
 def prefix_with_marker(text: Column | str, most: int, marker: str = "\n... [truncated]") -> Column:

@@ -38,6 +38,19 @@ def choose_artifacts(artifacts: DataFrame, key: str, total: int, each: int | Non
     return fit.unionByName(a.where(F.coalesce(big, F.lit(False))).withColumns({"included": F.lit(False), "decision": F.lit("over artifact budget")}))
 
 
+# The columns that the smaller variants keep of an artifact; all of them where none are named.
+VARIANT_COLUMNS = {
+    "import-graph": {"short": ("repo", "node", "in_degree", "out_degree", "role"), "minimal": ("repo", "node", "role")}, "ts-config": {"minimal": ("repo", "name", "options")},
+    "exports": {"minimal": ("repo", "path", "name")}, "files-manifest": {"short": ("repo", "path", "bytes", "loc", "kind", "bucket")}, "topology": {"short": ("repo", "package", "internal")},
+}
+
+
+def project(name: str, artifact: DataFrame, variant: str) -> DataFrame:
+    """What a variant keeps of an artifact: of the named columns those there are."""
+    keep = [c for c in VARIANT_COLUMNS.get(name, {}).get(variant, ()) if c in artifact.columns]
+    return artifact.select(*keep) if keep else artifact
+
+
 def downsample_text(text: Column | str, most: int) -> Column:
     return tx.prefix_with_marker(text, most)
 

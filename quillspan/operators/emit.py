@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions import text as tx
+from quillspan.operators import budget
 
 
 def canonical_type(t: T.DataType) -> T.DataType:
@@ -72,9 +73,9 @@ def write_variants(artifacts: dict[str, DataFrame], out: str, members: dict[str,
         for n in names:
             if n in artifacts:
                 p = os.path.join(out, variant, n + ".ndjson")
-                write_ndjson(artifacts[n], p)
+                write_ndjson(budget.project(n, artifacts[n], variant), p)
                 written.append(p)
-        texts = [canonical_json(artifacts[n], "text").select(F.lit(n).alias("id"), "text") for n in names if n in artifacts]
+        texts = [canonical_json(budget.project(n, artifacts[n], variant), "text").select(F.lit(n).alias("id"), "text") for n in names if n in artifacts]
         if texts:
             tokens[variant] = artifact_totals(functools.reduce(DataFrame.unionByName, texts)).first().asDict()
     write_json({"paths": sorted(written), "tokens": tokens}, os.path.join(out, "index.json"))

@@ -61,13 +61,30 @@ def package_specifiers(external: DataFrame, specifier: str = "specifier") -> Dat
 
 
 def totals(nodes: DataFrame, edges: DataFrame, internal: DataFrame) -> DataFrame:
-    """Per repository: nodes, distinct edges with a target, those inside and outside."""
-    n = nodes.select("repo", "node").distinct().groupBy("repo").agg(F.count("*").alias("n_nodes"))
+    """Per repository: nodes, packages (of nodes with a ``package``; at least 1), distinct edges with a target, those inside and outside."""
+    package = F.col("package") if "package" in nodes.columns else F.lit(None).cast("string")
+    n = nodes.select("repo", "node", package.alias("package")).groupBy("repo").agg(F.countDistinct("node").alias("n_nodes"), F.greatest(F.countDistinct("package"), F.lit(1)).alias("n_packages"))
     e = edges.select("repo", "src", "dst").where("dst is not null").distinct().groupBy("repo").agg(F.count("*").alias("n_edges"))
     i = internal.groupBy("repo").agg(F.count("*").alias("n_internal"))
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     t = n.join(e, "repo", "full").join(i, "repo", "left")
-    return t.select("repo", z("n_nodes").alias("n_nodes"), z("n_edges").alias("n_edges"), z("n_internal").alias("n_internal"), (z("n_edges") - z("n_internal")).alias("n_external"))
+    return t.select(
+        "repo", z("n_nodes").alias("n_nodes"), F.coalesce("n_packages", F.lit(1)).cast("bigint").alias("n_packages"), z("n_edges").alias("n_edges"), z("n_internal").alias("n_internal"), (z("n_edges") - z("n_internal")).alias("n_external")
+    )
+
+
+def external_reach(external: DataFrame, specifier: str = "specifier") -> DataFrame:
+    """``package``, ``n_files``, ``n_repos``: how many files and repositories import a package."""
+    d = external.select("repo", "src", paths.package_of(specifier).alias("package")).where("package <> ''").distinct()
+    per = d.groupBy("package", "repo").agg(F.count("*").alias("n"))
+    return per.groupBy("package").agg(F.sum("n").cast("bigint").alias("n_files"), F.count("*").alias("n_repos"))
+
+
+def reachability(internal: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+    """``repo``, ``node``, ``distance``, ``truncated``: what the seeds reach, of each repository the nearest ``most`` nodes; whether there are more."""
+    w = Window.partitionBy("repo")
+    d = bfs(internal, seeds).withColumns({"rn": F.row_number().over(w.orderBy("distance", "node")), "n": F.count("*").over(w)})
+    return d.where(F.col("rn") <= most).select("repo", "node", "distance", (F.col("n") > most).alias("truncated"))
 
 
 def components(internal: DataFrame) -> DataFrame:

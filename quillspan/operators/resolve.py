@@ -81,3 +81,25 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     c = configs.select("repo", F.col("path").alias("config"), paths.directory("path").alias("dir")).groupBy("repo", "dir").agg(F.min("config").alias("config"))
     best = f.withColumn("a", F.explode(above)).select("repo", "path", "a.depth", "a.dir").join(c, ["repo", "dir"]).groupBy("repo", "path").agg(F.max_by("config", "depth").alias("config"))
     return f.join(best, ["repo", "path"], "left")
+
+
+def entry_points(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """``repo``, ``node``: the files that a repository's root package.json (``repo``, ``text``) offers.
+
+    Its commands (a path, or several by name), and ``exports``, ``main`` and ``module`` where they are paths. A built command below
+    ``dist`` stands for its source below ``src``, if there is one. Where nothing leads to a file, ``src/index.ts`` is taken, if
+    there is one.
+    """
+    known = files.select("repo", "path").distinct()
+    field = lambda p: F.get_json_object("text", p)
+    many = F.coalesce(F.map_values(F.from_json(field("$.bin"), "map<string,string>")), F.when(~field("$.bin").startswith("{"), F.array(field("$.bin"))), F.array().cast("array<string>"))
+    built = F.transform(many, lambda x: F.struct(x.alias("p"), F.lit(True).alias("bin")))
+    named = F.transform(F.array_compact(F.array(*[F.when(~field(f"$.{k}").rlike(r"^\s*[\[{]"), field(f"$.{k}")) for k in ("exports", "main", "module")])), lambda x: F.struct(x.alias("p"), F.lit(False).alias("bin")))
+    asked = packages.select("repo", F.explode(F.concat(built, named)).alias("x")).select("repo", F.col("x.p").alias("p"), F.col("x.bin").alias("bin"))
+    source = F.when(F.col("bin") & F.col("p").rlike(r"^dist/.*\.js$"), F.regexp_replace(F.regexp_replace("p", "^dist/", "src/"), r"\.js$", ".ts"))
+    asked = asked.withColumn("mapped", source)
+    direct = asked.join(known.withColumnRenamed("path", "mapped"), ["repo", "mapped"], "left_semi").select("repo", "p", F.col("mapped").alias("node"))
+    rest = asked.join(direct.select("repo", "p"), ["repo", "p"], "left_anti").select("repo", F.lit("package.json").alias("src"), F.concat(F.lit("./"), F.regexp_replace("p", r"^\./", "")).alias("specifier")).distinct()
+    found = direct.select("repo", "node").unionByName(resolve(rest, files).where("resolved is not null").select("repo", F.col("resolved").alias("node"))).distinct()
+    fallback = packages.select("repo").distinct().join(found.select("repo").distinct(), "repo", "left_anti").join(known.where("path = 'src/index.ts'"), "repo").select("repo", F.col("path").alias("node"))
+    return found.unionByName(fallback)

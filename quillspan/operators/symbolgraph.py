@@ -201,6 +201,14 @@ def graph_stats(graph: DataFrame, edges: DataFrame) -> DataFrame:
     return per.join(n, "repo", "left").select("repo", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_files", "eccentricity", "json_bytes")
 
 
+def marked(graph: DataFrame, edges: DataFrame) -> DataFrame:
+    """The symbols of a graph with their ``line`` in an index: mark, id and the kind their name suggests."""
+    leads = edges.select("repo", F.col("src").alias("node")).distinct().withColumn("leads", F.lit(True))
+    d = graph.join(leads, ["repo", "node"], "left")
+    mark = sy.role_mark(F.col("distance") == 0, F.col("leads").isNull())
+    return d.select("repo", "node", F.concat(mark, F.lit(" "), F.col("node"), F.lit(" ("), sy.guessed_kind(F.substring_index("node", "#", -1)), F.lit(")")).alias("line"))
+
+
 def index(graph: DataFrame, ranked: DataFrame, slices: DataFrame) -> DataFrame:
     """The index of a scoped pack: every symbol of the graph with its rank and its slices.
 

@@ -53,12 +53,48 @@ def first_findings(found: DataFrame, order: list[str], k: int = 25) -> DataFrame
     return found.orderBy(*order).limit(k).withColumn("no", F.row_number().over(w).cast("bigint"))
 
 
-def ndjson(lines: DataFrame, schema: T.StructType = FILE_INFO, column: str = "value") -> DataFrame:
-    """Lines parsed under ``schema``: its fields, ``line`` as delivered and ``valid``; what does not parse is kept with nulls."""
+def ndjson(lines: DataFrame, schema: T.StructType = FILE_INFO, column: str = "value", index: str | None = None) -> DataFrame:
+    """Lines parsed under ``schema``: its fields, ``line`` as delivered and ``valid``; what does not parse is kept with nulls.
+
+    ``index`` names a column with the lines' numbers, which is kept as ``no``.
+    """
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    p = lines.select(F.col(column).alias("line"), F.from_json(column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    no = [F.col(index).cast("bigint").alias("no")] if index else []
+    p = lines.select(*no, F.col(column).alias("line"), F.from_json(column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     ok = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull() & F.col("line").rlike(r"^\s*\{")
-    return p.select("line", F.coalesce(ok, F.lit(False)).alias("valid"), *[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+    return p.select(*(["no"] if index else []), "line", F.coalesce(ok, F.lit(False)).alias("valid"), *[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+
+
+def ndjson_findings(lines: DataFrame, column: str = "value", index: str = "no") -> DataFrame:
+    """What is wrong with the lines of a file manifest: ``no``, ``field`` (``[no]`` or ``[no].rule``), ``rule``; one row per broken rule."""
+    p = ndjson(lines, FILE_INFO, column, index)
+    bad = p.where("not valid").select("no", F.lit("json").alias("rule"))
+    found = findings(p.where("valid"), ["no"], file_rules()).unionByName(bad)
+    place = F.concat(F.lit("["), F.col("no").cast("string"), F.lit("]"))
+    return found.select("no", F.when(F.col("rule") == "json", place).otherwise(F.concat(place, F.lit("."), F.col("rule"))).alias("field"), "rule")
+
+
+# What the artifacts of a pack must hold.
+SCHEMAS = {
+    "files-manifest": FILE_INFO, "import-graph": T.StructType([T.StructField("node", T.StringType()), T.StructField("in_degree", T.LongType()), T.StructField("out_degree", T.LongType())]),
+    "exports": T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("kind", T.StringType())]), "schema-index": T.StructType([T.StructField("path", T.StringType()), T.StructField("type", T.StringType())]),
+}
+
+
+def artifact_findings(name: str, artifact: DataFrame) -> list[str]:
+    """What an artifact lacks of its schema: fields that are missing or of another type. An unknown artifact is an error."""
+    if name not in SCHEMAS:
+        raise ValidationFailed(f"no schema is known as {name}")
+    have = {f.name: f.dataType for f in artifact.schema.fields}
+    wrong = []
+    for f in SCHEMAS[name].fields:
+        if f.name == "ignoreReason" and f.name not in have:
+            continue  # optional
+        if f.name not in have:
+            wrong.append(f"{f.name} is missing")
+        elif have[f.name] != f.dataType and not (isinstance(f.dataType, T.LongType) and isinstance(have[f.name], (T.IntegerType, T.ShortType))):
+            wrong.append(f"{f.name} is {have[f.name].simpleString()} and not {f.dataType.simpleString()}")
+    return wrong
 
 
 def stub_ok(text: Column | str) -> Column:

@@ -52,14 +52,21 @@ def _seeds(s: SparkSession, d: str) -> DataFrame:
 # --- SQL shared by several queries ----------------------------------------------------------------------------------
 
 _EXT = "lower(split_part(path, '.', -1))"
-_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+# Fixed values, spelled out again so that the SQL does not depend on what it is held against.
+_CONFIG = "'json', 'yaml', 'yml', 'toml', 'ini', 'cfg', 'config', 'eslintrc', 'prettierrc', 'gitignore', 'dockerignore'"
+_DOCS = "'md', 'txt', 'rst', 'adoc'"
+_SOURCES = "'ts', 'tsx', 'js', 'jsx', 'py', 'rs', 'go', 'java', 'c', 'cpp', 'h', 'hpp', 'cs', 'rb', 'php', 'kt', 'swift', 'dart', 'scala', 'clj'"
+_BINARIES = (
+    "'exe', 'bin', 'dll', 'so', 'dylib', 'a', 'lib', 'o', 'obj', 'png', 'jpg', 'jpeg', 'gif', 'bmp', 'webp', 'ico', 'mp3', 'mp4', 'avi', 'mov', 'wmv', 'flv', 'wav', 'ogg', "
+    "'zip', 'tar', 'gz', 'rar', '7z', 'bz2', 'xz', 'pdf', 'doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'woff', 'woff2', 'ttf', 'otf', 'eot'"
+)
 _KIND = f"""CASE WHEN lower(path) LIKE '%test%' OR lower(path) LIKE '%spec%' THEN 'test'
-    WHEN {_EXT} IN ({_LIST(paths.CONFIG_EXT)}) OR lower(path) LIKE '%config%' THEN 'config'
-    WHEN {_EXT} IN ({_LIST(paths.DOCS_EXT)}) OR lower(path) LIKE '%readme%' OR lower(path) LIKE '%doc%' THEN 'docs'
-    WHEN {_EXT} IN ({_LIST(paths.CODE_EXT)}) THEN 'code' ELSE 'asset' END"""
+    WHEN {_EXT} IN ({_CONFIG}) OR lower(path) LIKE '%config%' THEN 'config'
+    WHEN {_EXT} IN ({_DOCS}) OR lower(path) LIKE '%readme%' OR lower(path) LIKE '%doc%' THEN 'docs'
+    WHEN {_EXT} IN ({_SOURCES}) THEN 'code' ELSE 'asset' END"""
 _BUCKET = """CASE WHEN lower(path) LIKE '%internal%' OR lower(path) LIKE '%private%' THEN 'internal'
     WHEN lower(path) LIKE '%public%' OR lower(path) LIKE '%api%' OR lower(path) LIKE '%contracts%' THEN 'public' ELSE 'unknown' END"""
-_MANIFEST = f"""m0 AS (SELECT file_id, repo, path, bytes, loc, {_KIND} AS kind, {_BUCKET} AS bucket FROM file_infos WHERE {_EXT} NOT IN ({_LIST(paths.BINARY_EXT)})),
+_MANIFEST = f"""m0 AS (SELECT file_id, repo, path, bytes, loc, {_KIND} AS kind, {_BUCKET} AS bucket FROM file_infos WHERE {_EXT} NOT IN ({_BINARIES})),
 m AS (SELECT *, (1000 + CASE kind WHEN 'code' THEN 100 WHEN 'config' THEN 80 WHEN 'docs' THEN 60 WHEN 'test' THEN 40 ELSE 20 END
     + CASE bucket WHEN 'public' THEN 50 WHEN 'internal' THEN 30 ELSE 0 END
     + CASE WHEN contains(lower(path), 'index.') OR contains(lower(path), 'main.') THEN 100 ELSE 0 END
@@ -323,13 +330,49 @@ def external_deps(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_GRAPH}, nn AS (SELECT repo, count(*) AS n_nodes FROM n GROUP BY repo), ee AS (SELECT repo, count(*) AS n_edges FROM (SELECT DISTINCT repo, src, dst FROM a WHERE dst IS NOT NULL) GROUP BY repo),
+    f"""WITH {_GRAPH}, nn AS (SELECT repo, count(*) AS n_nodes, greatest(1, count(DISTINCT nullif(regexp_extract(node, '^(packages/[^/]+)/', 1), ''))) AS n_packages FROM n GROUP BY repo), ee AS (SELECT repo, count(*) AS n_edges FROM (SELECT DISTINCT repo, src, dst FROM a WHERE dst IS NOT NULL) GROUP BY repo),
     ii AS (SELECT repo, count(*) AS n_internal FROM e GROUP BY repo)
-    SELECT repo, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_internal, 0) AS n_internal, coalesce(n_edges, 0) - coalesce(n_internal, 0) AS n_external
+    SELECT repo, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_packages, 1) AS n_packages, coalesce(n_edges, 0) AS n_edges, coalesce(n_internal, 0) AS n_internal, coalesce(n_edges, 0) - coalesce(n_internal, 0) AS n_external
     FROM nn FULL JOIN ee USING (repo) LEFT JOIN ii USING (repo)"""
 )
 def graph_totals(s: SparkSession, d: str) -> DataFrame:
-    return graph.totals(_nodes(s, d), _edges(s, d), _internal(s, d))
+    inside = F.regexp_extract("node", "^(packages/[^/]+)/", 1)
+    return graph.totals(_nodes(s, d).withColumn("package", F.when(inside != "", inside)), _edges(s, d), _internal(s, d))
+
+
+@query(
+    f"""WITH {_GRAPH}, x AS (SELECT DISTINCT repo, src, {_PACKAGE} AS package FROM a WHERE dst IS NULL OR (repo, dst) NOT IN (SELECT repo, node FROM n))
+    SELECT package, count(*) AS n_files, count(DISTINCT repo) AS n_repos FROM x WHERE package <> '' GROUP BY package"""
+)
+def external_reach(s: SparkSession, d: str) -> DataFrame:
+    return graph.external_reach(graph.external_edges(_edges(s, d), _nodes(s, d)))
+
+
+_OFFERED = """pj AS (SELECT repo, min(path) FILTER (WHERE regexp_matches(path, '^src/.*\\.ts$') AND NOT regexp_matches(path, '\\.[a-z]+\\.ts$')) AS cmd, max(path) FILTER (WHERE path LIKE '%.js') AS main FROM file_infos GROUP BY repo),
+ep AS (SELECT repo, cmd AS node FROM pj WHERE cmd IS NOT NULL UNION SELECT repo, main FROM pj WHERE main IS NOT NULL)"""
+
+
+def _offers(s: SparkSession, d: str) -> DataFrame:
+    """A package.json per repository: its first source as a built command, its last script as main file."""
+    f = _t(s, d, "file_infos")
+    plain = F.col("path").rlike(r"^src/.*\.ts$") & ~F.col("path").rlike(r"\.[a-z]+\.ts$")
+    g = f.groupBy("repo").agg(F.min(F.when(plain, F.col("path"))).alias("cmd"), F.max(F.when(F.col("path").endswith(".js"), F.col("path"))).alias("main"))
+    built = F.regexp_replace(F.regexp_replace("cmd", "^src/", "dist/"), r"\.ts$", ".js")
+    return g.select("repo", F.to_json(F.struct(F.when(F.col("cmd").isNotNull(), F.create_map(F.lit("run"), built)).alias("bin"), F.concat(F.lit("./"), F.regexp_replace("main", r"\.js$", "")).alias("main"))).alias("text"))
+
+
+@query(f"WITH {_OFFERED}, l AS (SELECT DISTINCT repo, path FROM file_infos), m AS (SELECT pj.repo, arg_min(l.path, p) AS node FROM pj, (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.d.ts'), (4, '.js')) v(p, s), l WHERE l.repo = pj.repo AND l.path = regexp_replace(pj.main, '\\.js$', '') || s GROUP BY pj.repo) SELECT repo, cmd AS node FROM pj WHERE cmd IS NOT NULL UNION SELECT repo, node FROM m")
+def entry_points(s: SparkSession, d: str) -> DataFrame:
+    return resolve.entry_points(_offers(s, d), _t(s, d, "file_infos"))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, {_OFFERED}, r(repo, node, k) AS (SELECT repo, node, 0::BIGINT FROM ep UNION SELECT r.repo, e.dst, k + 1 FROM r JOIN e ON e.repo = r.repo AND e.src = r.node WHERE k < 12),
+    m AS (SELECT repo, node, min(k) AS distance FROM r GROUP BY ALL)
+    SELECT repo, node, distance, count(*) OVER (PARTITION BY repo) > 30 AS truncated FROM m QUALIFY row_number() OVER (PARTITION BY repo ORDER BY distance, node) <= 30"""
+)
+def reachable_from_entries(s: SparkSession, d: str) -> DataFrame:
+    return graph.reachability(_internal(s, d), resolve.entry_points(_offers(s, d), _t(s, d, "file_infos")), 30)
 
 
 @query(f"WITH RECURSIVE {_GRAPH}, {_SCC} SELECT repo, node, component FROM scc")
@@ -874,6 +917,15 @@ def symbol_graph_stats(s: SparkSession, d: str) -> DataFrame:
     return symbolgraph.graph_stats(*_near(s, d))
 
 
+@query(
+    f"""WITH RECURSIVE {_MODULES}, {_REFS}, {_SYMBOL_EDGES}, {_BOTH_WAYS}, {_SYMBOL_GRAPH}
+    SELECT repo, node, CASE WHEN distance = 0 THEN '🌱' WHEN (repo, node) NOT IN (SELECT (repo, src) FROM se) THEN '🍃' ELSE '🔗' END || ' ' || node || ' (' || CASE WHEN regexp_matches(split_part(node, '#', 2), '^I[A-Z]') THEN 'interface'
+        WHEN regexp_matches(split_part(node, '#', 2), '^[A-Z][A-Z0-9_]+$') THEN 'const' WHEN regexp_matches(split_part(node, '#', 2), '^[A-Z]') THEN 'class' ELSE 'function' END || ')' AS line FROM sg"""
+)
+def symbol_marks(s: SparkSession, d: str) -> DataFrame:
+    return symbolgraph.marked(*_near(s, d))
+
+
 def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     g, e = _near(s, d)
     return g, cut(scoped.rank(g.withColumn("name", F.substring_index("node", "#", -1)), e, 600))
@@ -1176,8 +1228,8 @@ def variants(s: SparkSession, d: str) -> DataFrame:
 @query(
     f"""SELECT rule, count(*) FILTER (WHERE broken) AS n FROM (
     SELECT unnest(['path.required', 'bytes.range', 'loc.range', 'kind.enum', 'bucket.enum', 'sha256.pattern', 'large-file', 'empty-code']) AS rule,
-    unnest([path IS NULL OR path = '', bytes IS NULL OR bytes < 0, loc IS NULL OR loc < 0, kind IS NULL OR kind NOT IN ({_LIST(validate.KINDS)}), bucket IS NULL OR bucket NOT IN ({_LIST(validate.BUCKETS)}),
-        coalesce(NOT regexp_matches(sha256, '{validate.SHA}'), false), coalesce(bytes > 1000000, false), coalesce(kind = 'code' AND loc = 0, false)]) AS broken FROM file_infos) GROUP BY rule"""
+    unnest([path IS NULL OR path = '', bytes IS NULL OR bytes < 0, loc IS NULL OR loc < 0, kind IS NULL OR kind NOT IN ('code', 'test', 'config', 'docs', 'asset'), bucket IS NULL OR bucket NOT IN ('internal', 'public', 'unknown'),
+        coalesce(NOT regexp_matches(sha256, '^([0-9a-f]{{64}}|skipped-large-file)$'), false), coalesce(bytes > 1000000, false), coalesce(kind = 'code' AND loc = 0, false)]) AS broken FROM file_infos) GROUP BY rule"""
 )
 def validation_counts(s: SparkSession, d: str) -> DataFrame:
     return validate.counts(_t(s, d, "file_infos"), validate.file_rules() | validate.file_warnings())
@@ -1206,6 +1258,17 @@ def artifact_totals(s: SparkSession, d: str) -> DataFrame:
     return emit.artifact_totals(part("repos", _t(s, d, "repos").select("repo", "lockfile")).unionByName(part("edges", _t(s, d, "import_edges").select("from_path", "to_path"))))
 
 
+@query(
+    f"""WITH r AS (SELECT file_id AS no, unnest(['path.required', 'bytes.range', 'loc.range', 'kind.enum', 'bucket.enum', 'sha256.pattern']) AS rule, unnest([path IS NULL OR path = '', bytes IS NULL OR bytes < 0, loc IS NULL OR loc < 0,
+        kind IS NULL OR kind NOT IN ('code', 'test', 'config', 'docs', 'asset'), bucket IS NULL OR bucket NOT IN ('internal', 'public', 'unknown'), coalesce(NOT regexp_matches(sha256, '^([0-9a-f]{{64}}|skipped-large-file)$'), false)]) AS broken FROM file_infos)
+    SELECT no, '[' || no || '].' || rule AS field, rule FROM r WHERE broken"""
+)
+def ndjson_findings(s: SparkSession, d: str) -> DataFrame:
+    f = _t(s, d, "file_infos")
+    record = F.struct("path", "bytes", "sha256", "loc", "kind", "bucket", F.col("ignore_reason").alias("ignoreReason"))
+    return validate.ndjson_findings(f.select(F.col("file_id").alias("no"), F.to_json(record, {"ignoreNullFields": "false"}).alias("value")))
+
+
 @query("SELECT true AS valid, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM file_infos")
 def ndjson_round_trip(s: SparkSession, d: str) -> DataFrame:
     f = _t(s, d, "file_infos").select("path", "bytes", "sha256", "loc", "kind", "bucket", F.col("ignore_reason").alias("ignoreReason"))

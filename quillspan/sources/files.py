@@ -204,8 +204,11 @@ def git_state(root: str) -> dict[str, str | bool]:
     return {"commit": commit, "branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "dirty": bool(ask("status", "--porcelain"))} if commit else {}
 
 
-def safe_output(path: str, root: str | None = None) -> str:
-    """An output path that is allowed: no control characters or reserved names, and inside ``root`` once links are resolved."""
+def safe_output(path: str, root: str | None = None, kind: str | None = None) -> str:
+    """An output path that is allowed: no control characters or reserved names, inside ``root`` once links are resolved, below a folder that can be written to.
+
+    ``kind`` (``file`` or ``folder``): what may stand there already.
+    """
     if not path or any(ord(c) < 32 for c in path) or any(c in path for c in '<>"|?*'):
         raise ValueError("a path has characters that are not allowed")
     if any(p.split(".")[0].upper() in {"CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))} for p in Path(path).parts):
@@ -213,4 +216,11 @@ def safe_output(path: str, root: str | None = None) -> str:
     full = Path(path if os.path.isabs(path) or root is None else os.path.join(root, path)).resolve()
     if root is not None and not full.is_relative_to(Path(root).resolve()):
         raise ValueError("a path leaves its root")
+    if kind and full.exists() and full.is_dir() != (kind == "folder"):
+        raise ValueError(f"there is something else than a {kind}")
+    there = next(p for p in (full, *full.parents) if p.exists())
+    if there != full and not there.is_dir():
+        raise ValueError("a path leads through a file")
+    if not os.access(there, os.W_OK):
+        raise PermissionError("a path cannot be written to")
     return str(full)

@@ -299,3 +299,27 @@ def test_positions_prune_pairs_without_loss(spark):
     for t in (0.8, 0.7):
         want = {(i, j) for i in reps for j in reps if i < j and len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= t}
         assert {(r.a, r.b) for r in similarity.similar_pairs(p, t).collect()} == want and want
+
+
+def test_entry_points_and_reach(spark):
+    files = spark.createDataFrame([("a", "src/cli.ts"), ("a", "src/main.ts"), ("a", "bin/x.js"), ("b", "src/index.ts"), ("c", "lib/a.js"), ("d", "x.ts")], "repo string, path string")
+    p = spark.createDataFrame(
+        [("a", '{"bin":{"x":"dist/cli.js","y":"bin/x.js","z":"dist/none.js"},"main":"./src/main","exports":{".":"./no.js"}}'), ("b", "nonsense"), ("c", '{"bin":"lib/a.js"}'), ("d", None)], "repo string, text string"
+    )
+    assert rows(resolve.entry_points(p, files)) == [("a", "bin/x.js"), ("a", "src/cli.ts"), ("a", "src/main.ts"), ("b", "src/index.ts"), ("c", "lib/a.js")]
+    e = spark.createDataFrame([("r", str(i), str(i + 1)) for i in range(9)], "repo string, src string, dst string")
+    got = graph.reachability(e, spark.createDataFrame([("r", "0")], "repo string, node string"), 4)
+    assert rows(got.select("node", "truncated")) == [(str(i), True) for i in range(4)]
+    assert {r.truncated for r in graph.reachability(e, spark.createDataFrame([("r", "0")], "repo string, node string")).collect()} == {False}
+
+
+def test_artifacts_are_held_against_their_schemas(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1, "x")], "node string, in_degree bigint, out_degree string")
+    assert validate.artifact_findings("import-graph", df) == ["out_degree is string and not bigint"] and validate.artifact_findings("exports", df) == ["path is missing", "name is missing", "kind is missing"]
+    with pytest.raises(validate.ValidationFailed):
+        validate.artifact_findings("nothing", df)
+    assert budget.project("import-graph", df, "minimal").columns == ["node"] and budget.project("other", df, "minimal").columns == df.columns
+    lines = spark.createDataFrame([(1, '{"path":"a","bytes":-1,"loc":1,"kind":"code","bucket":"public"}'), (2, "{"), (3, None)], "no int, value string")
+    assert rows(validate.ndjson_findings(lines)) == [(1, "[1].bytes.range", "bytes.range"), (2, "[2]", "json"), (3, "[3]", "json")]

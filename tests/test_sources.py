@@ -69,3 +69,12 @@ def test_stored_packs_are_counted(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.chars, r.conservative, r.optimistic) for r in src.stored_pack(spark, str(tmp_path)).collect()}
     assert got == {"a.json": (10, 4, 2), "s.d.ts": (6, 2, 2)}
     assert src.git_state(str(tmp_path)) == {}
+
+
+def test_output_paths_fit_what_is_there(tmp_path):
+    (tmp_path / "f").write_text("x")
+    (tmp_path / "d").mkdir()
+    assert src.safe_output("d", str(tmp_path), "folder") and src.safe_output("f", str(tmp_path), "file") and src.safe_output("new/deep/x", str(tmp_path), "file")
+    for bad, kind in (("d", "file"), ("f", "folder"), ("f/below", "file")):
+        with pytest.raises(ValueError):
+            src.safe_output(bad, str(tmp_path), kind)
