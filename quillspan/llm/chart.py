@@ -200,6 +200,42 @@ class Grammar:
             current = list(dict.fromkeys(after))
         return -1, set(), []
 
+    def _column(self, start: str, waiting: list[dict[str, list[tuple[int, int]]]], kernel: list[tuple[int, int]]) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+        """The whole column behind those in ``waiting``, whatever comes next: what waits in it, and the items each terminal leads to."""
+        sym, lhs, nullable, by = self.sym, self.lhs, self.nullable, self.by
+        i = len(waiting)
+        current = list(kernel) if waiting else [(x, 0) for x in self._predict(start, _ANYTHING)]
+        seen, done = set(current), set()
+        wait: dict[str, list[tuple[int, int]]] = {}
+        shifts: dict[str, list[tuple[int, int]]] = {}
+        waiting.append(wait)
+        k = 0
+        while k < len(current):
+            st, o = item = current[k]
+            k += 1
+            x = sym[st]
+            more: list[tuple[int, int]] = []
+            if x is None:
+                name = lhs[st]
+                done.add((name, o))
+                more = [(a + 1, b) for a, b in waiting[o].get(name, ())]
+            elif x in by:
+                if x in wait:
+                    wait[x].append(item)
+                else:
+                    wait[x] = [item]
+                    more = [(y, i) for y in self._predict(x, _ANYTHING)]
+                if x in nullable or (x, i) in done:
+                    more.append((st + 1, o))
+            else:
+                shifts.setdefault(x, []).append((st + 1, o))
+            for q in more:
+                if q not in seen:
+                    seen.add(q)
+                    current.append(q)
+        waiting.pop()
+        return wait, shifts
+
     def ok(self, start: str, s: str) -> bool:
         key = (start, s)
         got = self.memo.get(key)
@@ -275,8 +311,8 @@ class Grammar:
                 return math.inf, places
             skip += at - begin
             here, left = offsets[skip], offsets[-1] - offsets[skip]
-            expected = self._parse(start, s, waiting, kernel, None, _ANYTHING, skip)[1]
-            del waiting[at:]
+            wait, shifts = self._column(start, waiting, kernel)
+            expected = set(shifts)
             tokens = sorted({self.stands_for[x] for x in expected if x in self.stands_for})
             tries: list[tuple[float, str, int, list[int]]] = [(1, c, skip, [here]) for c in tokens]
             if skip < len(s):
@@ -289,7 +325,11 @@ class Grammar:
             for price, head, after, edits in sorted(tries, key=lambda x: x[0]):
                 if price >= solved:
                     break
-                got, _, _ = self._parse(start, s, waiting, kernel, None, head, after)
+                if head:  # what it leads to is known from the column already
+                    waiting.append(wait)
+                    got = self._parse(start, s, waiting, list(dict.fromkeys(x for t in self.serves[head] for x in shifts.get(t, ()))), None, "", after)[0]
+                else:
+                    got = self._parse(start, s, waiting, kernel, None, "", after)[0]
                 del waiting[at:]
                 if got < 0:
                     solved, where = price, edits
