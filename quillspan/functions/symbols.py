@@ -53,6 +53,27 @@ def guessed_kind(name: Column | str) -> Column:
     )
 
 
+def inferred_kind(name: Column | str, variant: str = "graph", member: Column | None = None) -> Column:
+    """What a symbol is by the look of its name, in the variant that graphs (``graph``), slices (``slice``) or stubs (``stub``) use.
+
+    A leading I in front of anything but a small letter means an interface, a leading capital (or mark) without underscores a
+    class; suffixes tell types and enumerations. The variants differ in the order of these rules and in what is left.
+    """
+    n = _c(name)
+    capital = lambda at: F.upper(F.substring(n, at, 1)) == F.substring(n, at, 1)
+    interface = n.startswith("I") & capital(2)
+    klass = capital(1) & ~n.contains("_")
+    if variant == "slice":
+        return F.when(member if member is not None else F.lit(False), "method").when(klass, "class").when(interface, "interface").otherwise("function")
+    ends = lambda *xs: F.greatest(*[n.endswith(x) for x in xs], F.lit(False))
+    first = F.when(interface, "interface").when(klass, "class")
+    if variant == "graph":
+        return first.when(ends("Type", "Config"), "type").when(capital(1) & ends("Enum"), "enum").otherwise("function")
+    if variant == "stub":
+        return first.when(ends("Type", "Config", "Options"), "type").when(capital(1) & ends("s", "Enum"), "enum").when(F.lower(F.substring(n, 1, 1)) == F.substring(n, 1, 1), "function").otherwise("const")
+    raise ValueError(f"no variant is known as {variant}")
+
+
 def stub(name: Column | str, kind: Column | str) -> Column:
     """A declaration that stands for a symbol outside the pack."""
     n, k = _c(name), _c(kind)
@@ -80,23 +101,25 @@ def symbol_id(path: Column | str, symbol: Column | str, line: Column | str | Non
 
 
 def parse_seed(seed: Column | str) -> Column:
-    """``path#symbol``, ``path#Class.member``, ``path#line:42:15`` or ``path:42[:15]`` as a struct.
+    """``path#symbol``, ``path#Class.member``, ``path#symbol(<hash>)``, ``path#line:42:15`` or ``path:42[:15]`` as a struct.
 
-    Fields: path, symbol, member, line, col and valid. Other forms, the empty string and
+    Fields: path, symbol, member, line, col, valid and overload (the hash of a signature). Other forms, the empty string and
     null are not valid and have null fields.
     """
     s = _c(seed)
     opt = lambda e: F.when(e != "", e)
     named = r"^([^#:]+)#([A-Za-z_$][\w$]*)(?:\.([A-Za-z_$][\w$]*))?$"
     lined = r"^([^#:]+)(?:#line)?:(\d{1,9})(?::(\d{1,9}))?$"
-    is_named, is_lined = s.rlike(named), s.rlike(lined)
+    loaded = r"^([^#:]+)#([A-Za-z_$][\w$]*)\(<([^>]+)>\)$"
+    is_named, is_lined, is_loaded = s.rlike(named), s.rlike(lined), s.rlike(loaded)
     return F.struct(
-        F.when(is_named, F.regexp_extract(s, named, 1)).when(is_lined, F.regexp_extract(s, lined, 1)).alias("path"),
-        F.when(is_named, F.regexp_extract(s, named, 2)).alias("symbol"),
+        F.when(is_named, F.regexp_extract(s, named, 1)).when(is_lined, F.regexp_extract(s, lined, 1)).when(is_loaded, F.regexp_extract(s, loaded, 1)).alias("path"),
+        F.when(is_named, F.regexp_extract(s, named, 2)).when(is_loaded, F.regexp_extract(s, loaded, 2)).alias("symbol"),
         F.when(is_named, opt(F.regexp_extract(s, named, 3))).alias("member"),
         F.when(is_lined, F.regexp_extract(s, lined, 2).cast("bigint")).alias("line"),
         F.when(is_lined, opt(F.regexp_extract(s, lined, 3)).cast("bigint")).alias("col"),
-        F.coalesce(is_named | is_lined, F.lit(False)).alias("valid"),
+        F.coalesce(is_named | is_lined | is_loaded, F.lit(False)).alias("valid"),
+        F.when(is_loaded, F.regexp_extract(s, loaded, 3)).alias("overload"),
     )
 
 

@@ -190,7 +190,7 @@ def left_out(graph: DataFrame, ranked: DataFrame) -> DataFrame:
     gone = graph.join(ranked.where("included").select("repo", "node"), ["repo", "node"], "left_anti")
     path, name = F.substring_index("node", "#", 1), F.substring_index("node", "#", -1)
     package = paths.package_of_installed(path)
-    return gone.select("repo", F.coalesce(package, path).alias("owner"), name.alias("name"), sy.guessed_kind(name).alias("kind"), package.isNotNull().alias("external"))
+    return gone.select("repo", F.coalesce(package, path).alias("owner"), name.alias("name"), sy.inferred_kind(name).alias("kind"), package.isNotNull().alias("external"))
 
 
 def seed_problem(seed: Column, path_known: Column, path: Column, exported: Column, allow_private: bool = False) -> Column:

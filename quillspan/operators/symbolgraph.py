@@ -206,7 +206,7 @@ def marked(graph: DataFrame, edges: DataFrame) -> DataFrame:
     leads = edges.select("repo", F.col("src").alias("node")).distinct().withColumn("leads", F.lit(True))
     d = graph.join(leads, ["repo", "node"], "left")
     mark = sy.role_mark(F.col("distance") == 0, F.col("leads").isNull())
-    return d.select("repo", "node", F.concat(mark, F.lit(" "), F.col("node"), F.lit(" ("), sy.guessed_kind(F.substring_index("node", "#", -1)), F.lit(")")).alias("line"))
+    return d.select("repo", "node", F.concat(mark, F.lit(" "), F.col("node"), F.lit(" ("), sy.inferred_kind(F.substring_index("node", "#", -1)), F.lit(")")).alias("line"))
 
 
 def index(graph: DataFrame, ranked: DataFrame, slices: DataFrame) -> DataFrame:
@@ -223,6 +223,6 @@ def index(graph: DataFrame, ranked: DataFrame, slices: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<path:string,start_line:bigint,end_line:bigint>>")
     d = graph.join(r, ["repo", "node"], "left").join(s, ["repo", "node"], "left")
     return d.select(
-        "repo", "node", "distance", "reasons", sy.guessed_kind(F.substring_index("node", "#", -1)).alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("within", F.lit(False)).alias("within"),
+        "repo", "node", "distance", "reasons", sy.inferred_kind(F.substring_index("node", "#", -1)).alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("within", F.lit(False)).alias("within"),
         F.coalesce("included", F.lit(False)).alias("included"), F.coalesce("places", none).alias("places"), "conservative", "optimistic", "average",
     )

@@ -756,21 +756,36 @@ def symbol_estimates(s: SparkSession, d: str) -> DataFrame:
 
 
 _SEEDS = """s AS (SELECT slice_id, symbol_id AS seed FROM code_slices WHERE symbol_id IS NOT NULL UNION ALL SELECT slice_id, symbol_id || '.go' FROM code_slices WHERE symbol_id IS NOT NULL
+    UNION ALL SELECT slice_id, symbol_id || '(<' || slice_id || '>)' FROM code_slices WHERE symbol_id IS NOT NULL
     UNION ALL SELECT slice_id, path || '#line:' || start_line || ':7' FROM code_slices WHERE start_line IS NOT NULL UNION ALL SELECT slice_id, path || ':' || start_line FROM code_slices WHERE start_line IS NOT NULL UNION ALL SELECT slice_id, path FROM code_slices)"""
 
 
 @query(
-    rf"""WITH {_SEEDS}, p AS (SELECT *, regexp_matches(seed, '^[^#:]+#[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)?$') AS named, regexp_matches(seed, '^[^#:]+(#line)?:\d{{1,9}}(:\d{{1,9}})?$') AS lined FROM s)
-    SELECT slice_id, seed, coalesce(named OR lined, false) AS valid, CASE WHEN named OR lined THEN regexp_extract(seed, '^([^#:]+)', 1) END AS path, CASE WHEN named THEN regexp_extract(seed, '#([A-Za-z_$][\w$]*)', 1) END AS symbol,
+    rf"""WITH {_SEEDS}, p AS (SELECT *, regexp_matches(seed, '^[^#:]+#[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)?$') AS named, regexp_matches(seed, '^[^#:]+(#line)?:\d{{1,9}}(:\d{{1,9}})?$') AS lined, regexp_matches(seed, '^[^#:]+#[A-Za-z_$][\w$]*\(<[^>]+>\)$') AS loaded FROM s)
+    SELECT slice_id, seed, coalesce(named OR lined OR loaded, false) AS valid, CASE WHEN named OR lined OR loaded THEN regexp_extract(seed, '^([^#:]+)', 1) END AS path, CASE WHEN named OR loaded THEN regexp_extract(seed, '#([A-Za-z_$][\w$]*)', 1) END AS symbol,
+    CASE WHEN loaded THEN regexp_extract(seed, '<([^>]+)>', 1) END AS overload,
     CASE WHEN named THEN nullif(regexp_extract(seed, '#[A-Za-z_$][\w$]*\.(.+)$', 1), '') END AS member, CASE WHEN lined THEN regexp_extract(seed, '^[^#:]+(?:#line)?:(\d+)', 1)::BIGINT END AS line,
     CASE WHEN lined THEN nullif(regexp_extract(seed, '^[^#:]+(?:#line)?:\d+:(\d+)$', 1), '')::BIGINT END AS col FROM p"""
 )
 def seed_parse(s: SparkSession, d: str) -> DataFrame:
     c = _t(s, d, "code_slices")
     at = F.col("start_line").cast("string")
-    forms = [F.col("symbol_id"), F.concat("symbol_id", F.lit(".go")), F.concat("path", F.lit("#line:"), at, F.lit(":7")), F.concat("path", F.lit(":"), at), F.col("path")]
+    forms = [F.col("symbol_id"), F.concat("symbol_id", F.lit(".go")), F.concat("symbol_id", F.lit("(<"), F.col("slice_id").cast("string"), F.lit(">)")), F.concat("path", F.lit("#line:"), at, F.lit(":7")), F.concat("path", F.lit(":"), at), F.col("path")]
     p = c.select("slice_id", F.explode(F.array(*forms)).alias("seed")).where("seed is not null").withColumn("s", symbols.parse_seed("seed"))
-    return p.select("slice_id", "seed", "s.valid", "s.path", "s.symbol", "s.member", "s.line", "s.col")
+    return p.select("slice_id", "seed", "s.valid", "s.path", "s.symbol", "s.member", "s.line", "s.col", "s.overload")
+
+
+@query(
+    r"""WITH n AS (SELECT DISTINCT symbol_name || s AS n FROM code_slices, (VALUES (''), ('Type'), ('_Config'), ('_Enum'), ('_items')) v(s) WHERE symbol_name IS NOT NULL),
+    f AS (SELECT *, regexp_matches(n, '^I([^a-z]|$)') AS i, regexp_matches(n, '^[^a-z]') AND NOT contains(n, '_') AS c, regexp_matches(n, '^[^a-z]') AS u FROM n)
+    SELECT n AS name, CASE WHEN i THEN 'interface' WHEN c THEN 'class' WHEN regexp_matches(n, '(Type|Config)$') THEN 'type' WHEN u AND regexp_matches(n, 'Enum$') THEN 'enum' ELSE 'function' END AS graph,
+    CASE WHEN c THEN 'class' WHEN i THEN 'interface' ELSE 'function' END AS slice,
+    CASE WHEN i THEN 'interface' WHEN c THEN 'class' WHEN regexp_matches(n, '(Type|Config|Options)$') THEN 'type' WHEN u AND regexp_matches(n, '(s|Enum)$') THEN 'enum' WHEN regexp_matches(n, '^[^A-Z]') THEN 'function' ELSE 'const' END AS stub FROM f"""
+)
+def symbol_kinds(s: SparkSession, d: str) -> DataFrame:
+    suffix = F.explode(F.array(*map(F.lit, ("", "Type", "_Config", "_Enum", "_items")))).alias("s")
+    n = _t(s, d, "code_slices").where("symbol_name is not null").select("symbol_name", suffix).select(F.concat("symbol_name", "s").alias("name")).distinct()
+    return n.select("name", *[symbols.inferred_kind("name", v).alias(v) for v in ("graph", "slice", "stub")])
 
 
 @query("SELECT symbol_id, count(*) AS n_slices, sum(tokens.average)::BIGINT AS tokens FROM code_slices WHERE symbol_id IS NOT NULL GROUP BY symbol_id")
@@ -919,8 +934,9 @@ def symbol_graph_stats(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {_MODULES}, {_REFS}, {_SYMBOL_EDGES}, {_BOTH_WAYS}, {_SYMBOL_GRAPH}
-    SELECT repo, node, CASE WHEN distance = 0 THEN '🌱' WHEN (repo, node) NOT IN (SELECT (repo, src) FROM se) THEN '🍃' ELSE '🔗' END || ' ' || node || ' (' || CASE WHEN regexp_matches(split_part(node, '#', 2), '^I[A-Z]') THEN 'interface'
-        WHEN regexp_matches(split_part(node, '#', 2), '^[A-Z][A-Z0-9_]+$') THEN 'const' WHEN regexp_matches(split_part(node, '#', 2), '^[A-Z]') THEN 'class' ELSE 'function' END || ')' AS line FROM sg"""
+    SELECT repo, node, CASE WHEN distance = 0 THEN '🌱' WHEN (repo, node) NOT IN (SELECT (repo, src) FROM se) THEN '🍃' ELSE '🔗' END || ' ' || node || ' (' || CASE WHEN regexp_matches(split_part(node, '#', 2), '^I([^a-z]|$)') THEN 'interface'
+        WHEN regexp_matches(split_part(node, '#', 2), '^[^a-z]') AND NOT contains(split_part(node, '#', 2), '_') THEN 'class' WHEN regexp_matches(split_part(node, '#', 2), '(Type|Config)$') THEN 'type'
+        WHEN regexp_matches(split_part(node, '#', 2), '^[^a-z].*Enum$') THEN 'enum' ELSE 'function' END || ')' AS line FROM sg"""
 )
 def symbol_marks(s: SparkSession, d: str) -> DataFrame:
     return symbolgraph.marked(*_near(s, d))
