@@ -51,3 +51,28 @@ def test_sliding_min():
 
     a = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     assert spans.sliding_min(a, 3).tolist() == [3, 1, 1, 1, 2]
+
+
+def test_hot_hashes_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9000).select((F.col("id") % 50).alias("rid"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4000 + 10).alias("k"), F.lit(1).alias("other"))
+    keys = spans._recurring(rows, ["k"])
+    want = sorted(map(tuple, rows.join(keys.select("k"), "k", "left_semi").select("rid", "k").collect()))
+    got = spans._among(rows, keys, ["k"], 9000)
+    assert sorted(map(tuple, got.select("rid", "k").collect())) == want and sum(k == 7 for _, k in want) == 3000
+    plan = got._jdf.queryExecution().toString()
+    assert "Union" in plan and plan.count("LeftAnti") > 0  # the hot key's rows are kept apart, and met by broadcast
+    # What is shuffled holds no key of more than a thousandth of the rows.
+    assert rows.join(keys.where("n >= 10"), "k", "left_anti").groupBy("k").count().agg(F.max("count")).first()[0] < 10
+    assert spans._among(rows.limit(0), keys, ["k"], 0).count() == 0
+
+
+def test_a_passage_in_a_third_of_all_records(spark):
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    shared = word(90)
+    texts = [(i, word(60) + (shared if i % 3 == 0 else "") + word(50)) for i in range(120)]
+    df = spark.createDataFrame(texts, "id bigint, t string").repartition(5)
+    got = {r.record_id: r.shared_chars for r in spans.shared_spans(df, "id", "t", 40, 12, 5).collect()}
+    assert got == brute(texts, 40) and sum(v >= 90 for v in got.values()) == 40
