@@ -68,7 +68,8 @@ def test_bfs_and_external_edges(spark):
     assert rows(graph.bfs(i, seed).select("node", "distance")) == [("a", 0), ("b", 1), ("c", 2)]
     assert rows(graph.bfs(i, seed, 1).select("node", "distance")) == [("a", 0), ("b", 1)]
     assert rows(graph.external_packages(graph.external_edges(e, n))) == [("@x/y", 1), ("q", 1)]
-    assert rows(graph.totals(n, e, i)) == [("r", 3, 3, 2, 1)]
+    assert rows(graph.totals(n, e, i)) == [("r", 3, 1, 3, 2, 1)]
+    assert graph.totals(n.selectExpr("*", "if(node = 'a', null, node) as package"), e, i).first().n_packages == 2
 
 
 def test_greedy_clusters_are_not_transitive(spark):
