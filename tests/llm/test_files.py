@@ -240,3 +240,14 @@ def test_spans_are_linear_in_the_text():
     assert len(c) == len(f) == 20_000 and time.perf_counter() - began < 20
     c, f, s = docpairs.extract("# Keeps it.\ndef f(a):\n    return a\n" * 20_000, True)
     assert len(c) == len(f) == 20_000
+
+
+def test_batches_without_functions_or_comments(spark):
+    schema = "slice_id bigint, symbol_name string, doc string, body string, path string"
+    says = "/** Keeps the newest entry of every key. */"
+    for rows, want in [
+        ([(1, None, None, "/* a", "a.ts")], []), ([(1, None, says, "x", None)], []), ([(1, None, says, "function f() { go(); }", "a.ts")], [1]), ([(1, None, None, "interface I { a: string; }", "a.ts"), (2, None, says, "export interface I { }", "a.ts")], []),
+        ([(1, None, None, "# only words\n", "a.py"), (None, None, None, "def f(): return 1", "a.py")], []), ([(1, "f", None, says + "\n" + "x" * 200_000 + "\nfunction f() { go(); }", "a.ts"), (2, "f", says, "function f() { go(); }" + " " * 200_000, "a.ts")], [2]),
+    ]:
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        assert [r.slice_id for r in docpairs.documented_functions(df).collect()] == want, rows[0][3][:30]
